@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import packing, pii, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity_segments": toxicity.query,
     "op2_rendezvous_sharding": sharding.query,
     "op6_best_fit_packing": packing.query,
+    "op7_semi_markov_pii": pii.query,
+    "op8_random_indexing_quality": quality.query,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,13 +1,13 @@
 """Toxic passages by maximum-scoring segment search.
 
-1. Document counts of the tokens of toxic and other labelled documents give log-odds with an informative Dirichlet
+1. Document counts of the tokens of toxic and other labelled documents (at most ``SAMPLE``) give log-odds with an informative Dirichlet
    prior (the prior is the corpus of labelled documents itself); tokens with |z| >= ``Z_LEAST`` keep
    their log-odds, all others score the same small negative drift.
 2. One linear scan per document finds all maximal scoring segments.
 3. A segment of score S in a text of n tokens has the expected count E = K n exp(-lambda S) of
    segments as good by chance, lambda being the positive root of sum p exp(lambda s) = 1 over the
    background.  Segments with E < ``E_MOST`` are significant; their sum statistic -ln(E) is summed.
-4. A two-parameter logistic curve, fitted to the binned statistics of all labelled documents,
+4. A two-parameter logistic curve, fitted to the binned statistics of the same documents,
    turns the sum into a probability.
 
 Edge cases: null and empty texts score as a text without toxic passages; very long texts are scanned
@@ -31,6 +31,8 @@ from .common import documents, pick, table
 PRIOR_SHARE, Z_LEAST, DRIFT, E_MOST, K = 0.3, 4.0, 0.08, 0.05, 0.05
 #: The most tokens kept on either side, strongest first: bounds what is sent to the executors.
 LEXICON = 20_000
+#: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast).
+SAMPLE = 30_000
 CUT = 0.3
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`^+=/\\…«»“”‘’¿¡"
 
@@ -147,8 +149,9 @@ def decay(scores: np.ndarray, p: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from all rows of ``labels`` (doc_id, label 0/1) whose document is in ``docs``."""
-    known = docs.join(labels.filter("label in (0, 1)"), "doc_id")
+    """Learn from ``labels`` (doc_id, label 0/1), at most SAMPLE of them, whose document is in ``docs``."""
+    sample = labels.filter("label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    known = docs.join(F.broadcast(sample), "doc_id")
     counts = token_counts(known).persist()
     try:
         total = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, sharding, toxicity
+from . import decontam, embed, packing, pii, quality, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity_segments": toxicity.query,
     "op2_rendezvous_sharding": sharding.query,
+    "op3_temporal_url_filter": urlfilter.query,
+    "op5_template_decontamination": decontam.query,
     "op6_best_fit_packing": packing.query,
     "op7_semi_markov_pii": pii.query,
     "op8_random_indexing_quality": quality.query,
+    "op10_p_stable_near_vectors": embed.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_temporal_url_filter": urlfilter.ORACLE,
+}

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import documents, pick, table
+from .common import documents, pick, stash, table
 
 WIDTH, LITERAL, SHARE, ENOUGH, CONSISTENT = 8, 5, 0.5, 16, 0.8
 #: The most benchmark windows that are broadcast (about 200 bytes each); more are joined by a shuffle.
@@ -109,7 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
+    bad = stash(contaminated(docs.select("doc_id", "text"), benchmark)).select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__r"]), "left_anti")
 
 

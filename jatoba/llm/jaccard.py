@@ -385,8 +385,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) ->
     """The rows of ``docs`` with the least doc_id of their component, with all columns; of rows that repeat
     (one id, one text) one stays, and rows with a null id stay."""
     labels = near_duplicates(docs.select("doc_id", "text"), shingle, num, den)
-    gone = labels.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(gone, "doc_id", "left_anti")
+    gone = stash(labels.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

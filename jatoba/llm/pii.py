@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
@@ -375,15 +376,15 @@ def mask(text: str, found: list[tuple[str, int, int]]) -> str:
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
     """The same rows and columns, with every span of the text replaced by its kind in angle brackets."""
     raw = train()
-    names = df.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(raw).reshape(len(ADDED), N_FEATURES)
-        for pdf in frames:
-            pdf[column] = [t if not t or not (s := [x for part in spans(t, w) for x in part]) else mask(t, s) for t in pdf[column]]
-            yield pdf[names]
+        for batch in batches:
+            i = batch.schema.get_field_index(column)
+            texts = [t if not t or not (s := [x for part in spans(t, w) for x in part]) else mask(t, s) for t in batch.column(i).to_pylist()]
+            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import documents, pick, table
@@ -106,6 +107,17 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(t) + self.offset)))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted toxic, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.array([model.statistic(x) for x in batch.column("text").to_pylist()], float)
+            yield batch.filter(pa.array(model.probability(t) < CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 

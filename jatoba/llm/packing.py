@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -33,9 +34,12 @@ from .common import documents, stash, table
 CAPACITY = 2048
 #: Width of a length bin and the most documents of a pattern.
 BIN, MOST = 32, 4
+#: Pieces of one length that are numbered together.
+BUCKET_ROWS = 20_000
 #: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _MARK = "<|endoftext|>"
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,8 +50,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 class Encoder:
     """Ids as little-endian bytes.  White space never joins two words of this vocabulary, so the ids
-    of a text are the ids of its words; words met before come from memory, new ones go to the
-    tokenizer together, parted by a special token that is cut out of the text before anything else."""
+    of a text are the ids of its words.  Words met before come from memory.  Of a new word that is
+    Latin letters and then marks, the letters (in lower case, as the vocabulary has it) and the marks
+    are looked up apart, as its splitter parts them too; what is still new goes to the tokenizer
+    together, parted by a special token that is cut out of a text before anything else."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,15 +62,37 @@ class Encoder:
         self.mark = self.tok.token_to_id(_MARK)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, missing: list[bytes]) -> None:
-        ids = np.array(self.tok.encode(_MARK.join(w.decode("utf-8", "replace") for w in missing), add_special_tokens=False).ids, dtype="<u4")
+    def _learn(self, missing: list[str]) -> None:
+        ids = np.array(self.tok.encode(_MARK.join(missing), add_special_tokens=False).ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark)
         raw, start = ids.tobytes(), 0
         for w, stop in zip(missing, [*cuts.tolist(), len(ids)], strict=True):
-            self.new[w] = raw[4 * start : 4 * stop]
+            self.parts[w] = raw[4 * start : 4 * stop]
             start = stop + 1
 
+    def _add(self, words: list[bytes]) -> None:
+        """Make sure that all words are in ``new``."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        split: list[tuple[bytes, str, str]] = []
+        for w in dict.fromkeys(words):
+            if w not in self.new:
+                if (x := self.old.get(w)) is not None:
+                    self.new[w] = x
+                else:
+                    text = w.decode("utf-8", "replace")
+                    m = _PLAIN.fullmatch(text)
+                    split.append((w, m[1].lower(), m[2]) if m else (w, text, ""))
+        unknown = [x for x in dict.fromkeys(x for _, *both in split for x in both) if x not in self.parts]
+        for i in range(0, len(unknown), 4096):
+            self._learn(unknown[i : i + 4096])
+        for w, head, tail in split:
+            self.new[w] = self.parts[head] + self.parts[tail]
+
     def __call__(self, text: str) -> bytes:
         if "<|" in text:  # it may hold a special token, which may reach over anything
             ids = self.tok.encode(text, add_special_tokens=False).ids
@@ -73,18 +101,7 @@ class Encoder:
         try:
             return b"".join([self.new[w] for w in words])
         except KeyError:
-            pass
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        missing = []
-        for w in dict.fromkeys(words):
-            if w not in self.new:
-                if (x := self.old.get(w)) is not None:
-                    self.new[w] = x
-                else:
-                    missing.append(w)
-        for i in range(0, len(missing), 4096):
-            self._learn(missing[i : i + 4096])
+            self._add(words)
         return b"".join([self.new[w] for w in words])
 
 
@@ -263,24 +280,22 @@ def ranges(packed: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ...) that are already stored."""
     spark = cut.sparkSession
-    # 64 sub-buckets a length: a third of all pieces may have the same length
-    dealt = cut.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(64)).cast("int"))
-    counts = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.collect()  # at most 64 * capacity rows
-    histogram: dict[int, int] = {}
-    offsets = []
-    for r in sorted(rows, key=lambda r: (r["length"], r["__b"])):
-        offsets.append((r["length"], r["__b"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    # a frequent length is numbered in sub-buckets of about BUCKET_ROWS
+    parts = spark.createDataFrame([(n, c // BUCKET_ROWS + 1) for n, c in counts.items()], "length bigint, __parts int")
+    dealt = cut.join(F.broadcast(parts), "length").withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.col("__parts")).cast("int")).drop("__parts")
+    sizes = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("length").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    offset_df = sizes.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    histogram = dict(sorted(counts.items()))
     plan_rows = ranges(plan(histogram, capacity))
     first: dict[int, list[tuple]] = {}
     for n, r, times, seq, off in plan_rows:
         first.setdefault(n, []).append((r, times, seq, off))
-    offset_df = spark.createDataFrame(offsets, "length bigint, __b int, __before bigint")
     # bounded by the capacity and the number of groups of the plan, not by the corpus
     plan_df = spark.createDataFrame([(n, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for n, v in first.items()], "length bigint, __r array<bigint>, __s array<bigint>, __o array<bigint>")
     ranked = dealt.withColumn("__i", F.row_number().over(W.partitionBy("length", "__b").orderBy("doc_id", "piece", "start")) - 1)
-    ranked = ranked.join(F.broadcast(offset_df), ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__i"))
+    ranked = ranked.join(offset_df, ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__i"))
     placed = ranked.join(F.broadcast(plan_df), "length")
     at = F.size(F.filter("__r", lambda r: r <= F.col("__rank")))
     return (

@@ -2,14 +2,14 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names keeps
 its template.  Windows of ``WIDTH`` template tokens of the benchmark are hashed once; windows of every
-whole document are probed against them in the same code-generated stage that makes them.  Matches
-are grouped by (document, item, diagonal); a diagonal counts if the slot values agree: each value of
-the item maps to one value of the document, of the same type.  A document is contaminated by an item
-if the windows on one consistent diagonal are at least ``SHARE`` of the item's informative windows, or
-``ENOUGH`` of them.
+whole document are probed against them in the same code-generated stage that makes them, and only
+counts per (document, item, diagonal) leave it.  A diagonal is a candidate if its windows are at
+least ``SHARE`` of the item's informative windows, or ``ENOUGH`` of them.  For candidates alone the
+tokens are laid side by side and the slots compared: each value of the item has to map to one value
+of the document of the same type, or the match is a coincidence of form.
 
 Tokens stay aligned with words: every word is one token or one placeholder.  A window with fewer than
-``LITERAL`` literal tokens says nothing and is dropped on both sides.
+``LITERAL`` literal tokens says nothing and is dropped.
 
 Edge cases: null and empty texts, and texts or items of fewer than ``WIDTH`` tokens, match nothing; a
 very long text is probed whole; rows that repeat are judged each, alike; an empty benchmark leaves
@@ -32,78 +32,97 @@ UNITS = "km|kms|kilometers|kilometres|m|meters|metres|cm|mm|miles|mile|feet|ft|i
 
 
 def spaced(text: Column) -> Column:
-    """One space between words; letters and digits parted; marks other than sentence ends and %$€£' gone."""
-    t = F.regexp_replace(text, r"(\p{N})(\p{L})", "$1 $2")
-    t = F.regexp_replace(t, r"(\p{L})(\p{N})", "$1 $2")
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}.!?%$€£']+", " "))
+    """One space before each word; units parted from numbers; marks other than sentence ends and %$€£' gone."""
+    t = F.regexp_replace(text, r"(\p{N})(?=\p{L})", "$1 ")
+    return F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}.!?%$€£']+", " "))
 
 
 def _bare(t: Column) -> Column:
-    """Lower case, marks at the ends of words gone; a word of marks only becomes an underscore, so words stay aligned."""
-    t = F.regexp_replace(F.lower(t), r"(?<![^ ])[.!?%$€£']+(?![^ ])", "_")
-    return F.split(F.regexp_replace(t, r"(?<=[^ ])[.!?']+(?= |$)|(?<= |^)[.!?']+(?=[^ ])", ""), " ")
+    """Tokens without marks at their ends.  Patterns begin with what is rare, so most characters fail at once."""
+    t = F.regexp_replace(t, r"[.!?%$€£']+(?= |$)", "")
+    return F.array_remove(F.split(F.regexp_replace(t, r" [.!?%$€£']+", " "), " "), "")
 
 
 def raw_tokens(s: Column) -> Column:
-    return _bare(s)
+    return _bare(F.lower(s))
 
 
 def template_tokens(s: Column) -> Column:
-    t = F.regexp_replace(s, r"(?<=[^.!? ] )\p{Lu}[\p{L}']*", NAME)
-    t = F.regexp_replace(t, rf"[^ ]*\p{{N}}[^ ]*|(?<![^ ])(?i:{NUMBER_WORDS})(?![^ .!?])", NUMBER)
-    t = F.regexp_replace(t, rf"(?<={NUMBER} )(?i:{UNITS})(?![^ .!?])", UNIT)
-    return _bare(t)
+    """A capital inside a sentence begins a name."""
+    t = F.lower(F.regexp_replace(s, r"\p{Lu}(?<=[^.!? ] .)[\p{L}']*", NAME))
+    t = F.regexp_replace(t, r"[$€£]?\p{N}[^ ]*", NUMBER)
+    t = F.regexp_replace(t, rf" (?:{NUMBER_WORDS})(?=[ .!?]|$)", " " + NUMBER)
+    return _bare(F.regexp_replace(t, rf"{NUMBER} (?:{UNITS})(?=[ .!?]|$)", f"{NUMBER} {UNIT}"))
 
 
 def _windows(df: DataFrame) -> DataFrame:
-    """Add ``w``: hashes of all template windows, in order.  Explode it as outer: for a plain explode the
-    optimizer would push a test of its size down and compute the tokens again for each window."""
-    last = F.size("c") - (WIDTH - 1)
-    return df.withColumn("w", F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("c", i, WIDTH)))).otherwise(F.array().cast("array<bigint>")))
-
-
-def _templates(df: DataFrame, key: str, text: str) -> DataFrame:
-    s = df.select(F.col(key), spaced(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    return s.select(key, template_tokens(F.col("s")).alias("c"), raw_tokens(F.col("s")).alias("r"))
+    """Add ``w``: hashes of all windows of ``WIDTH`` tokens of ``c``, by doubling, in order.  Explode it as
+    outer: for a plain explode the optimizer would push a test of its size down and make the tokens again."""
+    assert WIDTH == 8
+    h = df.withColumn("__1", F.transform("c", lambda x: F.xxhash64(x)))
+    for k in (1, 2, 4):
+        n = F.greatest(F.size(f"__{k}") - k, F.lit(0))
+        h = h.withColumn(f"__{2 * k}", F.zip_with(F.slice(f"__{k}", F.lit(1), n), F.slice(f"__{k}", F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))).drop(f"__{k}")
+    return h.withColumnRenamed("__8", "w")
 
 
 def _is_slot(x: Column) -> Column:
     return x.isin(NUMBER, NAME, UNIT)
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(h, item, at, values, kinds, n_windows): informative windows of the benchmark; values are the slots' words."""
-    rows = _windows(_templates(benchmark.dropDuplicates(["item_id"]), "item_id", "text"))
-    each = rows.select(F.col("item_id").alias("item"), "c", "r", F.posexplode_outer("w").alias("at", "h"))
-    cut = each.select("item", "at", "h", F.slice("c", F.col("at") + 1, WIDTH).alias("kinds"), F.slice("r", F.col("at") + 1, WIDTH).alias("values"))
-    told = cut.filter(F.col("h").isNotNull()).filter(F.size(F.filter("kinds", lambda x: ~_is_slot(x))) >= LITERAL)
+def _tokens(df: DataFrame, text: str) -> DataFrame:
+    s = df.withColumn("__s", spaced(F.coalesce(F.col(text), F.lit(""))))
+    return s.withColumn("c", template_tokens(F.col("__s"))).withColumn("r", raw_tokens(F.col("__s"))).drop("__s")
+
+
+def item_tokens(benchmark: DataFrame) -> DataFrame:
+    """(item, c, r)."""
+    items = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    return _tokens(items, "text").select(F.col("item_id").alias("item"), "c", "r")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(h, item, at, n_windows): informative windows of the benchmark."""
+    each = _windows(items).select("item", "c", F.posexplode_outer("w").alias("at", "h"))
+    literal = F.size(F.filter(F.slice("c", F.col("at") + 1, WIDTH), lambda x: ~_is_slot(x)))
+    told = each.filter(F.col("h").isNotNull()).filter(literal >= LITERAL).select("item", "at", "h")
     return told.withColumn("n_windows", F.count(F.lit(1)).over(W.partitionBy("item")))
 
 
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, row, item, n_windows, diagonal, windows).  ``row`` is a hash of the text, so that rows with
+    one doc_id and other texts are kept apart; rows that repeat are counted once."""
+    windows = item_windows(items)
+    if windows.count() <= BROADCAST_ROWS:
+        windows = F.broadcast(windows)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), template_tokens(spaced(F.coalesce("text", F.lit("")))).alias("c"))
+    probe = _windows(keyed).select("doc_id", "row", F.posexplode_outer("w").alias("pos", "h"))
+    hit = probe.join(windows, "h").groupBy("doc_id", "row", "item", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal"))
+    line = hit.agg(F.countDistinct("at").alias("windows"))
+    return line.filter((F.col("windows") >= SHARE * F.col("n_windows")) | (F.col("windows") >= ENOUGH))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, row, item, windows, n_windows, slots, broken): the best consistent diagonal of each pair.
-    ``row`` is a hash of the text, so that rows with one doc_id and other texts are kept apart."""
-    items = item_windows(benchmark)
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("id"), "text")
-    probe = _windows(_templates(keyed, "id", "text")).select("id", "r", F.posexplode_outer("w").alias("pos", "h"))
-    hit = probe.join(items, "h").select(
-        "id", "item", "n_windows", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
-        F.filter(F.zip_with("kinds", F.zip_with("values", F.slice("r", F.col("pos") + 1, WIDTH), lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))), lambda k, v: F.struct(k.alias("kind"), v["theirs"].alias("theirs"), v["ours"].alias("ours"))), lambda x: _is_slot(x["kind"])).alias("pairs"),
-    )
-    line = hit.groupBy("id", "item", "diagonal").agg(F.countDistinct("at").alias("windows"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["theirs"]))))
-    scored = line.withColumn("slots", F.size("pairs")).withColumn("broken", F.size("pairs") - values)
-    consistent = scored.filter((F.col("slots") == 0) | (F.col("broken") <= (1 - CONSISTENT) * F.col("slots")))
-    best = consistent.groupBy("id", "item").agg(F.max(F.struct("windows", "n_windows", "slots", "broken")).alias("b"))
-    return best.select("id.doc_id", "id.row", "item", "b.*")
+    """(doc_id, row, item, windows, n_windows, slots, broken): the best consistent diagonal of each pair."""
+    items = item_tokens(benchmark)
+    found = stash(candidates(docs, items))
+    some = found.select(F.col("doc_id").alias("d"), F.col("row").alias("x")).distinct()
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("x")), "left_semi").dropDuplicates(["doc_id", "row"])
+    ours = _tokens(keyed, "text").select(F.col("doc_id").alias("d"), F.col("row").alias("x"), F.col("c").alias("oc"), F.col("r").alias("o"))
+    side = found.join(ours, found["doc_id"].eqNullSafe(ours["d"]) & (found["row"] == ours["x"])).join(items, "item")
+    at = lambda i: i + F.col("diagonal")
+    pairs = F.transform("c", lambda k, i: F.when((at(i) >= 0) & _is_slot(k) & (F.get("oc", at(i)) == k), F.struct(k.alias("kind"), F.get("r", i).alias("theirs"), F.get("o", at(i)).alias("ours"))))
+    laid = side.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
+    values = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"].alias("k"), x["theirs"].alias("t")))))
+    scored = laid.withColumn("slots", F.size("pairs")).withColumn("broken", F.size("pairs") - values)
+    consistent = scored.filter(F.col("broken") <= (1 - CONSISTENT) * F.col("slots"))
+    best = consistent.groupBy("doc_id", "row", "item").agg(F.max(F.struct("windows", "n_windows", "slots", "broken")).alias("b"))
+    return best.select("doc_id", "row", "item", "b.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, items, windows): documents that hold an item, with the items."""
-    enough = (F.col("windows") >= SHARE * F.col("n_windows")) | (F.col("windows") >= ENOUGH)
-    found = matches(docs, benchmark).filter(enough)
+    found = matches(docs, benchmark)
     return found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("windows").alias("windows"))
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from jatoba.functions import text as T
 
-#: A recording's segments in order.
-ORDER = W.partitionBy("rec_id").orderBy("seg_id")
+
+
+def in_order():
+    return W.partitionBy("rec_id").orderBy("seg_id")
 MAX_CHARS, MAX_LINES, MIN_CUE_MS, MAX_CUE_MS, SPLIT_GAP_MS, MAX_CPS = 42, 2, 1000, 6000, 600, 21.0
 BUDGET = int(MAX_CHARS * MAX_LINES * 0.92)
 PAUSE_MS, PARAGRAPH_SENTENCES, BLOCK_CHARS = 1200, 5, 900
@@ -27,20 +29,20 @@ def drop_hallucinations(raw: DataFrame) -> DataFrame:
 def drop_repeated(segs: DataFrame, most: int = 2) -> DataFrame:
     """Of a run of equal passages (case, accents and marks aside) the first ``most`` stay."""
     key = segs.withColumn("__k", T.sentence_key(F.col("text")))
-    same = (F.col("__k") != "") & (F.col("__k") == F.lag("__k").over(ORDER))
-    runs = key.withColumn("__same", F.coalesce(same, F.lit(False))).withColumn("__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(ORDER))
+    same = (F.col("__k") != "") & (F.col("__k") == F.lag("__k").over(in_order()))
+    runs = key.withColumn("__same", F.coalesce(same, F.lit(False))).withColumn("__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(in_order()))
     ranked = runs.withColumn("__i", F.row_number().over(W.partitionBy("rec_id", "__run").orderBy("seg_id")))
     return ranked.filter(F.col("__i") <= most).drop("__k", "__same", "__run", "__i")
 
 
 def renumber(segs: DataFrame) -> DataFrame:
-    return segs.withColumn("seg_id", F.row_number().over(ORDER).cast("bigint"))
+    return segs.withColumn("seg_id", F.row_number().over(in_order()).cast("bigint"))
 
 
 def turns(segs: DataFrame) -> DataFrame:
     """Consecutive segments of one speaker."""
-    new = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(ORDER)) & (F.row_number().over(ORDER) > 1), 0).otherwise(1)
-    marked = segs.withColumn("__new", new).withColumn("turn_id", F.sum("__new").over(ORDER))
+    new = F.when(F.col("speaker").eqNullSafe(F.lag("speaker").over(in_order())) & (F.row_number().over(in_order()) > 1), 0).otherwise(1)
+    marked = segs.withColumn("__new", new).withColumn("turn_id", F.sum("__new").over(in_order()))
     rows = F.sort_array(F.collect_list(F.struct("seg_id", "text")))
     return marked.groupBy("rec_id", "turn_id").agg(
         F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "seg_id").alias("end_ms"), rows.alias("rows"),
@@ -48,7 +50,7 @@ def turns(segs: DataFrame) -> DataFrame:
 
 
 def longest_pause(segs: DataFrame) -> DataFrame:
-    gaps = segs.withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(ORDER))
+    gaps = segs.withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(in_order()))
     return gaps.groupBy("rec_id").agg(F.greatest(F.lit(0), F.coalesce(F.max("gap"), F.lit(0))).cast("bigint").alias("longest_pause_ms"))
 
 
@@ -70,7 +72,7 @@ def overlapping_cues(cues: DataFrame, key: str = "seg_id") -> DataFrame:
 
 def inherit_label(labels: DataFrame, label: str = "label") -> DataFrame:
     """A null label is that of the last labelled segment; 0 before any."""
-    return labels.withColumn(label, F.coalesce(F.last(label, ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    return labels.withColumn(label, F.coalesce(F.last(label, ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
 
 
 def queue_position(jobs: DataFrame) -> DataFrame:
@@ -140,6 +142,8 @@ def _pieces(segs: DataFrame, cut, keep_empty: bool) -> DataFrame:
 
     cols = ["rec_id", "seg_id", "speaker", "start_ms", "end_ms", "text", "confidence", "words"]
     schema = "rec_id bigint, seg_id bigint, part int, speaker string, start_ms bigint, end_ms bigint, text string, confidence double, words array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"
+    if "words" not in segs.columns:
+        segs = segs.withColumn("words", F.lit(None).cast("array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"))
     return segs.select(*cols).mapInPandas(run, schema)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sequence import ORDER, speaker_rank
+from .sequence import in_order, speaker_rank
 
 RATE, FRAME_MS, HOP_MS, N_FFT, N_MELS, N_COEF, LOW_HZ, HIGH_HZ, FLOOR, EMPHASIS = 16_000, 25, 20, 512, 32, 20, 60.0, 7600.0, 1e-10, 0.97
 LEAST_RECORDING, LEAST_FRAMES, MIN_ANCHOR_MS, MAX_ANCHORS, THRESHOLD, MAX_SPEAKERS = 50, 8, 1200, 1200, 0.62, 8
@@ -105,7 +105,7 @@ def assign(segs: DataFrame, vectors: DataFrame) -> DataFrame:
     labels = cluster(vectors.join(spans, ["rec_id", "seg_id"]))
     found = labels.select("rec_id").distinct().withColumn("__on", F.lit(True))
     whole = segs.join(labels, ["rec_id", "seg_id"], "left").join(found, "rec_id", "left")
-    voiced = whole.withColumn("cluster", F.when(F.col("__on"), F.coalesce(F.last("cluster", ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))))
+    voiced = whole.withColumn("cluster", F.when(F.col("__on"), F.coalesce(F.last("cluster", ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)), F.lit(0))))
     rank = speaker_rank(voiced, "cluster").select("rec_id", "cluster", "name", "rank")
     named = voiced.join(rank, ["rec_id", "cluster"], "left")
     return named.withColumn("speaker", F.coalesce("name", "speaker")).withColumn("speaker_id", F.col("rank") - 1).drop("cluster", "__on", "name", "rank")

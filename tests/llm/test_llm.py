@@ -1,0 +1,273 @@
+"""Corpus operators against brute force, round trips and held-out accuracy, with odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from jatoba.llm import decontam, embed, fmindex, hashing, jaccard, packing, pii, quality, sharding, substring, toxicity, urlfilter
+from jatoba.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+DOCS = "doc_id bigint, text string, DOC_LEN int, score double"
+
+
+def odd_docs(spark, seed=1, n=60):
+    """Nulls, empties, ties, repeated rows, a long text, copies, near copies, and columns with clashing names."""
+    r = random.Random(seed)
+    vocab = [f"w{i}é" if i % 7 == 0 else f"w{i}" for i in range(200)]
+    base = [" ".join(r.choices(vocab, k=r.randint(1, 80))) for _ in range(n)]
+    passage = " ".join(r.choices(vocab, k=30))
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(n + i, base[i]) for i in range(10)]  # copies
+    rows += [(n + 10 + i, base[20 + i] + " extra") for i in range(10)]
+    rows += [(n + 20 + i, f"{base[i]} {passage}\t{base[i + 1]}") for i in range(10)]
+    rows += [(n + 40, None), (n + 41, ""), (n + 42, " \n\t "), (None, base[0]), (3, base[3]), (3, base[3]), (n + 43, " ".join(r.choices(vocab, k=30_000)))]
+    return spark.createDataFrame([(d, t, 1, 0.5) for d, t in rows], DOCS), rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return odd_docs(spark)
+
+
+def test_fm_index_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        depth, sigma = int(rng.integers(1, 6)), int(rng.integers(1, 5))
+        texts = [rng.integers(10, 10 + sigma, rng.integers(1, 25)) for _ in range(rng.integers(1, 6))]
+        numbers = rng.integers(0, 50, len(texts))
+        queries = [*texts, *(rng.integers(10, 11 + sigma, rng.integers(0, 25)) for _ in range(3))]
+        lengths, least = fmindex.FMIndex(texts, numbers, depth).statistics(queries)
+        for q, n, m in zip(queries, lengths, least, strict=True):
+            for i in range(len(q)):
+                w = tuple(q[i : i + depth])
+                found = [k for t, k in zip(texts, numbers, strict=True) for j in range(len(t) - depth + 1) if tuple(t[j : j + depth]) == w] if len(w) == depth else []
+                assert m[i] == (min(found) if found else -1) and (n[i] == depth) == bool(found)
+
+
+def test_word_hashes_follow_words(docs):
+    import pyarrow as pa
+
+    texts = [t for _, t in docs[1]]
+    w = hashing.words(pa.array(texts))
+    flat = [x for t in texts for x in WORD.findall(t or "")]
+    assert len(flat) == len(w.hashes) and len(set(flat)) == len(set(w.hashes.tolist()))
+    assert [bytes(w.data[a:b]).decode() for a, b in zip(w.starts, w.ends, strict=True)] == flat
+
+
+def test_substring_against_brute_force(docs):
+    df, rows = docs
+    got = {(r["doc_id"], r["text"], len(r["spans"])) for r in substring.deduplicate(df).collect()}
+    least = {}
+    words = [WORD.findall(t or "") for _, t in rows]
+    for (d, _), w in zip(rows, words, strict=True):
+        for k in range(len(w) - 12):
+            if d is not None:
+                key = tuple(w[k : k + 13])
+                least[key] = min(d, least.get(key, d))
+    want = set()
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if d is not None and least[tuple(w[k : k + 13])] < d:
+                gone[k : k + 13] = [True] * 13
+        want.add((d, " ".join(x for x, g in zip(w, gone, strict=True) if not g), sum(a and not b for a, b in zip(gone, [False, *gone], strict=False))))
+    assert got == want
+
+
+def brute_components(rows, k, num, den):
+    sets = []
+    for d, t in rows:
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
+        sets.append((d, frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()))
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, (_, x) in enumerate(sets):
+        for j in range(i):
+            y = sets[j][1]
+            if x and y and den * len(x & y) >= num * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize("k,num,den,region", [(3, 9, 10, 2000), (5, 8, 10, 2000), (2, 3, 10, 10)])
+def test_jaccard_against_brute_force(docs, monkeypatch, k, num, den, region):
+    monkeypatch.setattr(jaccard, "REGION_SETS", region)  # a small one makes regions recurse
+    got = jaccard.near_duplicates(docs[0], k, num, den).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(docs[1], k, num, den)
+
+
+def test_jaccard_keeps_one_of_each_group(docs):
+    kept = jaccard.keep_one(docs[0], 5, 8, 10).select("doc_id", "text").collect()
+    comp = {(d, n): c for d, n, c in brute_components(docs[1], 5, 8, 10)}
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted({str(d) for (d, _), c in comp.items() if d is None or c == d})
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 3), (200, 201), (-5, 200)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got[100] == 0 and got[9] == 0 and got[17] == 10 and got[201] == -5 and len(got) == 44
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 16))
+    v = np.concatenate([v, v[:20] + 0.04 * rng.normal(size=(20, 16)), v[:5], 3 * v[5:8]])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [None] * 16), (504, [1.0, 2.0]), (7, v[7].tolist())]
+    got = {(r["id"], r["n_links"], r["component"]) for r in embed.link(spark.createDataFrame(rows, "id bigint, v array<double>")).collect()}
+    ids, x = [i for i, a in rows if a and len(a) == 16 and a[0] is not None and a[0] == a[0] and any(a)], np.array([a for i, a in rows if a and len(a) == 16 and a[0] is not None and a[0] == a[0] and any(a)])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T) >= 0.95
+    comp = list(range(len(ids)))
+    for _ in range(len(ids)):
+        comp = [min(comp[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
+    want = {(ids[i], int(near[i].sum()) - 1, min(ids[j] for j in range(len(ids)) if comp[j] == comp[i])) for i in range(len(ids))} | {(i, 0, i) for i in range(500, 505)}
+    assert got == want
+
+
+def test_packing_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    df, rows = docs
+    extra = df.sparkSession.createDataFrame([(900, "<|endoftext|> it's 12km ΟΔΟΣ İx́", 1, 0.1)], DOCS)
+    got = packing.best_fit_pack(df.unionByName(extra), capacity=64).collect()
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for d, t in [*rows, (900, "<|endoftext|> it's 12km ΟΔΟΣ İx́")]:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(d, i // 64, i, len(ids[i : i + 64]), zlib.crc32(ids[i : i + 64].tobytes())) for i in range(0, len(ids), 64)]
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=str) == sorted(want, key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(by) <= sum(w[3] for w in want) / 64 * 1.03 + 2
+
+
+@pytest.mark.parametrize("h", [{}, {1: 5}, {2048: 3}, {2048: 2, 1: 7, 1000: 9, 1047: 4}, {i: i % 13 for i in range(1, 2049)}])
+def test_plan_uses_every_piece_once(h):
+    used = {}
+    for lengths, times in packing.plan(h):
+        assert sum(lengths) <= 2048 and times > 0
+        for n in lengths:
+            used[n] = used.get(n, 0) + times
+    assert used == {n: c for n, c in h.items() if c}
+
+
+def test_emails_equal_the_pattern():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice("ab.@@- 1") for _ in range(r.randint(1, 25)))
+        assert [m.span() for m in pattern.finditer(t)] == pii.emails(t)
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(3)
+    kinds = {"ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    keep = {"ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 16 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s)), "phone": lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15}
+    for _ in range(5000):
+        t = "".join(r.choice(["1", "4", "0", "255", "256", ".", " ", "-", "+", "(", ")", "x", "4111 1111 1111 1111", "192.168.0.1"]) for _ in range(r.randint(1, 14)))
+        want = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if keep[k](m.group())]
+        assert pii.base_spans(t) == want
+
+
+def test_fields_find_generated_entities():
+    w = np.frombuffer(pii.train()).reshape(len(pii.ADDED), pii.N_FEATURES)
+    hit = wrong = missed = 0
+    for text, spans in pii.examples(150, 99):
+        base = pii.base_spans(text)
+        got, gold = {(a, b, k) for k, a, b in pii.added_spans(text, w, base)}, set(spans)
+        hit, wrong, missed = hit + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    assert hit > wrong and hit > missed
+    assert pii.mask("mail a@b.co ok", [("email", 5, 11)]) == "mail <email> ok"
+
+
+def test_redaction_keeps_rows(docs):
+    out = pii.redact(docs[0])
+    assert out.columns == docs[0].columns and out.count() == len(docs[1])
+
+
+def test_toxic_segments():
+    s = [1.0, -0.5, 2.0, -5.0, 3.0, -1.0, -1.0, 2.5]
+    assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == [(0, 3), (4, 8)]
+    best = max(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))
+    assert max(x for *_, x in toxicity.maximal_segments(s)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("op,kind,least", [(toxicity.query, "toxic", 0.85), (quality.query, "quality", 0.9)])
+def test_classifiers_on_held_out_rows(spark, op, kind, least):
+    d = "/root/testdata/sf0.01"
+    x = op(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert ((x["predicted"] == x[kind]).mean() >= least) and x["score"].between(0, 1).all()
+
+
+def test_classifiers_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id bigint, label int")
+    m = toxicity.train(docs[0].select("doc_id", "text"), none)
+    assert toxicity.keep_clean(docs[0], m).count() == len(docs[1])
+    assert quality.score(docs[0].select("doc_id", "text"), quality.train(docs[0].select("doc_id", "text"), none)).count() == len(docs[1])
+
+
+def test_sharding(spark, docs):
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    a = sharding.assign(sharding.assign(df, "k", 8), "k", 9, into="more").collect()
+    assert all(r["more"] in (r["shard"], 8) for r in a) and 300 < sum(r["more"] == 8 for r in a) < 600
+    w = sharding.assign(df, "k", 2, [1.0, 3.0]).filter("shard = 1").count()
+    assert 2800 < w < 3200
+    numbered = sharding.slots(sharding.assign(docs[0], "doc_id", 3), "shard", ["doc_id"], 5).collect()
+    for s in {r["shard"] for r in numbered}:
+        own = sorted(r["slot"] for r in numbered if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
+def test_url_intervals(spark):
+    entries = spark.createDataFrame([("ex.com", "block", 10), ("ex.com", "lift", 20), ("a.ex.com/ok", "allow", 5), ("ex.com", "block", 30), (None, "block", 1), ("ex.com", "block", None), ("ex.com", "allow", 30)], "key string, action string, at bigint")
+    urls = [(1, "http://A.ex.com:80/x", 10), (2, "http://a.ex.com/x", 20), (3, "https://u@a.ex.com/ok/1", 15), (4, "http://ex.com", 9), (5, None, 15), (6, "junk", 15), (7, "http://ex.com/", None), (8, "http://ex.com", 99), (8, "http://ex.com", 99)]
+    got = urlfilter.judge(spark.createDataFrame(urls, "id bigint, u string, t bigint"), entries, "id", "u", "t").collect()
+    assert sorted((r["id"], r["blocked"]) for r in got) == [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, False), (8, True), (8, True)]
+    assert urlfilter.judge(spark.createDataFrame([], "id bigint, u string, t bigint"), entries, "id", "u", "t").count() == 0
+
+
+def test_templates_catch_other_numbers(spark):
+    item = "If Mary buys 12 apples and gives 5 km of rope to her brother then how many apples does Mary keep for the winter season this year"
+    other = item.replace("12", "31").replace("Mary", "Alice").replace(" 5 ", " 77 ")
+    broken = item.replace("does Mary", "does Peter").replace("12", "9")
+    rows = [(1, "Some words before. " + other + " and words after"), (2, "nothing of the kind is said in this harmless text about winter"), (3, item), (4, None), (5, ""), (3, item), (6, "x " * 5000 + item)]
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (None, item)], "item_id bigint, text string")
+    df = spark.createDataFrame([(d, t, 1, 0.5) for d, t in rows], DOCS)
+    bad = {r["doc_id"] for r in decontam.contaminated(df, bench).collect()}
+    assert bad == {1, 3, 6}
+    assert sorted(r["doc_id"] for r in decontam.clean(df, bench).collect()) == [2, 4, 5]
+    assert broken and decontam.clean(df, bench.limit(0)).count() == len(rows)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert substring.deduplicate(none).count() == 0 and jaccard.near_duplicates(none).count() == 0 and packing.best_fit_pack(none).count() == 0
+    assert pii.redact(none).count() == 0 and embed.link(spark.createDataFrame([], "id bigint, v array<double>")).count() == 0
+    assert decontam.contaminated(none, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_kept_hash():
+    words = [b"a", b"b"]
+    assert substring._kept(words, None, None, 13) == words and hashlib.sha256(b" ".join(words)).hexdigest() == hashlib.sha256(b"a b").hexdigest()

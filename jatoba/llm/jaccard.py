@@ -223,6 +223,11 @@ def members(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
 # ---- joining a region that fits --------------------------------------------------------------------
 
 
+def _array(scalar: pa.ListScalar) -> np.ndarray:
+    """The numbers of a list cell, without Python objects."""
+    return scalar.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _jaccard(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Similarity of one set with many."""
     if not sets:
@@ -325,17 +330,22 @@ def join_regions(rows: DataFrame, num: int, den: int, depth: int = DEPTH) -> Dat
     pivots = big.join(_first(choice), ["region", "id"], "left_semi").groupBy("region", "id").agg(F.first("h").alias("h"))
     packs = pivots.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("pivots"))
 
-    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for region, i, h, ps in zip(pdf["region"], pdf["id"], pdf["h"], pdf["pivots"], strict=True):
-                x = np.asarray(h).view(np.uint64)
-                d = 1 - _jaccard(x, [np.asarray(p["h"]).view(np.uint64) for p in ps])
-                for k in np.flatnonzero(d <= d.min() + 2 * t + 1e-9):
-                    out.append((region, int(k), i, h))
-            yield pd.DataFrame(out, columns=["parent", "k", "id", "h"])
-
-    dealt = big.select("region", "id", "h").join(packs, "region").mapInPandas(home, "parent bigint, k int, id bigint, h array<bigint>")
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, unpacked = None, []
+        for batch in batches:
+            parent, ids, sets, packed = (batch.column(n) for n in ("region", "id", "h", "pivots"))
+            rows, ks = [], []
+            for i, r in enumerate(parent.to_pylist()):
+                if r != region:  # rows of a region repeat its pivots, which are unpacked once
+                    region, unpacked = r, [_array(p["h"]) for p in packed[i]]
+                d = 1 - _jaccard(_array(sets[i]), unpacked)
+                near = np.flatnonzero(d <= d.min() + 2 * t + 1e-9)
+                rows += [i] * len(near)
+                ks += near.tolist()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([parent.take(at), pa.array(ks, pa.int32()), ids.take(at), sets.take(at)], ["parent", "k", "id", "h"])
+
+    dealt = big.select("region", "id", "h").join(packs, "region").mapInArrow(home, "parent bigint, k int, id bigint, h array<bigint>")
     below = stash(dealt.select(F.xxhash64("parent", "k").alias("region"), "parent", "id", "h"))
     # a region that has not lost a quarter of its parent's sets will not shrink further: it becomes a grid
     grown = below.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("c")).join(large.select(F.col("region").alias("parent"), "sets"), "parent")

@@ -35,10 +35,11 @@ CAPACITY = 2048
 #: Width of a length bin and the most documents of a pattern.
 BIN, MOST = 32, 4
 #: Pieces of one length that are numbered together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _MARK = "<|endoftext|>"
+_BARE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -56,53 +57,64 @@ class Encoder:
     together, parted by a special token that is cut out of a text before anything else."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        #: The same merges without normalising and splitting, for what needs neither.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.mark = self.tok.token_to_id(_MARK)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, missing: list[str]) -> None:
-        ids = np.array(self.tok.encode(_MARK.join(missing), add_special_tokens=False).ids, dtype="<u4")
+    def _learn(self, missing: list[str], tok) -> None:
+        ids = np.array(tok.encode_batch_fast([_MARK.join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark)
         raw, start = ids.tobytes(), 0
         for w, stop in zip(missing, [*cuts.tolist(), len(ids)], strict=True):
             self.parts[w] = raw[4 * start : 4 * stop]
             start = stop + 1
 
-    def _add(self, words: list[bytes]) -> None:
-        """Make sure that all words are in ``new``."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
+    def _add(self, words: set[bytes]) -> None:
+        """Put words that ``new`` lacks into it."""
         split: list[tuple[bytes, str, str]] = []
-        for w in dict.fromkeys(words):
-            if w not in self.new:
-                if (x := self.old.get(w)) is not None:
-                    self.new[w] = x
-                else:
-                    text = w.decode("utf-8", "replace")
-                    m = _PLAIN.fullmatch(text)
-                    split.append((w, m[1].lower(), m[2]) if m else (w, text, ""))
-        unknown = [x for x in dict.fromkeys(x for _, *both in split for x in both) if x not in self.parts]
-        for i in range(0, len(unknown), 4096):
-            self._learn(unknown[i : i + 4096])
+        old, new, parts, plain, bare = self.old.get, self.new, self.parts, _PLAIN.fullmatch, _BARE.fullmatch
+        for w in words:
+            if (x := old(w)) is not None:
+                new[w] = x
+                continue
+            text = w.decode("utf-8", "replace")
+            if text.isascii() and text.isalpha():
+                split.append((w, text.lower(), ""))
+            elif m := plain(text):
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                split.append((w, text, ""))
+        unknown = [x for x in {x for _, *both in split for x in both} if x not in parts]
+        for tok, some in ((self.bare, [x for x in unknown if bare(x)]), (self.tok, [x for x in unknown if not bare(x)])):
+            for i in range(0, len(some), 4096):
+                self._learn(some[i : i + 4096], tok)
         for w, head, tail in split:
-            self.new[w] = self.parts[head] + self.parts[tail]
+            new[w] = parts[head] + parts[tail] if tail else parts[head]
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:  # it may hold a special token, which may reach over anything
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
         words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join([self.new[w] for w in words])
-        except KeyError:
-            self._add(words)
-        return b"".join([self.new[w] for w in words])
+        found = list(map(self.new.get, words))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            self._add({words[i] for i in at})
+            for i in at:
+                found[i] = self.new[words[i]]
+        return b"".join(found)
 
 
 _encoders: dict[str, Encoder] = {}

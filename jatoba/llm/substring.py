@@ -3,11 +3,13 @@
 A window is ``WINDOW`` consecutive words.  A word goes if a window covers it whose words also start in
 a document with a smaller id.
 
+0. A text that equals the text of a smaller id loses every word that a window covers, which is all of
+   them if it has a window at all; such copies take no part in what follows.
 1. Of each window the least hash of its ``GRAM``-word grams is its fingerprint; windows that follow
    one another mostly share it, so a run of them is one passage with one fingerprint, and equal
    windows have equal fingerprints wherever they are.
-2. Fingerprints of one document only can't matter (least and greatest id per fingerprint, combined
-   before the shuffle).  What is left are candidate passages.
+2. Fingerprints of one text only can't matter (least and greatest hash of a text per fingerprint,
+   combined before the shuffle).  What is left are candidate passages.
 3. Distinct candidate passages go to the shard of their fingerprint, each with the least id it has
    there; copies of a passage are joined inside each task first, so a passage of a third of all
    documents arrives once per task.  A shard builds an FM-index over its passages (a wavelet matrix
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import hashing
-from .common import documents, slices, table
+from .common import documents, slices, stash, table
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 4
@@ -44,6 +46,8 @@ WINDOW, GRAM = 13, 4
 RUN = 48
 #: Documents per shard, about.
 SHARD_DOCS = 1500
+#: Bytes of passages that a task gathers before it sends them.
+PACK_BYTES = 16 << 20
 
 
 def _runs(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,31 +84,53 @@ def _runs(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, n
     return owner[begin], at[begin], sizes, low[begin]
 
 
-def _shared(docs: DataFrame, window: int) -> DataFrame:
-    """Fingerprints of two documents or more."""
+def _shared(keyed: DataFrame, window: int) -> DataFrame:
+    """Fingerprints of two texts or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             owner, _, _, low = _runs(batch, window)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids)], ["fp", "d"])
+            ids = batch.column("th").to_numpy(zero_copy_only=False)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids)], ["fp", "t"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "fp bigint, d bigint")
-    return rows.groupBy("fp").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a < b").select("fp")
+    rows = keyed.filter("doc_id is not null").select("th", "text").mapInArrow(run, "fp bigint, t bigint")
+    return rows.groupBy("fp").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").select("fp")
 
 
-def _candidates(keyed: DataFrame, window: int) -> DataFrame:
-    """Per row key the runs (first word, windows, fingerprint) that other documents may share."""
+def _copies(keyed: DataFrame) -> DataFrame:
+    """Row keys of texts that a smaller id also has."""
+    rows = keyed.filter("doc_id is not null and text is not null").select("doc_id", "rid", "th", F.xxhash64(F.lit(7), "text").alias("th2"))
+    least = rows.groupBy("th", "th2").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return rows.join(least, ["th", "th2"]).filter("doc_id > d").select("rid").distinct()
+
+
+def _candidates(keyed: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+    """Per row key the first words of runs that other texts may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owner, at, size, low = _runs(batch, window)
+            owner, at, _, low = _runs(batch, window)
             ids = batch.column("rid").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int16))], ["fp", "rid", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids), pa.array(at.astype(np.int32))], ["fp", "rid", "first"])
 
-    rows = keyed.filter("doc_id is not null").select("rid", "text").mapInArrow(run, "fp bigint, rid bigint, first int, n smallint")
+    rows = keyed.filter("doc_id is not null").select("rid", "text").mapInArrow(run, "fp bigint, rid bigint, first int")
     kept = rows.join(_shared(keyed, window), "fp", "left_semi")
-    return kept.groupBy("rid").agg(F.collect_list(F.struct("first", "n", "fp")).alias("runs"))
+    return kept.groupBy("rid").agg(F.collect_list("first").alias("runs")).join(copies, "rid", "left_anti")
+
+
+def _marked(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Of a slice with ``runs``: text number, first word, fingerprint and words of the runs that are asked for."""
+    if batch.column("runs").null_count == len(batch):
+        return
+    owner, at, size, low = _runs(batch, window)
+    asked = [set(r) if r is not None else () for r in batch.column("runs").to_pylist()]
+    texts = batch.column("text").cast(pa.binary())
+    last, words = -1, []
+    for o, a, n, fp in zip(owner.tolist(), at.tolist(), size.tolist(), hashing.signed(low).tolist(), strict=True):
+        if a in asked[o]:
+            if o != last:
+                last, words = o, _words(texts[o].as_py())
+            yield o, a, fp, b" ".join(words[a : a + n + window - 1])
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -112,47 +138,62 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def _passages(joined: DataFrame, shards: int, window: int) -> DataFrame:
-    """Distinct candidate passages of each task: (shard, ph, passage, d); a passage that comes again with
-    a smaller id is sent again without its words."""
+    """Distinct candidate passages of each task, many to a row: (shard, ph, d, words, size), the hashes and
+    ids as 64-bit numbers, the passages compressed.  A passage that comes again with a smaller id is
+    sent again without its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
-        for batch in slices(batches):
-            out: list[tuple] = []
-            for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                words = _words(text)
-                for r in runs or ():
-                    raw = b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])
-                    ph = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                    had = least.get(ph)
-                    if had is None or doc < had:
-                        least[ph] = doc
-                        out.append((r["fp"] % shards, ph, raw if had is None else None, doc))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["shard", "ph", "passage", "d"])
+        held: dict[int, list[tuple[int, int, bytes]]] = {}
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for shard, found in held.items():
+                words = b"\n".join(x[2] for x in found)
+                rows.append((shard, np.array([x[0] for x in found], np.int64).tobytes(), np.array([x[1] for x in found], np.int64).tobytes(), pa.compress(words, "zstd", asbytes=True), len(words)))
+            held.clear()
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "ph", "d", "words", "size"])
 
-    return joined.mapInArrow(run, "shard int, ph bigint, passage binary, d bigint")
+        for batch in slices(batches):
+            docs = batch.column("doc_id").to_pylist()
+            for o, _, fp, raw in _marked(batch, window):
+                ph, doc = xxhash.xxh3_64_intdigest(raw) - (1 << 63), docs[o]
+                had = least.get(ph)
+                if had is None or doc < had:
+                    least[ph] = doc
+                    held.setdefault(fp % shards, []).append((ph, doc, raw if had is None else b""))
+                    total += len(raw)
+            if total > PACK_BYTES:
+                yield flush()
+                total = 0
+        if held:
+            yield flush()
+
+    return joined.mapInArrow(run, "shard int, ph binary, d binary, words binary, size bigint")
 
 
 def _occurrences(joined: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[tuple] = []
-            for rid, doc, text, runs in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                words = _words(text)
-                for r in runs or ():
-                    raw = b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])
-                    out.append((xxhash.xxh3_64_intdigest(raw) - (1 << 63), rid, doc, r["first"]))
+            docs, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
+            out = [(xxhash.xxh3_64_intdigest(raw) - (1 << 63), rids[o], docs[o], first) for o, first, _, raw in _marked(batch, window)]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["ph", "rid", "d", "first"])
 
     return joined.mapInArrow(run, "ph bigint, rid bigint, d bigint, first int")
 
 
-def shard_owners(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+def shard_owners(packed: pd.DataFrame, window: int) -> pd.DataFrame:
     """One shard: (ph, owners), the least id of every document that has each window of the passage."""
+    pdf = pd.DataFrame({
+        "ph": np.concatenate([np.frombuffer(x, np.int64) for x in packed["ph"]]),
+        "d": np.concatenate([np.frombuffer(x, np.int64) for x in packed["d"]]),
+        "passage": [p for w, n in zip(packed["words"], packed["size"], strict=True) for p in pa.decompress(w, int(n), "zstd", asbytes=True).split(b"\n")],
+    })
     least = pdf.groupby("ph")["d"].min()
-    words = pdf.dropna(subset=["passage"]).drop_duplicates("ph")
+    words = pdf[pdf["passage"] != b""].drop_duplicates("ph")
     codes: dict[bytes, int] = {}
     docs = [np.array([codes.setdefault(w, len(codes) + 1) for w in p.split(b" ")], np.int64) for p in words["passage"]]
     index = FMIndex(docs, least[words["ph"]].to_numpy(np.int64), window)
@@ -160,16 +201,18 @@ def shard_owners(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"ph": words["ph"].to_numpy(), "owners": [o[: len(o) - window + 1] for o in owners]})
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, rid) and (rid, starts): the first words of windows that a smaller id also has."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text, starts, copy): the first words of windows that a smaller id also has; of a copy, all."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text").alias("th"))
     shards = docs.count() // SHARD_DOCS + 32
-    joined = keyed.join(_candidates(keyed, window), "rid", "left").select("rid", "doc_id", "text", "runs")
+    copies = stash(_copies(keyed))
+    by_row = keyed.select("rid", "doc_id", "text")
+    joined = by_row.join(_candidates(keyed, copies, window), "rid", "left").select("rid", "doc_id", "text", "runs")
     owners = _passages(joined, shards, window).groupBy("shard").applyInPandas(lambda pdf: shard_owners(pdf, window), "ph bigint, owners array<bigint>")
     hit = _occurrences(joined, window).join(owners, "ph")
     lost = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("d"), F.col("first") + i)), lambda x: x.isNotNull())
     starts = hit.select("rid", lost.alias("s")).filter(F.size("s") > 0).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
-    return keyed, starts
+    return by_row.join(starts, "rid", "left").join(copies.withColumn("copy", F.lit(True)), "rid", "left").select("doc_id", "text", "starts", "copy")
 
 
 def covered(n_words: int, starts: list[int] | np.ndarray, window: int) -> np.ndarray:
@@ -181,7 +224,9 @@ def covered(n_words: int, starts: list[int] | np.ndarray, window: int) -> np.nda
     return np.cumsum(edge)[:n_words] > 0
 
 
-def _kept(words: list[bytes], starts: list[int] | None, window: int) -> list[bytes]:
+def _kept(words: list[bytes], starts: list[int] | None, copy: bool | None, window: int) -> list[bytes]:
+    if copy and len(words) >= window:
+        return []
     if not starts:
         return words
     gone = covered(len(words), starts, window)
@@ -190,34 +235,33 @@ def _kept(words: list[bytes], starts: list[int] | None, window: int) -> list[byt
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text (the kept words joined by a space), spans array<struct<first, end>> of removed words."""
-    keyed, starts = repeats(docs, window)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts, spans = [], []
-            for text, s in zip(pdf["text"], pdf["starts"], strict=True):
+            for text, s, copy in zip(pdf["text"], pdf["starts"], pdf["copy"], strict=True):
                 words = _words(text.encode("utf-8", "surrogatepass") if text else b"")
-                gone = covered(len(words), s if s is not None else [], window).astype(np.int8)
+                whole = copy is True and len(words) >= window
+                gone = np.ones(len(words), np.int8) if whole else covered(len(words), s if s is not None else [], window).astype(np.int8)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
                 spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 texts.append(b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "replace"))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "spans": spans})
 
-    return keyed.join(starts, "rid", "left").select("doc_id", "text", "starts").mapInPandas(run, "doc_id bigint, text string, spans array<struct<first:int,end:int>>")
+    return repeats(docs, window).mapInPandas(run, "doc_id bigint, text string, spans array<struct<first:int,end:int>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
-    keyed, starts = repeats(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for doc, text, s in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for doc, text, s, copy in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
                 words = _words(text)
-                kept = _kept(words, s, WINDOW)
+                kept = _kept(words, s, copy, WINDOW)
                 out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return keyed.join(starts, "rid", "left").select("doc_id", "text", "starts").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return repeats(docs).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -4,11 +4,13 @@ Numbers, names and units become typed placeholders, so a question with other num
 its template.  Windows of ``WIDTH`` template tokens of the benchmark are hashed once; windows of every
 whole document are probed against them in the same code-generated stage that makes them, and only
 counts per (document, item, diagonal) leave it.  A diagonal is a candidate if its windows are at
-least ``SHARE`` of the item's informative windows, or ``ENOUGH`` of them.  For candidates alone the
+least ``SHARE`` of the item's informative windows, or ``ENOUGH`` of them.  Capitals say nothing in upper
+or title case, so the words in lower case are probed beside the template, by the same rule with windows
+of their own (``KINDS``).  For candidates alone the
 tokens are laid side by side and the slots compared: each value of the item has to map to one value
 of the document of the same type, or the match is a coincidence of form.
 
-Tokens stay aligned with words: every word is one token or one placeholder.  A window with fewer than
+Tokens stay aligned with words in every reading: a word is one token or one placeholder.  A window with fewer than
 ``LITERAL`` literal tokens says nothing and is dropped.
 
 Edge cases: null and empty texts, and texts or items of fewer than ``WIDTH`` tokens, match nothing; a
@@ -55,49 +57,70 @@ def template_tokens(s: Column) -> Column:
     return _bare(F.regexp_replace(t, rf"{NUMBER} (?:{UNITS})(?=[ .!?]|$)", f"{NUMBER} {UNIT}"))
 
 
-def _windows(df: DataFrame) -> DataFrame:
-    """Add ``w``: hashes of all windows of ``WIDTH`` tokens of ``c``, by doubling, in order.  Explode it as
-    outer: for a plain explode the optimizer would push a test of its size down and make the tokens again."""
+#: Readings of a text: tokens by kind.
+KINDS = {"template": template_tokens, "exact": raw_tokens}
+
+
+def _windows(df: DataFrame, c: str, w: str) -> DataFrame:
+    """Add ``w``: hashes of all windows of ``WIDTH`` tokens of ``c``, by doubling, in order, other ones for each name ``c``."""
     assert WIDTH == 8
-    h = df.withColumn("__1", F.transform("c", lambda x: F.xxhash64(x)))
+    h = df.withColumn("__1", F.transform(c, lambda x: F.xxhash64(x, F.lit(c))))
     for k in (1, 2, 4):
         n = F.greatest(F.size(f"__{k}") - k, F.lit(0))
         h = h.withColumn(f"__{2 * k}", F.zip_with(F.slice(f"__{k}", F.lit(1), n), F.slice(f"__{k}", F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))).drop(f"__{k}")
-    return h.withColumnRenamed("__8", "w")
+    return h.withColumnRenamed("__8", w)
+
+
+def _probes(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, pos, h) of all readings.  Exploded as outer: for a plain explode the optimizer would push a test of
+    its size down and make the tokens again."""
+    for kind in KINDS:
+        df = _windows(df, kind, f"__w_{kind}")
+    each = df.select(*keep, F.explode_outer(F.array(*(f"__w_{kind}" for kind in KINDS))).alias("w"))
+    return each.select(*keep, F.posexplode_outer("w").alias("pos", "h"))
 
 
 def _is_slot(x: Column) -> Column:
     return x.isin(NUMBER, NAME, UNIT)
 
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
+def _read(df: DataFrame, text: str) -> DataFrame:
+    """Add a column of tokens for each kind."""
     s = df.withColumn("__s", spaced(F.coalesce(F.col(text), F.lit(""))))
-    return s.withColumn("c", template_tokens(F.col("__s"))).withColumn("r", raw_tokens(F.col("__s"))).drop("__s")
+    return s.withColumns({kind: tokens(F.col("__s")) for kind, tokens in KINDS.items()}).drop("__s")
+
+
+def _tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, kind, c, r): tokens and words of each reading."""
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("c"), F.col("exact").alias("r")) for kind in KINDS))
+    return _read(df, text).select(*keep, F.inline(each))
 
 
 def item_tokens(benchmark: DataFrame) -> DataFrame:
-    """(item, c, r)."""
-    items = benchmark.filter("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    return _tokens(items, "text").select(F.col("item_id").alias("item"), "c", "r")
+    """(item, kind, c, r)."""
+    items = benchmark.filter("item_id is not null").groupBy(F.col("item_id").alias("item")).agg(F.min("text").alias("text"))
+    return _tokens(items, "text", "item")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(h, item, at, n_windows): informative windows of the benchmark."""
-    each = _windows(items).select("item", "c", F.posexplode_outer("w").alias("at", "h"))
-    literal = F.size(F.filter(F.slice("c", F.col("at") + 1, WIDTH), lambda x: ~_is_slot(x)))
-    told = each.filter(F.col("h").isNotNull()).filter(literal >= LITERAL).select("item", "at", "h")
-    return told.withColumn("n_windows", F.count(F.lit(1)).over(W.partitionBy("item")))
+    """(h, item, kind, at, n_windows): informative windows of the benchmark."""
+    told = None
+    for kind in KINDS:
+        each = _windows(items.filter(F.col("kind") == kind).withColumnRenamed("c", kind), kind, "w").select("item", "kind", F.col(kind).alias("c"), F.posexplode_outer("w").alias("at", "h"))
+        literal = F.size(F.filter(F.slice("c", F.col("at") + 1, WIDTH), lambda x: ~_is_slot(x)))
+        some = each.filter(F.col("h").isNotNull()).filter(literal >= LITERAL).select("item", "kind", "at", "h")
+        told = some if told is None else told.unionAll(some)
+    return told.withColumn("n_windows", F.count(F.lit(1)).over(W.partitionBy("item", "kind")))
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, row, item, n_windows, diagonal, windows).  ``row`` is a hash of the text, so that rows with
+    """(doc_id, row, item, kind, n_windows, diagonal, windows).  ``row`` is a hash of the text, so that rows with
     one doc_id and other texts are kept apart; rows that repeat are counted once."""
     windows = item_windows(items)
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), template_tokens(spaced(F.coalesce("text", F.lit("")))).alias("c"))
-    probe = _windows(keyed).select("doc_id", "row", F.posexplode_outer("w").alias("pos", "h"))
-    hit = probe.join(windows, "h").groupBy("doc_id", "row", "item", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal"))
+    probe = _probes(_read(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), "text"), "doc_id", "row")
+    hit = probe.join(windows, "h").groupBy("doc_id", "row", "item", "kind", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal"))
     line = hit.agg(F.countDistinct("at").alias("windows"))
     return line.filter((F.col("windows") >= SHARE * F.col("n_windows")) | (F.col("windows") >= ENOUGH))
 
@@ -106,16 +129,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item, windows, n_windows, slots, broken): the best consistent diagonal of each pair."""
     items = item_tokens(benchmark)
     found = stash(candidates(docs, items))
+    exact = found.filter("kind = 'exact'").select("doc_id", "row", "item", "windows", "n_windows", F.lit(0).alias("slots"), F.lit(0).alias("broken"))
+    found = found.filter("kind <> 'exact'")
     some = found.select(F.col("doc_id").alias("d"), F.col("row").alias("x")).distinct()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("x")), "left_semi").dropDuplicates(["doc_id", "row"])
-    ours = _tokens(keyed, "text").select(F.col("doc_id").alias("d"), F.col("row").alias("x"), F.col("c").alias("oc"), F.col("r").alias("o"))
-    side = found.join(ours, found["doc_id"].eqNullSafe(ours["d"]) & (found["row"] == ours["x"])).join(items, "item")
+    ours = _tokens(keyed, "text", "doc_id", "row").filter("kind <> 'exact'").select(F.col("doc_id").alias("d"), F.col("row").alias("x"), F.col("kind").alias("k"), F.col("c").alias("oc"), F.col("r").alias("o"))
+    side = found.join(ours, found["doc_id"].eqNullSafe(ours["d"]) & (found["row"] == ours["x"]) & (found["kind"] == ours["k"])).join(items, ["item", "kind"])
     at = lambda i: i + F.col("diagonal")
     pairs = F.transform("c", lambda k, i: F.when((at(i) >= 0) & _is_slot(k) & (F.get("oc", at(i)) == k), F.struct(k.alias("kind"), F.get("r", i).alias("theirs"), F.get("o", at(i)).alias("ours"))))
     laid = side.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
     values = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"].alias("k"), x["theirs"].alias("t")))))
     scored = laid.withColumn("slots", F.size("pairs")).withColumn("broken", F.size("pairs") - values)
     consistent = scored.filter(F.col("broken") <= (1 - CONSISTENT) * F.col("slots"))
+    consistent = consistent.select(exact.columns).unionAll(exact)
     best = consistent.groupBy("doc_id", "row", "item").agg(F.max(F.struct("windows", "n_windows", "slots", "broken")).alias("b"))
     return best.select("doc_id", "row", "item", "b.*")
 

@@ -261,6 +261,22 @@ def test_templates_catch_other_numbers(spark):
     assert broken and decontam.clean(df, bench.limit(0)).count() == len(rows)
 
 
+ITEM = "A baker from the old town sells fresh bread every morning and her friend Anna carries 21 loaves of it over the bridge to the small market where they wait for people until the bell of the church rings"
+CHAT = "nothing of this is known to anybody here and so we go on with our long walk"
+
+
+def found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {r["doc_id"] for r in decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()}
+
+
+def test_shouted_copies_are_found(spark):
+    shouted = f"{CHAT}. {ITEM.upper()}. {CHAT}"
+    titled = f"{CHAT}. {ITEM.title()}. {CHAT}"
+    other = f"{CHAT}. {ITEM.replace('21', '35').upper()}. {CHAT}"
+    assert found(spark, [ITEM], [shouted, titled, other, CHAT.upper(), ITEM, CHAT]) == {0, 1, 2, 4}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert substring.deduplicate(none).count() == 0 and jaccard.near_duplicates(none).count() == 0 and packing.best_fit_pack(none).count() == 0

@@ -3,14 +3,16 @@
 Numbers, names and units become typed placeholders, so a question with other numbers or names keeps
 its template.  Windows of ``WIDTH`` template tokens of the benchmark are hashed once; windows of every
 whole document are probed against them in the same code-generated stage that makes them, and only
-counts per (document, item, diagonal) leave it.  A diagonal is a candidate if its windows are at
-least ``SHARE`` of the item's informative windows, or ``ENOUGH`` of them.  Capitals say nothing in upper
-or title case, so the words in lower case are probed beside the template, by the same rule with windows
-of their own (``KINDS``).  For candidates alone the
+item windows per (document, item, diagonal) leave it.  A diagonal is a candidate if its windows are at
+least ``SHARE`` of the item's informative windows, or ``ENOUGH`` of them; so are neighbouring diagonals
+together, as an inserted word moves all that follows: neighbours are no further apart than the item has
+windows.  Capitals say nothing in upper or title case, so the words in lower case are probed beside the
+template, and as a slot may be filled by more words than before, so is the template with runs of one
+placeholder made one token; each reading has windows of its own (``KINDS``).  For candidates alone the
 tokens are laid side by side and the slots compared: each value of the item has to map to one value
 of the document of the same type, or the match is a coincidence of form.
 
-Tokens stay aligned with words in every reading: a word is one token or one placeholder.  A window with fewer than
+Tokens stay aligned with words in every reading: a word, or a run of words in one slot, is one token.  A window with fewer than
 ``LITERAL`` literal tokens says nothing and is dropped.
 
 Edge cases: null and empty texts, and texts or items of fewer than ``WIDTH`` tokens, match nothing; a
@@ -57,8 +59,8 @@ def template_tokens(s: Column) -> Column:
     return _bare(F.regexp_replace(t, rf"{NUMBER} (?:{UNITS})(?=[ .!?]|$)", f"{NUMBER} {UNIT}"))
 
 
-#: Readings of a text: tokens by kind.
-KINDS = {"template": template_tokens, "exact": raw_tokens}
+#: Readings of a text.
+KINDS = ("template", "slots", "exact")
 
 
 def _windows(df: DataFrame, c: str, w: str) -> DataFrame:
@@ -84,16 +86,29 @@ def _is_slot(x: Column) -> Column:
     return x.isin(NUMBER, NAME, UNIT)
 
 
+def _starts(c: Column) -> Column:
+    """Where the tokens of the reading ``slots`` begin: a placeholder after its like goes on with the slot."""
+    return F.filter(F.transform(c, lambda x, i: F.when(~_is_slot(x) | (i == 0) | (F.get(c, i - 1) != x), i)), lambda i: i.isNotNull())
+
+
+def _collapsed(c: Column) -> Column:
+    return F.filter(c, lambda x, i: ~_is_slot(x) | (i == 0) | (F.get(c, i - 1) != x))
+
+
 def _read(df: DataFrame, text: str) -> DataFrame:
     """Add a column of tokens for each kind."""
     s = df.withColumn("__s", spaced(F.coalesce(F.col(text), F.lit(""))))
-    return s.withColumns({kind: tokens(F.col("__s")) for kind, tokens in KINDS.items()}).drop("__s")
+    s = s.withColumn("template", template_tokens(F.col("__s"))).withColumn("exact", raw_tokens(F.col("__s"))).drop("__s")
+    return s.withColumn("slots", _collapsed(F.col("template")))
 
 
 def _tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, kind, c, r): tokens and words of each reading."""
-    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("c"), F.col("exact").alias("r")) for kind in KINDS))
-    return _read(df, text).select(*keep, F.inline(each))
+    read = _read(df, text).withColumn("__from", _starts(F.col("template")))
+    until = lambda i: F.coalesce(F.get("__from", i + 1), F.size("exact"))
+    words = F.transform("__from", lambda x, i: F.array_join(F.slice("exact", x + 1, until(i) - x), " "))
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("c"), (words if kind == "slots" else F.col("exact")).alias("r")) for kind in KINDS))
+    return read.select(*keep, F.inline(each))
 
 
 def item_tokens(benchmark: DataFrame) -> DataFrame:
@@ -114,19 +129,30 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, row, item, kind, n_windows, diagonal, windows).  ``row`` is a hash of the text, so that rows with
-    one doc_id and other texts are kept apart; rows that repeat are counted once."""
+    """(doc_id, row, item, kind, n_windows, windows, lines): one diagonal, or neighbours whose windows are enough
+    together; ``lines`` has (windows, diagonal, at), the longest first.  ``row`` is a hash of the text, so that rows
+    with one doc_id and other texts are kept apart; rows that repeat are counted once."""
     windows = item_windows(items)
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     probe = _probes(_read(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), "text"), "doc_id", "row")
     hit = probe.join(windows, "h").groupBy("doc_id", "row", "item", "kind", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal"))
-    line = hit.agg(F.countDistinct("at").alias("windows"))
-    return line.filter((F.col("windows") >= SHARE * F.col("n_windows")) | (F.col("windows") >= ENOUGH))
+    line = hit.agg(F.collect_set("at").alias("at"))
+    pair = ("doc_id", "row", "item", "kind", "n_windows")
+    order = W.partitionBy(*pair).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.col("n_windows"), F.lit(True))
+    near = line.withColumn("__new", apart.cast("int")).withColumn("__near", F.sum("__new").over(order))
+    one = F.struct((-F.size("at")).alias("less"), "diagonal", F.array_sort("at").alias("at"))
+    joined = near.groupBy(*pair, "__near").agg(F.sort_array(F.collect_list(one)).alias("lines"))
+    enough = lambda windows: (windows >= SHARE * F.col("n_windows")) | (windows >= ENOUGH)
+    whole = F.size(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["at"]))))
+    alone = F.transform(F.filter("lines", lambda x: enough(-x["less"])), lambda x: F.struct((-x["less"]).alias("windows"), F.array(x).alias("lines")))
+    together = F.when((F.size("lines") > 1) & enough(whole), F.array(F.struct(whole.alias("windows"), F.col("lines")))).otherwise(F.array())
+    return joined.select(*pair, F.inline(F.concat(alone, together)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, row, item, windows, n_windows, slots, broken): the best consistent diagonal of each pair."""
+    """(doc_id, row, item, windows, n_windows, slots, broken): the best consistent candidate of each pair."""
     items = item_tokens(benchmark)
     found = stash(candidates(docs, items))
     exact = found.filter("kind = 'exact'").select("doc_id", "row", "item", "windows", "n_windows", F.lit(0).alias("slots"), F.lit(0).alias("broken"))
@@ -135,8 +161,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("x")), "left_semi").dropDuplicates(["doc_id", "row"])
     ours = _tokens(keyed, "text", "doc_id", "row").filter("kind <> 'exact'").select(F.col("doc_id").alias("d"), F.col("row").alias("x"), F.col("kind").alias("k"), F.col("c").alias("oc"), F.col("r").alias("o"))
     side = found.join(ours, found["doc_id"].eqNullSafe(ours["d"]) & (found["row"] == ours["x"]) & (found["kind"] == ours["k"])).join(items, ["item", "kind"])
-    at = lambda i: i + F.col("diagonal")
-    pairs = F.transform("c", lambda k, i: F.when((at(i) >= 0) & _is_slot(k) & (F.get("oc", at(i)) == k), F.struct(k.alias("kind"), F.get("r", i).alias("theirs"), F.get("o", at(i)).alias("ours"))))
+    # a token of the item lies on the longest line that has a window over it; a single line is laid along the whole item
+    over = lambda i: F.filter("lines", lambda x: (F.size("lines") == 1) | F.exists(x["at"], lambda a: (a <= i) & (i < a + WIDTH)))
+    laid = F.transform("c", lambda k, i: F.when(_is_slot(k), F.struct(k.alias("kind"), F.get("r", i).alias("theirs"), (i + F.get(over(i), F.lit(0))["diagonal"]).alias("to"))))
+    pairs = F.transform(laid, lambda x: F.when((x["to"] >= 0) & (F.get("oc", x["to"]) == x["kind"]), F.struct(x["kind"], x["theirs"], F.get("o", x["to"]).alias("ours"))))
     laid = side.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
     values = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"].alias("k"), x["theirs"].alias("t")))))
     scored = laid.withColumn("slots", F.size("pairs")).withColumn("broken", F.size("pairs") - values)

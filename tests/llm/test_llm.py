@@ -277,6 +277,23 @@ def test_shouted_copies_are_found(spark):
     assert found(spark, [ITEM], [shouted, titled, other, CHAT.upper(), ITEM, CHAT]) == {0, 1, 2, 4}
 
 
+def test_slots_may_grow_and_words_may_be_put_in(spark):
+    grown = ITEM.replace("Anna", "Mary Ann")
+    numbers = ITEM.replace("21", "twenty one").replace("Anna", "Eve")
+    put_in = ITEM.replace("loaves of it", "loaves of it slowly")
+    both = ITEM.replace("Anna", "Mary Ann").replace("bridge to", "bridge again to")
+    part = ITEM[: len(ITEM) // 4]
+    texts = [f"{CHAT} and {t} and {CHAT}" for t in (grown, numbers, put_in, both, part)]
+    assert found(spark, [ITEM], texts) == {0, 1, 2, 3}
+
+
+def test_values_are_told_apart_when_lines_are_joined(spark):
+    item = "if Anna has a box of red pens on 12 march then Anna gives some of the pens to a child and later in the day Anna buys more pens for the school"
+    other = item.replace("Anna", "Eve Marie").replace("some of", "some more of")
+    mixed = item.replace("then Anna", "then Peter").replace("day Anna", "day Olaf").replace("some of", "some more of")
+    assert found(spark, [item], [f"{CHAT} and {t} and {CHAT}" for t in (other, mixed)]) == {0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert substring.deduplicate(none).count() == 0 and jaccard.near_duplicates(none).count() == 0 and packing.best_fit_pack(none).count() == 0

@@ -5,12 +5,12 @@ spans of further kinds that patterns with fixed rules miss: ``handle`` (an addre
 at mail dot com"), ``number`` (a card or phone number that is spaced or marked otherwise) and
 ``secret`` (keys and tokens).  Only zones around digits, '@' and trigger words are decoded; within a
 zone all candidate segments of at most ``MAX_TOKENS`` tokens compete, each scored by features of the
-whole span and its kind, and dynamic programming chooses boundaries and kinds together, with at most
-``MAX_ENTITIES`` entities on a path of a window of ``WINDOW`` tokens.  The weights are trained here, by
+whole span and its kind, and dynamic programming chooses boundaries and kinds together over the
+whole zone, with as many entities as there are.  The weights are trained here, by
 gradient ascent on the semi-Markov likelihood over generated examples with known spans.
 
-Edge cases: null and empty texts have no spans; a very long text is decoded window by window, in
-linear time; rows that repeat are each decoded alike; an empty table gives no rows; a null doc_id is
+Edge cases: null and empty texts have no spans; a very long text is decoded in linear
+time, with features of ``WINDOW`` tokens in memory at once; rows that repeat are each decoded alike; an empty table gives no rows; a null doc_id is
 kept; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ from .common import documents, table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("handle", "number", "secret")
 KINDS = (*BASE, *ADDED)
-MAX_TOKENS, MAX_ENTITIES, WINDOW = 9, 8, 48
+MAX_TOKENS, WINDOW = 9, 48
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -193,33 +193,38 @@ def lattice(n: int, cands: list[tuple[int, int, np.ndarray]], weights: np.ndarra
     return scores, float(fwd[n]), marginal
 
 
-def best(n: int, cands: list[tuple[int, int, np.ndarray]], weights: np.ndarray, most: int = MAX_ENTITIES) -> list[tuple[int, int, str]]:
-    """The best segmentation with at most ``most`` entities: dynamic programming over (position, entities so far)."""
-    if not cands:
+def scored(text: str, tokens: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(i, j, kind, score) of the candidates that are worth more than none.  Those that begin in one window are scored
+    at once, amid the tokens that their features look at."""
+    for at in range(0, len(tokens), WINDOW):
+        lo = max(0, at - 2)
+        cands = [c for c in candidates(text, tokens[lo : at + WINDOW + MAX_TOKENS + 1]) if at <= lo + c[0] < at + WINDOW]
+        if cands:
+            scores = np.array([f for _, _, f in cands]) @ weights.T
+            for (i, j, _), kind, score in zip(cands, scores.argmax(1).tolist(), scores.max(1).tolist(), strict=True):
+                if score > 0:
+                    yield lo + i, lo + j, kind, score
+
+
+def best(n: int, found: Iterable[tuple[int, int, int, float]]) -> list[tuple[int, int, str]]:
+    """The best segmentation: dynamic programming over the positions."""
+    ends: dict[int, list[tuple[int, int, float]]] = {}
+    for i, j, kind, score in found:
+        ends.setdefault(j, []).append((i, kind, score))
+    if not ends:
         return []
-    scores = np.array([f for _, _, f in cands]) @ weights.T
-    kind = scores.argmax(1)
-    top = scores[np.arange(len(cands)), kind]
-    value = np.full((n + 1, most + 1), -np.inf)
-    value[:, 0] = 0
-    choice = np.full((n + 1, most + 1), -1)
-    ends: dict[int, list[int]] = {}
-    for c, (_, j, _) in enumerate(cands):
-        if top[c] > 0:
-            ends.setdefault(j, []).append(c)
+    value, choice = [0.0] * (n + 1), [None] * (n + 1)
     for t in range(1, n + 1):
-        value[t] = np.maximum(value[t - 1], value[t])
-        for c in ends.get(t, []):
-            gain = value[cands[c][0], :-1] + top[c]
-            better = gain > value[t, 1:]
-            value[t, 1:][better] = gain[better]
-            choice[t, 1:][better] = c
-    out, t, k = [], n, int(value[n].argmax())
-    while t and k:
-        c = choice[t, k]
-        if c >= 0 and value[t, k] > value[t - 1, k]:
-            out.append((cands[c][0], cands[c][1], ADDED[kind[c]]))
-            t, k = cands[c][0], k - 1
+        value[t] = value[t - 1]
+        for i, kind, score in ends.get(t, ()):
+            if value[i] + score > value[t]:
+                value[t], choice[t] = value[i] + score, (i, kind)
+    out, t = [], n
+    while t:
+        if choice[t]:
+            i, kind = choice[t]
+            out.append((i, t, ADDED[kind]))
+            t = i
         else:
             t -= 1
     return out[::-1]
@@ -326,10 +331,8 @@ def added_spans(text: str, weights: np.ndarray, taken: list[tuple[str, int, int]
             else:
                 free[-1].append((s, e))
         for run in free:
-            for at in range(0, len(run), WINDOW):
-                window = run[at : at + WINDOW]
-                for i, j, kind in best(len(window), candidates(part, window), weights):
-                    out.append((kind, a + window[i][0], a + window[j - 1][1]))
+            for i, j, kind in best(len(run), scored(part, run, weights)):
+                out.append((kind, a + run[i][0], a + run[j - 1][1]))
     return sorted(set(out), key=lambda s: (ADDED.index(s[0]), s[1], s[2]))
 
 

@@ -202,6 +202,17 @@ def test_fields_find_generated_entities():
     assert pii.mask("mail a@b.co ok", [("email", 5, 11)]) == "mail <email> ok"
 
 
+def test_fields_in_long_zones():
+    w = np.frombuffer(pii.train()).reshape(len(pii.ADDED), pii.N_FEATURES)
+    r = random.Random(3)
+    keys = ["".join(r.choices("abcdefghijkmnpqrstuvwxyz", k=4)) + "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=20)) + "7q9" for _ in range(48)]
+    text = "\n".join(keys)
+    assert pii.mask(text, pii.added_spans(text, w, [])) == "\n".join(["<secret>"] * 48)
+    for k in range(30, 60):
+        text = "a1 " * k + "call (415) 555-0134 now"
+        assert [text[a:b] for _, a, b in pii.added_spans(text, w, [])] == ["(415) 555-0134"], k
+
+
 def test_redaction_keeps_rows(docs):
     out = pii.redact(docs[0])
     assert out.columns == docs[0].columns and out.count() == len(docs[1])

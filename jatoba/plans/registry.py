@@ -99,6 +99,8 @@ query("hallucination_filter", _SEG + r""" SELECT rec_id, seg_id FROM (SELECT *,
     lambda s, d: Q.drop_hallucinations(segs(s, d).withColumn("text", F.when(F.col("seg_id") % 4 == 0, "Obrigado por assistir!").when(F.col("seg_id") % 4 == 1, "sim sim sim sim sim, não").otherwise(F.col("text"))).withColumn("no_speech_prob", F.lit(0.1)).withColumn("avg_logprob", F.lit(-0.2))).select("rec_id", "seg_id"))
 query("raw_confidence", "SELECT l_orderkey, l_linenumber, round(least(1.0, exp(-l_discount * 10)), 3) AS confidence FROM lineitem WHERE l_orderkey < 5000")(
     lambda s, d: adapters.table(s, d, "lineitem").filter("l_orderkey < 5000").select("l_orderkey", "l_linenumber", T.confidence(-F.col("l_discount") * 10).alias("confidence")))
+query("raw_confidence_all", "SELECT l_orderkey, l_linenumber, round(least(1.0, exp(-l_discount * 10)), 3) AS confidence FROM lineitem")(
+    lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.confidence(-F.col("l_discount") * 10).alias("confidence")))
 query("escaped_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")(lambda s, d: adapters.table(s, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped")))
 
 # ---- sequences ----------------------------------------------------------------------------------------

@@ -21,3 +21,19 @@ def test_query_has_rows(spark, sf_dir, name):
 def test_oracles_parse():
     con = duckdb.connect()
     assert all(con.extract_statements(sql) for sql in entry.oracle_sql().values())
+
+
+def same_as_sql(spark, sf_dir, name, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want)
+    return con, got
+
+
+def test_confidence_of_all_rows(spark):
+    con, got = same_as_sql(spark, "/root/testdata/sf0.01", "raw_confidence_all", "lineitem")
+    assert len(got) == con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert max(r[0] for r in got) > 5000

@@ -153,6 +153,7 @@ k AS (SELECT *, unnest(range(1, greatest(2, len(w)))) AS i FROM t WHERE length(t
 b AS (SELECT rec_id, seg_id, arg_min(i, (abs(head - length(t) / 2) + CASE WHEN head > 42 OR length(t) - head - 1 > 42 THEN 168.0 WHEN regexp_matches(w[i], '[,;:—–.!?…]$') THEN -10.5 ELSE 0 END, i)) AS i FROM h GROUP BY ALL)
 SELECT rec_id, seg_id, CASE WHEN i IS NULL THEN t ELSE array_to_string(w[1:i], ' ') || chr(10) || array_to_string(w[i + 1:], ' ') END AS lines FROM t LEFT JOIN b USING (rec_id, seg_id)""")(
     lambda s, d: segs(s, d).select("rec_id", "seg_id", F.array_join(T.wrap_two(F.substring("text", 1, 70), 42), "\n").alias("lines")))
+query("wrap_balanced_all", ORACLES["wrap_balanced"].replace("left(text, 70) AS raw", "text AS raw"))(lambda s, d: segs(s, d).select("rec_id", "seg_id", F.array_join(T.wrap_two(F.col("text"), 42), "\n").alias("lines")))
 
 # ---- text mining ----------------------------------------------------------------------------------------
 

@@ -51,15 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-_stashed: list[tuple[SparkSession, str]] = []
+_stashed: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _sweep() -> None:
-    for spark, path in _stashed:
+    for path, spark in _stashed.items():
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; the cluster's own clean-up then applies
             continue
 
@@ -71,8 +74,18 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if not _stashed:
         atexit.register(_sweep)
-    _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _stashed[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stash = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stashed tables that nothing reads any more: whatever was made of them is itself stored."""
+    for t in tables:
+        path = getattr(t, "_stash", None)
+        if path in _stashed:
+            _delete(_stashed.pop(path), path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least reachable id of every end of ``edges`` (a, b); ids are bigint."""
+    """(id, component): the least reachable id of every end of ``edges`` (a, b), of any one type with an order."""
     pairs = stash(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     labels: DataFrame | None = None
     while True:
@@ -23,17 +23,23 @@ def components(edges: DataFrame) -> DataFrame:
         while True:  # p <- p(p) until flat; paths go downwards, so their lengths halve
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             jumped = stash(parent.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            discard(parent)
+            flat = not jumped.filter("moved").take(1)
             parent = jumped.select("v", "p")
-            if not jumped.filter("moved").take(1):
+            parent._stash = jumped._stash
+            if flat:
                 break
+        old = labels
         if labels is None:
-            labels = parent.select(F.col("v").alias("id"), F.col("p").alias("component"))
+            labels = stash(parent.select(F.col("v").alias("id"), F.col("p").alias("component")))
         else:
             up = parent.select(F.col("v").alias("component"), F.col("p").alias("__p"))
-            labels = labels.join(up, "component", "left").select("id", F.coalesce("__p", "component").alias("component"))
+            labels = stash(labels.join(up, "component", "left").select("id", F.coalesce("__p", "component").alias("component")))
         root_a = parent.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         root_b = parent.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        pairs = stash(pairs.join(root_a, "a").join(root_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        left = stash(pairs.join(root_a, "a").join(root_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(old, parent, pairs)
+        pairs = left
         if not pairs.take(1):
+            discard(pairs)
             return labels
-        labels = stash(labels)

@@ -5,24 +5,27 @@ either of them, if a document is also copied to every pivot p with d(x, p) <= d(
 whole documents as the pivots of a whole corpus this prunes nothing: nearly all distances are 1, and
 every document is copied to every region.  So the first level takes pivots that are small sets:
 
-1. Sizes form rings (sizes of linked sets differ by at most the threshold; a document near the end of
-   its ring is also in the next: the window of that level).
-2. Within ring r, the symmetric difference of a linked pair (the metric of this level) is at most
-   delta_r; the shingles fall into k > delta_r parts by hash, so a linked pair agrees in a whole part.
-   Each part's content is a pivot, and a region is all sets that contain a pivot as their part.  This
-   is exact, and sets that share less than a part's worth of text are never in one region.
-3. A region sends a star of candidate edges, not its pairs; stars join to clusters (no cluster is
-   ever gathered to label it).  Every linked pair is inside one cluster.
+1. Shingles have one order for all sets: those outside a bounded table of the most frequent first, by
+   hash, then the frequent, rarest first.  Any pair within ``t`` shares one of the first
+   n - ceil(threshold n) + 1 shingles of either set, so each of those is a pivot and its region is all
+   sets that have it there.  The order changes the work only, never the links.
+2. A region links its sets by chains over their sizes (sizes of linked sets differ by at most the
+   threshold: the window of this level).  Each task chains its own sets first and sends one row a
+   region and chain, so a region of any size costs its readers one row a task.
+3. Chains join to clusters (no cluster is ever gathered to label it).  Every linked pair is inside one.
 4. Clusters, which are near one another in text, are joined by Voronoi regions over document
-   pivots, as above, again and again while a region is too large for a task; a region that does not
-   shrink becomes a grid of pairs of its blocks.
+   pivots, as above, again and again while a region is too large for a task.  Sets linked with a pivot
+   are connected through it, so only pairs with a set that is not (a loose one) are left to do: a region
+   without loose sets is done, and one that does not shrink becomes a grid of pairs of blocks, one
+   of them loose.
 5. In a region that fits, links are exact: pivots link what is within t of them, their distances
    rule out pairs that differ by more than t (triangle inequality), and a prefix index, rarest shingle
    first, proposes the other pairs.  Pairs already connected are not computed again: the result is
    components.
 
-Equal sets are one class from the start, by a 128-bit sum over shingle hashes (shingles are 64-bit
-hashes), so copies are never paired.
+Equal sets are one class from the start, named by a 128-bit sum over shingle hashes (shingles are
+64-bit hashes), so copies are never paired.  Candidates (1 to 3) go by the first half of the name: sets
+that share it by chance only meet in a cluster, links and components go by the whole name.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link with nothing,
 not with one another; fewer words than a shingle are one shingle; rows that repeat are links of one
@@ -37,38 +40,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from . import hashing
-from .common import documents, slices, stash, table
+from .common import discard, documents, slices, stash, table
 from .components import components
 
 SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
-#: Sets that one task joins at once, and their shingles; the bits of the filter of clustered sets.
-REGION_SETS, REGION_SHINGLES, FILTER_BITS = 2000, 2_000_000, 1 << 23
-PIVOTS, DEPTH = 16, 3
-
-
-class Level:
-    """Rings and numbers of parts for a threshold num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        # up to this size, 2 (den - num) n < den + num, so sets that differ can't be linked
-        self.high = [max(1, (den + num - 1) // (2 * (den - num)))]
-        while self.high[-1] < 1 << 30:
-            self.high.append(max(self.high[-1] + 1, self.high[-1] * 3 // 2))
-        self.tops = np.array(self.high, np.int64)
-        self.delta = 2 * (den - num) * self.tops // (den + num)
-        # a few parts more than delta + 1, so that empty parts need not be sent by most sets
-        self.spare = self.delta // 40 + 2
-        self.parts = self.delta + 1 + self.spare
-
-    def rings(self, n: int) -> list[int]:
-        r = int(np.searchsorted(self.tops, n))
-        if r == 0:
-            return [1] if self.den * n >= self.num * (self.high[0] + 1) else []
-        return [r, r + 1] if self.den * n >= self.num * (self.high[r] + 1) else [r]
+#: Sets that one task joins at once, and their shingles; the most bits of the filter of clustered sets.
+REGION_SETS, REGION_SHINGLES, FILTER_BITS = 2000, 2_000_000, 1 << 26
+PIVOTS, DEPTH = 64, 3
+#: Shingles that are known to be frequent (they are sent to all tasks), and the rows a task sorts at once.
+FREQUENT, BUFFER = 1 << 17, 1 << 20
+#: Rows of one class that are joined with its name apart from all others (or a ten-thousandth of all rows, if that is more).
+HOT_ROWS = 4096
 
 
 def set_hashes(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -92,111 +79,248 @@ def signature(h: np.ndarray) -> tuple[int, int]:
     return tuple(hashing.mix(s).view(np.int64).tolist())
 
 
-def part_signatures(h: np.ndarray, level: Level) -> np.ndarray:
-    """Region keys of a set."""
-    out = []
-    spread = hashing.mix(h ^ np.uint64(0x8EBC6AF09C88C6E3))
-    value = hashing.mix(h + np.uint64(0x589965CC75374CC3))
-    for r in level.rings(len(h)):
-        k = int(level.parts[r])
-        part = (spread % np.uint64(k)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(k + 1, np.uint64)
-        np.cumsum(value[order], out=(c := np.zeros(len(h) + 1, np.uint64))[1:])
-        ends = np.searchsorted(part[order], np.arange(k + 1))
-        sums = c[ends[1:]] - c[ends[:-1]]
-        empty = ends[1:] == ends[:-1]
-        key = hashing.mix(sums ^ hashing.mix(np.arange(k, dtype=np.uint64) + np.uint64(r << 32)))
-        out.append(key[~empty] if empty.sum() <= level.spare[r] else key)
-    return hashing.signed(np.concatenate(out)) if out else np.empty(0, np.int64)
+def names(s1: np.ndarray, s2: np.ndarray) -> pa.Array:
+    """The two halves of signatures as one binary column."""
+    both = np.stack([s1, s2], 1).astype("<i8")
+    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(np.arange(0, 16 * len(both) + 1, 16, dtype=np.int32)), pa.py_buffer(both.tobytes())])
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2) of each row."""
+    """Add n and id (null without words) to the rows of ``docs``, whose text goes."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, s1, s2 = [], [], []
-            for h in set_hashes(batch, k):
-                a, b = signature(h) if len(h) else (None, None)
-                n.append(len(h))
-                s1.append(a)
-                s2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "s1", "s2"])
+            sets = list(set_hashes(batch, k))
+            n = np.array([len(h) for h in sets], np.int64)
+            sig = np.array([signature(h) if len(h) else (0, 0) for h in sets], np.int64).reshape(-1, 2)
+            ids = pc.if_else(pa.array(n > 0), names(sig[:, 0], sig[:, 1]), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), ids], [*kept, "n", "id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(run, f"{schema}n bigint, id binary")
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(s1, hashes) of the sets of a task, each once."""
-    seen: set[int] = set()
+def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """(signature, hashes) of the sets of a task, each once."""
+    seen: set[tuple[int, int]] = set()
     for batch in slices(batches):
         for h in set_hashes(batch, k):
-            if len(h) and (s := signature(h)[0]) not in seen:
+            if len(h) and (s := signature(h)) not in seen:
                 seen.add(s)
                 yield s, h
 
 
-def stars(docs: DataFrame, k: int, level: Level) -> DataFrame:
-    """Candidate edges (a, b) between sets of one region: each member with the region's first."""
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the shingles most sets have, and their rank (rarest 0)."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
-        total = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate([p for _, p in held])
-            ids = np.repeat(np.array([s for s, _ in held], np.int64), [len(p) for _, p in held])
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], ["region", "s1"])
-
-        for s, h in _distinct_sets(batches, k):
-            if len(p := part_signatures(h, level)):
-                held.append((s, p))
-                total += len(p)
-                if total > 100_000:
-                    yield flush()
-                    total = 0
+            v, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c >= 4
+            return pa.RecordBatch.from_arrays([pa.array(hashing.signed(v[often])), pa.array(c[often])], ["v", "c"])
+
+        for _, h in _distinct_sets(batches, k):
+            held.append(h)
+            total += len(h)
+            if total > BUFFER:
+                yield flush()
+                held, total = [], 0
         if held:
             yield flush()
 
+    counts = docs.select("text").mapInArrow(run, "v bigint, c bigint").groupBy("v").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.col("c").desc(), "v").limit(FREQUENT).toPandas()
+    v, c = top["v"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    order = np.argsort(v)
+    v, c = v[order], c[order]
+    rank = np.empty(len(v), np.int64)
+    rank[np.lexsort((v, c))] = np.arange(len(v))
+    return v, rank
+
+
+def prefix(h: np.ndarray, num: int, den: int, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(threshold n) + 1 shingles of a set in the common order."""
+    p = len(h) - (num * len(h) + den - 1) // den + 1
+    if not len(often):
+        return h[:p]
+    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+    common = often[at] == h
+    rare = h[~common]
+    if len(rare) >= p:
+        return rare[:p]
+    rest = h[common][np.argsort(rank[at[common]])]
+    return np.concatenate([rare, rest[: p - len(rare)]])
+
+
+def _chains(region: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For rows in order of (region, low), whether a row begins a chain: no set before it in its region
+    is large enough to link with it."""
+    group = np.cumsum(np.concatenate([[0], (region[1:] != region[:-1]).astype(np.int64)]))
+    top = np.maximum.accumulate(group * (1 << 40) + high) - group * (1 << 40)
+    new = np.ones(len(region), bool)
+    new[1:] = (group[1:] != group[:-1]) | (num * low[1:] > den * top[:-1])
+    return new
+
+
+CHAINS = "region bigint, low bigint, high bigint, a bigint, b bigint"
+_CHAINS = pa.schema([("region", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def chain_rows(sets: Iterator[tuple[int, int, np.ndarray]], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """From (half name, size, pivots) of the sets of a task: one row a region and chain, and the edges inside chains."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    total = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        region = hashing.signed(np.concatenate([p for *_, p in held]))
+        who = np.repeat(np.arange(len(held)), [len(p) for *_, p in held])
+        sizes = np.array([n for _, n, _ in held], np.int64)
+        s = np.array([x for x, *_ in held], np.int64)
+        held.clear()
+        order = np.lexsort((who, sizes[who], region))
+        region, who = region[order], who[order]
+        n = sizes[who]
+        first = np.flatnonzero(_chains(region, n, n, num, den))
+        last = np.concatenate([first[1:], [len(n)]]) - 1
+        lead = np.repeat(who[first], last - first + 1)
+        pairs = np.unique(np.stack([lead, who], 1)[lead != who], axis=0)
+        if len(pairs):
+            a, b = s[pairs[:, 0]], s[pairs[:, 1]]
+            none = np.full(len(pairs), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, none, none, a, b)], schema=_CHAINS)
+        by = np.argsort(who[first], kind="stable")  # rows of one set lie together, so they compress
+        first, last = first[by], last[by]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (region[first], n[first], n[last], s[who[first]])), pa.nulls(len(first), pa.int64())], schema=_CHAINS)
+
+    for row in sets:
+        if len(row[2]):
+            held.append(row)
+            total += len(row[2])
+        if total > BUFFER:
+            yield from flush()
+            total = 0
+    if held:
+        yield from flush()
+
+
+def chain_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) from the rows of all tasks: chains of a region that touch become one."""
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted; the first of a region may be in an earlier batch."""
-        region, leader = None, None
+        """Rows arrive sorted; a chain may go on in the next batch, so it is carried over as one row."""
+        carry: pa.RecordBatch | None = None
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            r, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(r):
+            if not batch.num_rows:
+                continue
+            inside = pc.is_valid(batch.column("b"))
+            done = batch.filter(inside)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column("a"), done.column("b")], schema=out)
+            rows = batch.filter(pc.invert(inside))
+            if not rows.num_rows:
                 continue
-            new = np.concatenate([[r[0] != region], r[1:] != r[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(r)), -1))
-            lead = np.where(first >= 0, s[first], leader if leader is not None else 0)
-            region, leader = r[-1], lead[-1]
-            pairs = pd.DataFrame({"a": lead, "b": s})
-            pairs = pairs[pairs["a"] != pairs["b"]].drop_duplicates()
-            yield pa.RecordBatch.from_pandas(pairs, preserve_index=False, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    rows = docs.select("text").mapInArrow(keys, "region bigint, s1 bigint")
-    dealt = rows.repartition("region").sortWithinPartitions("region", "s1")
+            if carry is not None:
+                rows = pa.Table.from_batches([carry, rows]).combine_chunks().to_batches()[0]
+            region, low, high = (rows.column(c).to_numpy() for c in ("region", "low", "high"))
+            new = _chains(region, low, high, num, den)
+            first = np.flatnonzero(new)
+            lead = first[np.cumsum(new) - 1]
+            member = np.flatnonzero(lead != np.arange(len(lead)))
+            pairs = pa.table([rows.column("a").take(pa.array(lead[member])), rows.column("a").take(pa.array(member))], schema=out)
+            pairs = pairs.filter(pc.not_equal(pairs["a"], pairs["b"])).group_by(["a", "b"]).aggregate([])
+            yield from pairs.to_batches()
+            at = pa.array(first[-1:])
+            top = pa.array([int(high[first[-1] :].max())])
+            carry = pa.RecordBatch.from_arrays([rows.column("region").take(at), rows.column("low").take(at), top, rows.column("a").take(at), rows.column("b").take(at)], schema=_CHAINS)
+
+    dealt = rows.repartition("region").sortWithinPartitions("region", "low")
     return dealt.mapInArrow(runs, "a bigint, b bigint").distinct()
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of hashed ids; its size is fixed, so it can be sent everywhere.  It only saves shuffling."""
+def stars(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Candidate edges (a, b) between sets of one region: each member of a chain with the chain's first."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chain_rows(((s[0], len(h), prefix(h, num, den, *common)) for s, h in _distinct_sets(batches, k)), num, den)
+
+    return chain_edges(docs.select("text").mapInArrow(keys, CHAINS), num, den)
+
+
+def thin(rows: DataFrame, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Candidate edges (a, b) again, between the sets of (s1, h) of which each is there once, in the exact order:
+    shingles are ranked by the number of these sets that have them (those known to be frequent last).
+    A set with more shingles of its own than its pivots are is left without edges: it has no link."""
+    often, rank = common
+
+    def known(h: np.ndarray) -> np.ndarray:
+        if not len(often):
+            return np.zeros(len(h), bool)
+        return often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(s1, v) of shingles, and per set (s1, n, number of frequent ones, those that may be pivots)."""
+        lists = pa.list_(pa.int64())
+        for batch in batches:
+            for s1, h in zip(batch.column("s1").to_pylist(), batch.column("h"), strict=True):
+                x = _array(h)
+                of = known(x)
+                last = x[of]
+                last = last[np.argsort(rank[np.searchsorted(often, last)])][: len(x) - (num * len(x) + den - 1) // den + 1] if len(last) else last
+                v = hashing.signed(x[~of])
+                count = len(v) + 1
+                spare = pa.nulls(len(v), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(count, s1)), pa.concat_arrays([pa.array(v), pa.nulls(1, pa.int64())]), pa.concat_arrays([spare, pa.array([len(x)])]), pa.concat_arrays([spare, pa.array([int(of.sum())])]), pa.concat_arrays([pa.nulls(len(v), lists), pa.array([hashing.signed(last)], lists)])],
+                    ["s1", "v", "n", "frequent", "last"],
+                )
+
+    both = rows.select("s1", "h").mapInArrow(spread, "s1 bigint, v bigint, n bigint, frequent bigint, last array<bigint>")
+    counted = both.filter("v is not null").select("v", "s1").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("c > 1")
+    shared = counted.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("shared"))
+    sets = both.filter("v is null").join(shared, "s1", "left").select("s1", "n", "frequent", "last", "shared")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[tuple[int, int, np.ndarray]]:
+            for batch in batches:
+                rest, last = batch.column("shared"), batch.column("last")
+                for i, (s1, n, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s1", "n", "frequent")), strict=True)):
+                    own = _numbers(rest[i].values.field("v")).view(np.uint64) if rest[i].is_valid else np.empty(0, np.uint64)
+                    p = n - (num * n + den - 1) // den + 1 - (n - len(own) - f)
+                    yield s1, n, np.concatenate([own, _array(last[i])])[: max(p, 0)]
+
+        return chain_rows(told(), num, den)
+
+    return chain_edges(sets.mapInArrow(keys, CHAINS), num, den)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, 16 bits an id but never more than FILTER_BITS, so that it can be sent
+    everywhere.  It only saves shuffling: what passes it is joined by id."""
+    bits = 1 << 16
+    want = 16 * ids.count()
+    while bits < min(want, FILTER_BITS):
+        bits *= 2
     pages, size = 64, bits // 8 // 64
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(bits, bool)
-        for pdf in frames:
-            bitmap[_slot(pdf["id"].to_numpy(), bits)] = True
+        for batch in batches:
+            if batch.num_rows:
+                bitmap[_slot(batch.column("id").to_numpy(), bits)] = True
         packed = np.packbits(bitmap).reshape(pages, size)
-        yield pd.DataFrame({"page": range(pages), "v": [p.tobytes() for p in packed]})
+        hit = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([packed[p].tobytes() for p in hit], pa.binary())], ["page", "v"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["v"]]))
         return pd.DataFrame({"page": pdf["page"][:1], "v": [v.tobytes()]})
 
     out = np.zeros((pages, size), np.uint8)
-    for r in ids.select("id").mapInPandas(run, "page int, v binary").groupBy("page").applyInPandas(merge, "page int, v binary").collect():
+    for r in ids.select("id").mapInArrow(run, "page int, v binary").groupBy("page").applyInPandas(merge, "page int, v binary").collect():
         out[r["page"]] = np.frombuffer(r["v"], np.uint8)
     return out.ravel()
 
@@ -206,23 +330,28 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def members(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
-    """(cluster, id, h) of clustered sets; copies in several tasks may repeat a row."""
+    """(cluster, s1, id, h, task) of clustered sets; copies in several tasks repeat a row."""
     packed = id_filter(clusters)
+    bits = len(packed) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = len(packed) * 8
+        task = TaskContext.get().partitionId()
         for s, h in _distinct_sets(batches, k):
-            i = int(_slot(np.array([s], np.int64), bits)[0])
+            i = int(_slot(np.array(s[:1], np.int64), bits)[0])
             if packed[i >> 3] >> (7 - (i & 7)) & 1:
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([hashing.signed(h)], pa.list_(pa.int64()))], ["id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[:1], pa.int64()), names(np.array(s[:1]), np.array(s[1:])), pa.array([hashing.signed(h)], pa.list_(pa.int64())), pa.array([task], pa.int32())], ["s1", "id", "h", "task"])
 
-    sets = docs.select("text").mapInArrow(run, "id bigint, h array<bigint>")
-    return sets.join(clusters.select("id", F.col("component").alias("cluster")), "id").select("cluster", "id", "h")
+    sets = docs.select("text").mapInArrow(run, "s1 bigint, id binary, h array<bigint>, task int")
+    return sets.join(clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "s1", "id", "h", "task")
 
 
 # ---- joining a region that fits --------------------------------------------------------------------
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _array(scalar: pa.ListScalar) -> np.ndarray:
     """The numbers of a list cell, without Python objects."""
     return scalar.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -244,12 +373,13 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(x) + len(y) - inter)
 
 
-def join_region(ids: list[int], sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets.  With ``side`` (0 or 1), only what links across counts."""
+def join_region(ids: list[bytes], sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, core: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links among sets.  With ``side`` (0 or 1), only what links across counts; sets in
+    ``core`` are connected already."""
     n = len(ids)
     t = 1 - num / den + 1e-12
     root = list(range(n))
-    forest: list[tuple[int, int]] = []
+    forest: list[tuple[bytes, bytes]] = []
 
     def find(a: int) -> int:
         while root[a] != a:
@@ -263,9 +393,14 @@ def join_region(ids: list[int], sets: list[np.ndarray], num: int, den: int, side
             root[max(p, q)] = min(p, q)
             forest.append((ids[a], ids[b]))
 
+    if core is not None and core.any():
+        inner = np.flatnonzero(core).tolist()
+        for j in inner:
+            root[j] = inner[0]
+
     # pivots: what is within t of one is linked to it; distances serve as windows below
     far: list[np.ndarray] = []
-    for p in np.linspace(0, n - 1, min(PIVOTS, max(1, n // 8))).astype(int) if n > 8 else ():
+    for p in np.linspace(0, n - 1, min(16, max(1, n // 8))).astype(int) if n > 8 else ():
         d = 1 - _jaccard(sets[p], sets)
         for j in np.flatnonzero(d <= t):
             if j != p and linked(sets[p], sets[j], num, den):
@@ -299,104 +434,206 @@ def join_region(ids: list[int], sets: list[np.ndarray], num: int, den: int, side
     return forest
 
 
-def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+def _frame(pairs: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+
+
+class Pivots:
+    """The pivots of a region: distances of a set to all of them at once, and what links them."""
+
+    def __init__(self, ids: list[bytes], sets: list[np.ndarray], num: int, den: int):
+        self.ids, self.sizes, self.num, self.den = ids, np.array([len(x) for x in sets]), num, den
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.links = join_region(ids, sets, num, den)
+        at = {x: i for i, x in enumerate(ids)}
+        self.root = np.arange(len(ids))
+        for a, b in self.links:  # few pivots: relabel
+            p, q = self.root[at[a]], self.root[at[b]]
+            self.root[self.root == max(p, q)] = min(p, q)
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.ids))
 
 
 def _fits(rows: DataFrame) -> DataFrame:
-    """Regions and whether they fit a task."""
-    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("h")).alias("shingles")).withColumn("fits", (F.col("sets") <= REGION_SETS) & (F.col("shingles") <= REGION_SHINGLES))
+    """Regions that have pairs to compare, their sizes, and whether they fit a task."""
+    once = rows.select("region", "id", "core", F.size("h").alias("s")).distinct()
+    of = lambda c, v: F.sum(F.when(c, v).otherwise(0))
+    sums = [of(F.col("core"), F.lit(1)).alias("core_sets"), of(F.col("core"), F.col("s")).alias("core_shingles"), of(~F.col("core"), F.lit(1)).alias("loose_sets"), of(~F.col("core"), F.col("s")).alias("loose_shingles")]
+    fits = (F.col("core_sets") + F.col("loose_sets") <= REGION_SETS) & (F.col("core_shingles") + F.col("loose_shingles") <= REGION_SHINGLES)
+    return once.groupBy("region").agg(*sums).filter("loose_sets > 0").withColumn("fits", fits)
 
 
 def join_regions(rows: DataFrame, num: int, den: int, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) inside regions of (region, id, h), a spanning forest of each."""
+    """Links (a, b) inside regions of (region, id, h, core): with the connections of core sets, a spanning
+    forest of each."""
     t = 1 - num / den
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        return _frame(join_region(pdf["id"].tolist(), [np.asarray(h).view(np.uint64) for h in pdf["h"]], num, den))
+        return _frame(join_region(pdf["id"].tolist(), [np.asarray(h).view(np.uint64) for h in pdf["h"]], num, den, None, pdf["core"].to_numpy(bool)))
 
     sizes = stash(_fits(rows))
     small = rows.join(sizes.filter("fits").select("region"), "region", "left_semi")
-    found = small.groupBy("region").applyInPandas(whole, "a bigint, b bigint")
-    large = sizes.filter("not fits").select("region", "sets", "shingles")
+    found = small.groupBy("region").applyInPandas(whole, "a binary, b binary")
+    large = sizes.filter("not fits").drop("fits")
     if not large.take(1):
         return found
-    big = stash(rows.join(large, "region"))
-    if depth == 0:
-        return found.unionByName(_grid(big, num, den))
-    # pivots: the PIVOTS sets of each large region that a hash puts first; few regions are large
-    choice = big.select("region", "id", F.xxhash64("region", "id").alias("o")).distinct()
-    pivots = big.join(_first(choice), ["region", "id"], "left_semi").groupBy("region", "id").agg(F.first("h").alias("h"))
-    packs = pivots.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("pivots"))
+    big = stash(rows.select("region", "id", "h").join(large, "region").dropDuplicates(["region", "id"]))
+    # pivots: the PIVOTS sets of each large region that a hash puts first; every part of a region gets them first
+    parts = F.ceil(F.greatest((F.col("core_sets") + F.col("loose_sets")) / REGION_SETS, (F.col("core_shingles") + F.col("loose_shingles")) / REGION_SHINGLES)).cast("int")
+    chosen = big.join(_first(big.select("region", "id", F.xxhash64("region", "id").alias("o"))), ["region", "id"], "left_semi")
+    sent = chosen.select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), "id", "h")
+    dealt = big.select("region", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "id", "h").unionByName(sent)
+    schema = pa.schema([("parent", pa.int64()), ("k", pa.int32()), ("id", pa.binary()), ("h", pa.list_(pa.int64())), ("core", pa.bool_()), ("root", pa.int32()), ("other", pa.binary())])
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, unpacked = None, []
+        """A set in all regions its window touches (k >= 0, its own first), and links with pivots (other)."""
+        place, pivots, waiting = None, None, []
         for batch in batches:
-            parent, ids, sets, packed = (batch.column(n) for n in ("region", "id", "h", "pivots"))
-            rows, ks = [], []
-            for i, r in enumerate(parent.to_pylist()):
-                if r != region:  # rows of a region repeat its pivots, which are unpacked once
-                    region, unpacked = r, [_array(p["h"]) for p in packed[i]]
-                d = 1 - _jaccard(_array(sets[i]), unpacked)
+            parent, part, turn, ids, sets = (batch.column(n) for n in ("region", "part", "turn", "id", "h"))
+            rows, ks, cores, roots, links = [], [], [], [], []
+            for i, (r, q, w) in enumerate(zip(parent.to_pylist(), part.to_pylist(), turn.to_pylist(), strict=True)):
+                if (r, q) != place:
+                    place, pivots, waiting = (r, q), None, []
+                if w == 0:
+                    waiting.append((ids[i].as_py(), _array(sets[i]).copy()))
+                    continue
+                if pivots is None:
+                    waiting.sort(key=lambda x: x[0])
+                    pivots = Pivots([a for a, _ in waiting], [b for _, b in waiting], num, den)
+                    links += [(i, a, b) for a, b in pivots.links]
+                x, name = _array(sets[i]), ids[i].as_py()
+                both = pivots.shared(x)
+                union = len(x) + pivots.sizes - both
+                d = 1 - both / union
                 near = np.flatnonzero(d <= d.min() + 2 * t + 1e-9)
+                near = near[np.argsort(d[near], kind="stable")]
+                joined = np.flatnonzero(den * both >= num * union)
+                mine, at = np.unique(pivots.root[joined], return_index=True)
+                links += [(i, pivots.ids[p], name) for p in joined[at] if pivots.ids[p] != name]
                 rows += [i] * len(near)
                 ks += near.tolist()
+                cores += np.isin(pivots.root[near], mine).tolist()
+                roots += [int(mine[0]) if len(mine) and j == 0 else -1 for j in range(len(near))]
+                ks[-len(near)] = -1 - ks[-len(near)]  # its own region, told apart by the sign
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([parent.take(at), pa.array(ks, pa.int32()), ids.take(at), sets.take(at)], ["parent", "k", "id", "h"])
-
-    dealt = big.select("region", "id", "h").join(packs, "region").mapInArrow(home, "parent bigint, k int, id bigint, h array<bigint>")
-    below = stash(dealt.select(F.xxhash64("parent", "k").alias("region"), "parent", "id", "h"))
-    # a region that has not lost a quarter of its parent's sets will not shrink further: it becomes a grid
-    grown = below.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("c")).join(large.select(F.col("region").alias("parent"), "sets"), "parent")
-    stuck = grown.groupBy("parent").agg(F.max(F.col("c") / F.col("sets")).alias("share")).filter("share > 0.75").select("parent")
-    on = below.join(stuck, "parent", "left_anti").select("region", "id", "h")
-    grid = _grid(big.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi"), num, den)
-    found = found.unionByName(grid)
-    return found.unionByName(join_regions(on, num, den, depth - 1)) if on.take(1) else found
+            yield pa.RecordBatch.from_arrays([parent.take(at), pa.array(ks, pa.int32()), ids.take(at), sets.take(at), pa.array(cores, pa.bool_()), pa.array(roots, pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
+            if links:
+                n = len(links)
+                yield pa.RecordBatch.from_arrays([parent.take(pa.array([i for i, *_ in links])), pa.nulls(n, pa.int32()), pa.array([a for _, a, _ in links], pa.binary()), pa.nulls(n, schema.field("h").type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int32()), pa.array([b for *_, b in links], pa.binary())], schema=schema)
+
+    ordered = dealt.repartition("region", "part").sortWithinPartitions("region", "part", "turn")
+    below = stash(ordered.mapInArrow(home, "parent bigint, k int, id binary, h array<bigint>, core boolean, root int, other binary"))
+    found = found.unionByName(below.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    next_rows = below.filter("other is null").select(F.xxhash64("parent", F.when(F.col("k") < 0, -1 - F.col("k")).otherwise(F.col("k"))).alias("region"), "parent", "id", "h", "core")
+    # a region that has not lost a quarter of its parent's sets will not shrink further: the parent becomes a grid
+    total = large.select(F.col("region").alias("parent"), (F.col("core_sets") + F.col("loose_sets")).alias("sets"))
+    grown = next_rows.groupBy("region", "parent").agg(F.count(F.lit(1)).alias("c"), F.max(~F.col("core")).alias("open")).filter("open").join(total, "parent")
+    stuck = stash(grown.groupBy("parent").agg(F.max(F.col("c") / F.col("sets")).alias("share")).filter("share > 0.75" if depth else "true").select("parent"))
+    if stuck.take(1):
+        own = below.filter("other is null and k < 0").join(stuck, "parent", "left_semi")
+        counts = own.filter("root >= 0").groupBy("parent", "root").agg(F.count(F.lit(1)).alias("c"))
+        best = counts.groupBy("parent").agg(F.max(F.struct("c", "root"))["root"].alias("best"))
+        flagged = own.join(best, "parent", "left").select(F.col("parent").alias("region"), "id", "h", F.coalesce(F.col("root") == F.col("best"), F.lit(False)).alias("core"))
+        found = found.unionByName(_grid(flagged, _fits(flagged), num, den))
+    on = next_rows.join(stuck, "parent", "left_anti").select("region", "id", "h", "core")
+    return found.unionByName(join_regions(on, num, den, depth - 1)) if depth and on.take(1) else found
 
 
 def _first(choice: DataFrame) -> DataFrame:
     return choice.withColumn("r", F.row_number().over(W.partitionBy("region").orderBy("o", "id"))).filter(F.col("r") <= PIVOTS).select("region", "id")
 
 
-def _grid(big: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of blocks of (region, id, h, sets, shingles): each task holds two blocks, whatever the region's size."""
-    blocks = F.greatest(F.ceil(2 * F.col("sets") / REGION_SETS), F.ceil(2 * F.col("shingles") / REGION_SHINGLES)).cast("int")
-    dealt = big.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = pairs.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "h")
+def _grid(rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of blocks of (region, id, h, core) of which one is loose: each task holds two blocks,
+    whatever the region's size."""
+    blocks = lambda c: F.ceil(F.greatest(2 * F.col(f"{c}_sets") / REGION_SETS, 2 * F.col(f"{c}_shingles") / REGION_SHINGLES)).cast("int")
+    at = rows.join(sizes.select("region", blocks("core").alias("cores"), blocks("loose").alias("looses")), "region")
+    at = at.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("looses"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    across = F.when(F.col("cores") > 0, F.transform(upto(F.greatest("cores", F.lit(1))), lambda c: pair(1, c, own))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    places = F.when(F.col("core"), F.transform(upto(F.col("looses")), lambda x: pair(1, own, x))).otherwise(F.concat(F.transform(upto(F.col("looses")), lambda x: pair(0, F.least(own, x), F.greatest(own, x))), across))
+    keyed = at.select("region", "core", "own", "id", "h", F.explode(places).alias("p")).select("region", "p.kind", "p.i", "p.j", "core", "own", "id", "h")
 
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else (pdf["own"] == pdf["j"].iloc[0]).to_numpy().astype(int)
-        return _frame(join_region(pdf["id"].tolist(), [np.asarray(h).view(np.uint64) for h in pdf["h"]], num, den, side))
-
-    return keyed.groupBy("region", "i", "j").applyInPandas(both, "a bigint, b bigint")
+        kind, i, j = pdf[["kind", "i", "j"]].iloc[0]
+        core = pdf["core"].to_numpy(bool)
+        side = core.astype(int) if kind else None if i == j else (pdf["own"] == j).to_numpy().astype(int)
+        return _frame(join_region(pdf["id"].tolist(), [np.asarray(h).view(np.uint64) for h in pdf["h"]], num, den, side, core))
+
+    return keyed.groupBy("region", "kind", "i", "j").applyInPandas(both, "a binary, b binary")
+
+
+def clustered(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(id, component): sets that link with others, by a name of their component."""
+    common = frequent(docs, shingle)
+    clusters = components(stars(docs, shingle, num, den, common))
+    found = stash(members(docs, clusters, shingle))
+    discard(clusters)
+    # of the rows of one set the least task's stays; a stored list of names is joined, so sets need no shuffle while it is small
+    repeated = stash(found.groupBy("id").agg(F.min("task").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    rows = found.join(repeated, "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "s1", "id", "h", F.lit(False).alias("core"))
+    sizes = stash(_fits(rows))
+    loose = sizes.filter("not fits").select("region")
+    left = rows
+    if loose.take(1):  # clusters too large for a task are made again, by the exact order
+        wide = rows.join(loose, "region", "left_semi")
+        again = components(thin(wide, num, den, common))
+        tight = wide.drop("region").join(again.select(F.col("id").alias("s1"), F.xxhash64("component").alias("region")), "s1")
+        left = tight.unionByName(rows.join(sizes.filter("fits").select("region"), "region", "left_semi"))
+    links = components(join_regions(left.select("region", "id", "h", "core"), num, den))
+    discard(found, repeated, sizes)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of links at Jaccard num / den or more."""
-    level = Level(num, den)
-    candidates = stars(docs, shingle, level)
-    clusters = stash(components(candidates))
-    rows = stash(members(docs, clusters, shingle).withColumnRenamed("cluster", "region"))
-    links = stash(join_regions(rows, num, den))
-    labels = components(links).withColumnRenamed("id", "s1")
-    rows = stash(classes(docs, shingle))
-    least = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    joined = least.join(labels, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    labels = clustered(docs, shingle, num, den)
+    rows = stash(classes(docs.select("doc_id", "text"), shingle))
+    least = rows.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    joined = least.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     whole = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = joined.join(whole, "component").select("s1", "s2", "component_id")
-    return rows.join(by_class, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = stash(joined.join(whole, "component").select("id", "component_id", "rows"))
+    # the classes of very many rows (few, whatever the table's size) are joined apart, so no task gets all their rows
+    most = max(HOT_ROWS, rows.count() // 10_000)
+    hot = by_class.filter(F.col("rows") > most)
+    tell = lambda part, names: part.join(names.drop("rows"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = rows.join(F.broadcast(hot.select("id")), "id", "left_anti")
+    return tell(rest, by_class.filter(F.col("rows") <= most)).unionByName(rows.join(F.broadcast(hot), "id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component, with all columns; of rows that repeat
-    (one id, one text) one stays, and rows with a null id stay."""
-    labels = near_duplicates(docs.select("doc_id", "text"), shingle, num, den)
-    gone = stash(labels.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One row of each component of ``docs``, with all columns: the least doc_id (a null one comes last),
+    of one id the least hash of the text, of rows that repeat any one.  Rows without words stay.
+
+    Rows are told apart by (doc_id, md5 of the text), so texts are not shuffled but for rows that repeat."""
+    labels = clustered(docs, shingle, num, den)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    rows = stash(classes(docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), "text"), shingle).filter("n > 0"))
+    first = rows.groupBy("id").agg(F.min(key).alias("key"))
+    joined = first.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    whole = joined.groupBy("component").agg(F.min("key").alias("stays"))
+    stays = stash(joined.join(whole, "component").groupBy("stays").agg(F.count(F.lit(1))).select("stays.doc_id", "stays.t"))
+    counted = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["t"] == y["t"])
+    gone = stash(counted.join(stays, same(counted, stays), "left_anti").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__text")))
+    twice = stash(counted.filter("rows > 1").join(stays, same(counted, stays), "left_semi").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__text")))
+    discard(labels, rows)
+    is_in = lambda x: docs["doc_id"].eqNullSafe(x["__doc"]) & (F.unhex(F.md5(docs["text"].cast("binary"))) == x["__text"])
+    kept = docs.join(gone, is_in(gone), "left_anti")
+    if not twice.take(1):
+        return kept
+    once = docs.join(twice, is_in(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, is_in(twice), "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,10 +80,26 @@ def test_substring_against_brute_force(docs):
 
 
 def brute_components(rows, k, num, den):
+    sets = shingles(rows, k)
+    label = brute_labels(rows, k, num, den)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[label[i]] = min(d, least.get(label[i], d))
+    return sorted(((d, len(s), least.get(label[i]) if s else d) for i, (d, s) in enumerate(sets)), key=str)
+
+
+def shingles(rows, k):
     sets = []
     for d, t in rows:
         w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
         sets.append((d, frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()))
+    return sets
+
+
+def brute_labels(rows, k, num, den):
+    """The component of each row, rows without words being one each."""
+    sets = shingles(rows, k)
     root = list(range(len(sets)))
 
     def find(a):
@@ -96,11 +112,7 @@ def brute_components(rows, k, num, den):
             y = sets[j][1]
             if x and y and den * len(x & y) >= num * len(x | y):
                 root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(sets):
-        if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(sets)), key=str)
+    return [find(i) for i in range(len(sets))]
 
 
 @pytest.mark.parametrize("k,num,den,region", [(3, 9, 10, 2000), (5, 8, 10, 2000), (2, 3, 10, 10)])
@@ -111,9 +123,47 @@ def test_jaccard_against_brute_force(docs, monkeypatch, k, num, den, region):
 
 
 def test_jaccard_keeps_one_of_each_group(docs):
-    kept = jaccard.keep_one(docs[0], 5, 8, 10).select("doc_id", "text").collect()
-    comp = {(d, n): c for d, n, c in brute_components(docs[1], 5, 8, 10)}
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted({str(d) for (d, _), c in comp.items() if d is None or c == d})
+    """Also of rows with a null id, and of rows that share an id but not the text."""
+    import hashlib
+
+    rows = [*docs[1], (70, "other words entirely that no other row has here"), (5, "a text of its own under an id that is used twice")]
+    df = docs[0].sparkSession.createDataFrame([(d, t, 1, 0.5) for d, t in rows], DOCS)
+    kept = jaccard.keep_one(df, 5, 8, 10)
+    assert kept.columns == df.columns
+    comp = brute_labels(rows, 5, 8, 10)
+    want = []
+    for c in set(comp):
+        group = [r for r, x in zip(rows, comp, strict=True) if x == c]
+        if not WORD.findall(group[0][1] or ""):
+            want += group
+        else:
+            want.append(min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+
+
+@pytest.mark.parametrize("region", [10, 60])
+def test_jaccard_large_groups(spark, monkeypatch, region):
+    """Families far larger than a region, dense ones and chains, with common lines; regions recurse and become grids."""
+    monkeypatch.setattr(jaccard, "REGION_SETS", region)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8)
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(3000)]
+    line = r.choices(vocab, k=12)
+    rows = []
+    for f in range(3):
+        base = r.choices(vocab, k=120)
+        for i in range(90):
+            w = list(base)
+            for _ in range(r.randint(0, 4 + 2 * f)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((len(rows), " ".join(w + line)))
+    chain = r.choices(vocab, k=100)
+    for i in range(120):
+        rows.append((len(rows), " ".join(chain[i // 2 :] + [f"c{j}" for j in range((i + 1) // 2)])))
+    rows += [(len(rows) + i, " ".join(r.choices(vocab, k=20) + line)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = jaccard.near_duplicates(df, 3, 8, 10).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == brute_components(rows, 3, 8, 10)
 
 
 def test_components(spark):

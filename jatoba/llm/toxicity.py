@@ -12,8 +12,9 @@
 
 Edge cases: null and empty texts score as a text without toxic passages; very long texts are scanned
 whole in linear time; rows that repeat score alike; a label that is null, or whose document is
-missing, teaches nothing; with no labels of both classes every score is the share of toxic labels
-(0 without labels); an empty table gives no rows; other columns are ignored.
+missing, teaches nothing; unless documents of both classes are labelled every score is the share of
+toxic ones among those that are (0 without any), and ``keep_clean``, which then has no evidence on any
+text, keeps all rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import documents, pick, table
 
 PRIOR_SHARE, Z_LEAST, DRIFT, E_MOST, K = 0.3, 4.0, 0.08, 0.05, 0.05
-#: The most tokens kept on either side, strongest first: bounds what is sent to the executors.
-LEXICON = 20_000
-#: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast).
+#: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast); it
+#: bounds the lexicon too, as a significant token is in a dozen of them or more.
 SAMPLE = 30_000
 CUT = 0.3
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`^+=/\\…«»“”‘’¿¡"
@@ -70,7 +70,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Everything a scan needs; its size is bounded by LEXICON."""
+    """Everything a scan needs; its size is bounded by SAMPLE."""
 
     weights: dict[str, float]
     lam: float
@@ -109,6 +109,8 @@ class Model:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is not predicted toxic, with all their columns."""
+    if not model.weights:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +133,8 @@ def token_counts(labelled: DataFrame) -> DataFrame:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 both[int(label)].update(set(tokens(text)))
             names = list(both[0] | both[1])
-            yield pd.DataFrame({"token": names, "n0": [both[0][w] for w in names], "n1": [both[1][w] for w in names]})
+            if names:
+                yield pd.DataFrame({"token": names, "n0": [both[0][w] for w in names], "n1": [both[1][w] for w in names]})
 
     return labelled.select("text", "label").mapInPandas(run, "token string, n0 bigint, n1 bigint").filter("token <> ''").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -164,15 +167,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1), at most SAMPLE of them, whose document is in ``docs``."""
     sample = labels.filter("label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = docs.join(F.broadcast(sample), "doc_id")
+    seen = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(seen) < 2:
+        return Model({}, 1.0, 0.0, 40.0 if seen.get(1) else -40.0)
     counts = token_counts(known).persist()
     try:
         total = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
         n0, n1 = int(total[0]), int(total[1])
         if not n0 or not n1:
-            share = labels.agg(F.avg("label")).first()[0]
-            return Model({}, 1.0, 0.0, -40.0 if not share else 40.0)
+            share = seen[1] / (seen[0] + seen[1])
+            return Model({}, 1.0, 0.0, float(np.log(share / (1 - share))))
         strong = log_odds(counts, n0, n1).filter(F.abs("z") >= Z_LEAST)
-        rows = strong.orderBy(F.abs(F.col("z")).desc(), "token").limit(LEXICON).collect()
+        rows = strong.orderBy("token").collect()
     finally:
         counts.unpersist()
     weights = {r["token"]: float(r["delta"]) for r in rows}
@@ -182,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             t = np.array([model.statistic(x) for x in pdf["text"]], float)
-            yield pd.DataFrame({"bin": np.minimum(200, np.round(np.log1p(t) * 20)).astype(int), "label": pdf["label"].astype(int), "n": 1})
+            yield pd.DataFrame({"bin": np.round(np.log1p(t) * 20).astype(int), "label": pdf["label"].astype(int), "n": 1})
 
     binned = known.select("text", "label").mapInPandas(run, "bin int, label int, n bigint").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
     x = np.array([r["bin"] / 20 for r in binned])

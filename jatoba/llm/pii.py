@@ -96,7 +96,8 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: Fixed word lists of the span features.
 _AT_WORDS = frozenset(("at", "arroba", "chez"))
 _DOT_WORDS = frozenset(("dot", "punto", "point", "punkt"))
-_CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "card", "visa", "account", "iban", "ssn", "mail", "email", "contact", "key", "token", "secret", "password", "passwd", "pwd", "api"))
+_ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "br", "de", "es", "fr", "it", "pt", "uk", "us"))
+_CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "card", "visa", "account", "iban", "ssn", "mail", "email", "contact", "key", "token", "secret", "password", "passwd", "pwd", "api", "number", "social", "whatsapp"))
 #: Where decoding may find something: digits, or a written-out dot.
 _ZONE = re.compile(r"[0-9]+")
 _DOTTED = re.compile(r" (?:dot|Dot|punto|point|punkt)(?= )")
@@ -108,6 +109,7 @@ FEATURES = (
     "bias", "len1", "len2to3", "len4to9", "cue_before", "digits<7", "digits7to12", "digits13to19", "digits>19", "only_digits_and_marks",
     "groups_even", "starts_plus_or_paren", "luhn", "at_word_inside", "dot_word_inside", "letters_and_digits", "long_run", "solid_changes",
     "edge_mark", "has_space_letters", "all_letters", "hex", "digits_follow", "mark_and_digits_follow", "glued_before", "glued_after",
+    "groups_3_3_4", "groups_3_2_4", "groups_4_4_4_4", "four_groups_to_3", "digits_before", "capitals_and_digits", "joined_by_a_mark_before", "one_kind_of_gap", "case_changes", "at_word_second", "space_before_at_word", "known_ending",
 )
 N_FEATURES = len(FEATURES)
 
@@ -125,7 +127,10 @@ def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int,
     letters = sum(len(w) for w in parts if w[0].isalnum()) - digits
     n = j - i
     solid = sum(map(len, parts)) == len(span)
-    before = words[max(0, i - 2) : i]
+    before = words[max(0, i - 4) : i]
+    sizes = tuple(map(len, groups))
+    at = next((x for x, w in enumerate(parts) if w in _AT_WORDS), 0)
+    gaps = {text[tokens[x - 1][1] - 1 : tokens[x][0]] if not parts[x - i - 1].isdigit() else text[tokens[x - 1][1] : tokens[x][0]] for x in range(i + 1, j)} if n > 1 else set()
     return np.array((
         1, n == 1, 2 <= n <= 3, n > 3, not _CUES.isdisjoint(before), digits < 7, 7 <= digits < 13, 13 <= digits < 20, digits >= 20,
         digits > 0 and not letters and all(w in _MARKS or w.isdigit() for w in parts),
@@ -144,6 +149,16 @@ def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int,
         j + 1 < len(words) and words[j] in _MARKS and words[j + 1].isdigit() and tokens[j + 1][0] - tokens[j - 1][1] <= 2,
         i > 0 and tokens[i][0] == tokens[i - 1][1] and (words[i - 1][-1].isalnum() or i > 1 and words[i - 1] in _MARKS and words[i - 2].isdigit()),
         j < len(words) and tokens[j][0] == tokens[j - 1][1] and words[j][0].isalnum(),
+        sizes == (3, 3, 4), sizes == (3, 2, 4), sizes == (4, 4, 4, 4),
+        len(sizes) > 3 and max(sizes) < 4,
+        i > 0 and words[i - 1].isdigit() and tokens[i][0] - tokens[i - 1][1] <= 1,
+        solid and digits > 0 and len(span) >= 16 and span.isupper(),
+        i > 1 and words[i - 1] in "_-" and tokens[i][0] == tokens[i - 1][1] and tokens[i - 1][0] == tokens[i - 2][1],
+        len(gaps) == 1,
+        solid and letters > 8 and not span.isupper() and not span.islower(),
+        n > 1 and parts[1] in _AT_WORDS,
+        at > 1 and any(tokens[i + x][0] > tokens[i + x - 1][1] for x in range(1, at)),
+        parts[-1] in _ENDINGS,
     ), float)
 
 
@@ -163,7 +178,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
                 break
             digits += weights[j - 1]
             last = words[j - 1]
-            if digits >= 7 or handle and dot or tokens[j - 1][1] - tokens[i][0] >= 16 and digits > 2:
+            if digits >= 7 or handle and dot or tokens[j - 1][1] - tokens[i][0] >= 16 and digits:
                 if last[0].isalnum():
                     out.append((i, j, features(text, words, tokens, i, j)))
             handle, dot = handle or j > i + 1 and last in _AT_WORDS, dot or handle and last in _DOT_WORDS
@@ -230,45 +245,68 @@ def best(n: int, found: Iterable[tuple[int, int, int, float]]) -> list[tuple[int
     return out[::-1]
 
 
-def examples(n: int = 200, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Generated sentences and the character spans of their entities; half hold harmless numbers only."""
+def examples(n: int = 360, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Generated sentences and the character spans of their entities: entities with and without a cue word
+    before them, harmless numbers, and tables of numbers."""
     r = random.Random(seed)
     vowel, cons = "aeiou", "bcdfghklmnprstvw"
     word = lambda: "".join(r.choice(cons) + r.choice(vowel) for _ in range(r.randint(1, 3)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    any_of = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
 
     def entity() -> tuple[str, str]:
-        k = r.randrange(7)
+        k = r.randrange(11)
         if k == 0:
-            return f"{word()} {r.choice(['at', 'arroba'])} {word()} {r.choice(sorted(_DOT_WORDS))} {r.choice(['com', 'org', 'net'])}", "handle"
+            return f"{word()} {r.choice(['at', 'arroba'])} {word()} {r.choice(sorted(_DOT_WORDS))} {r.choice(sorted(_ENDINGS))}", "handle"
         if k == 1:
-            return f"{word()}.{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}", "handle"
+            return f"{word()}.{word()} at {word()} dot {r.choice(sorted(_ENDINGS))}", "handle"
         if k == 2:
             return f"({digits(3)}) {digits(3)}-{digits(4)}", "number"
-        if k == 3:
+        if k in (3, 4):
             return r.choice(["-", ".", " "]).join((digits(3), digits(3), digits(4))), "number"
-        if k == 4:
-            return r.choice([".", "/", " "]).join(digits(4) for _ in range(4)), "number"
         if k == 5:
-            return "".join(r.choice(alnum) for _ in range(r.randint(20, 36))), "secret"
-        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40]))), "secret"
+            return "-".join((digits(3), digits(2), digits(4))), "number"
+        if k == 6:
+            return r.choice([".", "/", " ", "-"]).join(digits(4) for _ in range(4)), "number"
+        if k == 7:
+            return any_of(upper + lower + "0123456789", r.randint(20, 36)), "secret"
+        if k == 8:
+            return any_of("0123456789abcdef", r.choice([32, 40])), "secret"
+        if k == 9:
+            return any_of(upper, 4) + any_of(upper + "0123456789", r.randint(11, 15)) + digits(1), "secret"
+        if r.random() < 0.5:
+            return f"{any_of(lower, r.randint(2, 4))}{r.choice('_-')}{any_of(upper + lower + '0123456789', r.randint(20, 36))}{digits(2)}", "secret"
+        return f"{any_of(lower, 2)}_{r.choice(['live', 'test', 'prod'])}_{any_of(upper + lower + '0123456789', r.randint(16, 30))}{digits(2)}", "secret"
 
     def harmless() -> str:
-        return r.choice([lambda: digits(r.randint(1, 4)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{digits(2)}/{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{word()}{digits(2)}", lambda: f"{digits(5)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}"])()
+        return r.choice([lambda: digits(r.randint(1, 4)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at the dot {word()}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{digits(2)}/{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{word()}{digits(2)}", lambda: digits(5), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(r.randint(7, 12)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(4)}"])()
+
+    def row() -> str:
+        """Numbers side by side."""
+        width = r.choice([(1, 1), (2, 2), (3, 3), (1, 4), (2, 5), (4, 4)])
+        return r.choice([" ", " ", ", ", "; "]).join(digits(r.randint(*width)) for _ in range(r.choice([5, 6, 7, 8, 12, 20])))
+
+    def grid() -> str:
+        return "\n".join(row() for _ in range(2))
 
     out = []
     for _ in range(n):
         text, spans = word(), []
+        if r.random() < 0.12:
+            out.append((f"{text} {r.choice([row, grid])()} {word()}", []))
+            continue
         for _ in range(r.randint(2, 9)):
             text += r.choice([" ", " ", " ", ", "])
             x = r.random()
-            if x < 0.15:
+            if x < 0.2:
+                if x < 0.1:
+                    text += r.choice(sorted(_CUES)) + r.choice([" ", ": ", " is ", " of ", "="])
                 e, kind = entity()
                 spans.append((len(text), len(text) + len(e), kind))
                 text += e
             else:
-                text += harmless() if x < 0.35 else r.choice(sorted(_CUES)) if x < 0.4 else word()
+                text += harmless() if x < 0.42 else r.choice(sorted(_CUES)) if x < 0.46 else word()
         out.append((text + r.choice([".", ""]), spans))
     return out
 

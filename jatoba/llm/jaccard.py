@@ -5,10 +5,13 @@ either of them, if a document is also copied to every pivot p with d(x, p) <= d(
 whole documents as the pivots of a whole corpus this prunes nothing: nearly all distances are 1, and
 every document is copied to every region.  So the first level takes pivots that are small sets:
 
-1. Shingles have one order for all sets: those outside a bounded table of the most frequent first, by
-   hash, then the frequent, rarest first.  Any pair within ``t`` shares one of the first
-   n - ceil(threshold n) + 1 shingles of either set, so each of those is a pivot and its region is all
-   sets that have it there.  The order changes the work only, never the links.
+1. A hash picks a share of all shingles, twice (1 - threshold), the same for all sets.  A linked set has
+   at most m = n - ceil(threshold n) shingles that the other one has not, so at most m of its picked ones.
+   Picked shingles are counted exactly; of a set with more than m picked shingles of its own nothing
+   is sent on.  Else the m + 1 rarest are its pivots, and a region is all sets that have a pivot: the
+   first common shingle, rarest first, is one of both.  The pick decides if either set has more than m picked
+   shingles; small sets that have not also meet by all their shingles.  A bounded table of the most
+   frequent shingles, ranked last, keeps those out of the count: no shingle brings very many rows to a task.
 2. A region links its sets by chains over their sizes (sizes of linked sets differ by at most the
    threshold: the window of this level).  Each task chains its own sets first and sends one row a
    region and chain, so a region of any size costs its readers one row a task.
@@ -53,7 +56,7 @@ SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
 REGION_SETS, REGION_SHINGLES, FILTER_BITS = 2000, 2_000_000, 1 << 26
 PIVOTS, DEPTH = 64, 3
 #: Shingles that are known to be frequent (they are sent to all tasks), and the rows a task sorts at once.
-FREQUENT, BUFFER = 1 << 17, 1 << 20
+FREQUENT, BUFFER = 1 << 17, 1 << 19
 #: Rows of one class that are joined with its name apart from all others (or a ten-thousandth of all rows, if that is more).
 HOT_ROWS = 4096
 
@@ -111,8 +114,19 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[
                 yield s, h
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, of the shingles most sets have, and their rank (rarest 0)."""
+def spare(n: int, num: int, den: int) -> int:
+    """The most shingles a set of n can have that a linked one has not."""
+    return n - (num * n + den - 1) // den
+
+
+def picked(h: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The picked shingles of a set (sorted hashes): those below a bound."""
+    share = min(den, 2 * (den - num))
+    return h if share == den else h[: np.searchsorted(h, np.uint64((1 << 64) // den * share))]
+
+
+def frequent(docs: DataFrame, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the picked shingles most sets have, and their rank (rarest 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -123,8 +137,9 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(hashing.signed(v[often])), pa.array(c[often])], ["v", "c"])
 
         for _, h in _distinct_sets(batches, k):
-            held.append(h)
-            total += len(h)
+            x = picked(h, num, den)
+            held.append(x if len(x) > spare(len(h), num, den) else h)
+            total += len(held[-1])
             if total > BUFFER:
                 yield flush()
                 held, total = [], 0
@@ -141,20 +156,6 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return v, rank
 
 
-def prefix(h: np.ndarray, num: int, den: int, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(threshold n) + 1 shingles of a set in the common order."""
-    p = len(h) - (num * len(h) + den - 1) // den + 1
-    if not len(often):
-        return h[:p]
-    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-    common = often[at] == h
-    rare = h[~common]
-    if len(rare) >= p:
-        return rare[:p]
-    rest = h[common][np.argsort(rank[at[common]])]
-    return np.concatenate([rare, rest[: p - len(rare)]])
-
-
 def _chains(region: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> np.ndarray:
     """For rows in order of (region, low), whether a row begins a chain: no set before it in its region
     is large enough to link with it."""
@@ -241,60 +242,116 @@ def chain_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(runs, "a bigint, b bigint").distinct()
 
 
-def stars(docs: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Candidate edges (a, b) between sets of one region: each member of a chain with the chain's first."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return chain_rows(((s[0], len(h), prefix(h, num, den, *common)) for s, h in _distinct_sets(batches, k)), num, den)
-
-    return chain_edges(docs.select("text").mapInArrow(keys, CHAINS), num, den)
+_ALL = np.uint64(0x3C6EF372FE94F82B)  # marks the rows of sets that meet by all their shingles
 
 
-def thin(rows: DataFrame, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Candidate edges (a, b) again, between the sets of (s1, h) of which each is there once, in the exact order:
-    shingles are ranked by the number of these sets that have them (those known to be frequent last).
-    A set with more shingles of its own than its pivots are is left without edges: it has no link."""
-    often, rank = common
+def stars(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Candidate edges (a, b) between sets of one region: each member of a chain with the chain's first."""
+    often, rank = frequent(docs, k, num, den)
+    rows = pa.schema([("s1", pa.int64()), ("v", pa.int64()), ("about", pa.binary())])
+    counted = pa.schema([("s1", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("about", pa.binary())])
 
-    def known(h: np.ndarray) -> np.ndarray:
+    def parted(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles to be counted, and the frequent ones that may be pivots."""
         if not len(often):
-            return np.zeros(len(h), bool)
-        return often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+            return x, x[:0]
+        at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+        of = often[at] == x
+        return x[~of], x[of][np.argsort(rank[at[of]])[: m + 1]]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(s1, v) of shingles, and per set (s1, n, number of frequent ones, those that may be pivots)."""
-        lists = pa.list_(pa.int64())
+        """(s1, v) of shingles, and (name, its hash, about) of sets: s1, n, shingles counted, and frequent ones that may be pivots."""
+        ids, counts, vs, abouts, total = [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names_, v = np.array(ids, np.int64), np.concatenate(vs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names_, counts)), pa.array(hashing.signed(v)), pa.nulls(len(v), pa.binary())], schema=rows)
+            yield pa.RecordBatch.from_arrays([pa.array(names_), pa.array(hashing.signed(hashing.mix(names_.view(np.uint64)))), pa.array(abouts, pa.binary())], schema=rows)
+            for x in (ids, counts, vs, abouts):
+                x.clear()
+
+        def add(s1: int, n: int, v: np.ndarray, last: np.ndarray, own: int) -> None:
+            ids.append(s1)
+            counts.append(len(v))
+            vs.append(v)
+            abouts.append(np.concatenate([np.array([own, n, len(v)], np.int64), hashing.signed(last)]).astype("<i8").tobytes())
+
+        for (s1, _), h in _distinct_sets(batches, k):
+            m = spare(len(h), num, den)
+            x = picked(h, num, den)
+            if len(x):
+                add(s1, len(h), *parted(x, m), s1)
+            if len(x) <= m:
+                v, last = parted(h, m)
+                other = int((np.array([s1], np.int64).view(np.uint64) ^ _ALL).view(np.int64)[0])
+                add(other, len(h), hashing.mix(v ^ _ALL), hashing.mix(last ^ _ALL), s1)
+                total += len(h)
+            total += len(x)
+            if total > BUFFER // 2:
+                yield from flush()
+                total = 0
+        if ids:
+            yield from flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(s1, c, v) of shingles that c > 1 sets have, and sets as they are.  Rows arrive sorted; copies of a set in
+        several tasks repeat rows."""
+        v0, s0 = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def told(v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+            v, s = v[new], s[new]
+            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+            c = np.diff(np.concatenate([first, [len(v)]]))
+            c = np.repeat(c, c)
+            return pa.RecordBatch.from_arrays([pa.array(x[c > 1]) for x in (s, c, v)] + [pa.nulls(int((c > 1).sum()), pa.binary())], schema=counted)
+
         for batch in batches:
-            for s1, h in zip(batch.column("s1").to_pylist(), batch.column("h"), strict=True):
-                x = _array(h)
-                of = known(x)
-                last = x[of]
-                last = last[np.argsort(rank[np.searchsorted(often, last)])][: len(x) - (num * len(x) + den - 1) // den + 1] if len(last) else last
-                v = hashing.signed(x[~of])
-                count = len(v) + 1
-                spare = pa.nulls(len(v), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(count, s1)), pa.concat_arrays([pa.array(v), pa.nulls(1, pa.int64())]), pa.concat_arrays([spare, pa.array([len(x)])]), pa.concat_arrays([spare, pa.array([int(of.sum())])]), pa.concat_arrays([pa.nulls(len(v), lists), pa.array([hashing.signed(last)], lists)])],
-                    ["s1", "v", "n", "frequent", "last"],
-                )
-
-    both = rows.select("s1", "h").mapInArrow(spread, "s1 bigint, v bigint, n bigint, frequent bigint, last array<bigint>")
-    counted = both.filter("v is not null").select("v", "s1").withColumn("c", F.count(F.lit(1)).over(W.partitionBy("v"))).filter("c > 1")
-    shared = counted.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("shared"))
-    sets = both.filter("v is null").join(shared, "s1", "left").select("s1", "n", "frequent", "last", "shared")
+            of_set = pc.is_valid(batch.column("about"))
+            sets = batch.filter(of_set)
+            if sets.num_rows:
+                zero = pa.array(np.zeros(sets.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([sets.column("s1"), zero, zero, sets.column("about")], schema=counted)
+            batch = batch.filter(pc.invert(of_set))
+            if batch.num_rows:
+                v, s = np.concatenate([v0, batch.column("v").to_numpy()]), np.concatenate([s0, batch.column("s1").to_numpy()])
+                end = np.searchsorted(v, v[-1])  # the last shingle may go on in the next batch
+                if end:
+                    yield told(v[:end], s[:end])
+                v0, s0 = v[end:], s[end:]
+        yield told(v0, s0)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> Iterator[tuple[int, int, np.ndarray]]:
-            for batch in batches:
-                rest, last = batch.column("shared"), batch.column("last")
-                for i, (s1, n, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s1", "n", "frequent")), strict=True)):
-                    own = _numbers(rest[i].values.field("v")).view(np.uint64) if rest[i].is_valid else np.empty(0, np.uint64)
-                    p = n - (num * n + den - 1) // den + 1 - (n - len(own) - f)
-                    yield s1, n, np.concatenate([own, _array(last[i])])[: max(p, 0)]
+        def groups() -> Iterator[tuple[int, int, np.ndarray]]:
+            """Rows arrive by set, what is said about it first, then its shingles, rarest first."""
+            s1, about, held = None, None, []
 
-        return chain_rows(told(), num, den)
+            def done() -> tuple[int, int, np.ndarray]:
+                own, n, sent = about[:3].tolist()
+                v = np.concatenate(held).view(np.uint64)
+                pivots = spare(n, num, den) + 1 - (sent - len(v))
+                return own, n, np.concatenate([v, about[3:].view(np.uint64)])[: max(pivots, 0)]
 
-    return chain_edges(sets.mapInArrow(keys, CHAINS), num, den)
+            for batch in batches:
+                ids, v, tells = batch.column("s1").to_numpy(), batch.column("v").to_numpy(), batch.column("about")
+                starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+                for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                    if ids[a] != s1:
+                        if s1 is not None:
+                            yield done()
+                        s1, about, held = ids[a], None, []
+                    while a < b and tells[a].is_valid:  # once a task that has the set
+                        about, a = np.frombuffer(tells[a].as_py(), "<i8"), a + 1
+                    held.append(v[a:b])
+            if s1 is not None:
+                yield done()
+
+        return chain_rows(groups(), num, den)
+
+    dealt = docs.select("text").mapInArrow(spread, "s1 bigint, v bigint, about binary").repartition("v").sortWithinPartitions("v", "s1")
+    by_set = dealt.mapInArrow(count, "s1 bigint, c bigint, v bigint, about binary").repartition("s1").sortWithinPartitions("s1", "c", "v")
+    return chain_edges(by_set.mapInArrow(keys, CHAINS), num, den)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -336,10 +393,26 @@ def members(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        held: list[tuple[tuple[int, int], np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            s = np.array([x for x, _ in held], np.int64)
+            flat = hashing.signed(np.concatenate([h for _, h in held]))
+            ends = np.concatenate([[0], np.cumsum([len(h) for _, h in held])]).astype(np.int32)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(s[:, 0]), names(*s.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.full(len(s), task), pa.int32())], ["s1", "id", "h", "task"])
+
         for s, h in _distinct_sets(batches, k):
             i = int(_slot(np.array(s[:1], np.int64), bits)[0])
             if packed[i >> 3] >> (7 - (i & 7)) & 1:
-                yield pa.RecordBatch.from_arrays([pa.array(s[:1], pa.int64()), names(np.array(s[:1]), np.array(s[1:])), pa.array([hashing.signed(h)], pa.list_(pa.int64())), pa.array([task], pa.int32())], ["s1", "id", "h", "task"])
+                held.append((s, h))
+                total += len(h)
+            if total > BUFFER // 4:
+                yield flush()
+                total = 0
+        if held:
+            yield flush()
 
     sets = docs.select("text").mapInArrow(run, "s1 bigint, id binary, h array<bigint>, task int")
     return sets.join(clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "s1", "id", "h", "task")
@@ -348,10 +421,6 @@ def members(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
 # ---- joining a region that fits --------------------------------------------------------------------
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
-
-
 def _array(scalar: pa.ListScalar) -> np.ndarray:
     """The numbers of a list cell, without Python objects."""
     return scalar.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -575,23 +644,14 @@ def _grid(rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
 
 def clustered(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(id, component): sets that link with others, by a name of their component."""
-    common = frequent(docs, shingle)
-    clusters = components(stars(docs, shingle, num, den, common))
+    clusters = components(stars(docs, shingle, num, den))
     found = stash(members(docs, clusters, shingle))
     discard(clusters)
     # of the rows of one set the least task's stays; a stored list of names is joined, so sets need no shuffle while it is small
     repeated = stash(found.groupBy("id").agg(F.min("task").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
-    rows = found.join(repeated, "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "s1", "id", "h", F.lit(False).alias("core"))
-    sizes = stash(_fits(rows))
-    loose = sizes.filter("not fits").select("region")
-    left = rows
-    if loose.take(1):  # clusters too large for a task are made again, by the exact order
-        wide = rows.join(loose, "region", "left_semi")
-        again = components(thin(wide, num, den, common))
-        tight = wide.drop("region").join(again.select(F.col("id").alias("s1"), F.xxhash64("component").alias("region")), "s1")
-        left = tight.unionByName(rows.join(sizes.filter("fits").select("region"), "region", "left_semi"))
-    links = components(join_regions(left.select("region", "id", "h", "core"), num, den))
-    discard(found, repeated, sizes)
+    rows = found.join(repeated, "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "id", "h", F.lit(False).alias("core"))
+    links = components(join_regions(rows, num, den))
+    discard(found, repeated)
     return links
 
 

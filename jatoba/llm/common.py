@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,14 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(_stashed.pop(path), path)
 
 
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each slice is about ``limit`` bytes, or one row."""
     import pyarrow.compute as pc
@@ -103,3 +112,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    trim()

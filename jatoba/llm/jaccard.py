@@ -56,7 +56,7 @@ SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
 REGION_SETS, REGION_SHINGLES, FILTER_BITS = 2000, 2_000_000, 1 << 26
 PIVOTS, DEPTH = 64, 3
 #: Shingles that are known to be frequent (they are sent to all tasks), and the rows a task sorts at once.
-FREQUENT, BUFFER = 1 << 17, 1 << 19
+FREQUENT, BUFFER = 1 << 17, 1 << 18
 #: Rows of one class that are joined with its name apart from all others (or a ten-thousandth of all rows, if that is more).
 HOT_ROWS = 4096
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import documents, stash, table
+from .common import documents, slices, stash, table
 
 CAPACITY = 2048
 #: Width of a length bin and the most documents of a pattern.
@@ -37,7 +37,7 @@ BIN, MOST = 32, 4
 #: Pieces of one length that are numbered together.
 BUCKET_ROWS = 2_000
 #: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _MARK = "<|endoftext|>"
 _BARE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             texts = batch.column("text")
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, slices, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("handle", "number", "secret")
@@ -420,7 +420,7 @@ def redact(df: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(raw).reshape(len(ADDED), N_FEATURES)
-        for batch in batches:
+        for batch in slices(batches, column):
             i = batch.schema.get_field_index(column)
             texts = [t if not t or not (s := [x for part in spans(t, w) for x in part]) else mask(t, s) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))

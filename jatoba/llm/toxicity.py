@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, pick, table
+from .common import documents, pick, slices, table
 
 PRIOR_SHARE, Z_LEAST, DRIFT, E_MOST, K = 0.3, 4.0, 0.08, 0.05, 0.05
 #: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast); it
@@ -113,7 +113,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             t = np.array([model.statistic(x) for x in batch.column("text").to_pylist()], float)
             yield batch.filter(pa.array(model.probability(t) < CUT))
 

@@ -189,6 +189,28 @@ def test_vectors_against_brute_force(spark):
     assert got == want
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [1e-170, 1e-170]), (4, [1e-170, 9e-170]), (5, [0.0, 5e-324]), (6, [0.0, 1e308]), (None, [1.0, 0.0]), (None, None), (7, [-3.0, -0.0]), (8, [-1.0, 0.0])]
+    got = {(r["id"], r["n_links"], r["component"]) for r in embed.link(spark.createDataFrame(rows, "id bigint, v array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (None, 0, None), (7, 1, 7), (8, 1, 7)}
+
+
+@pytest.mark.parametrize("cluster", [2048, 40])
+def test_vectors_in_large_groups(spark, cluster):
+    """Groups larger than a cluster and than a block go bucket by bucket; recall stays above 0.99, and nothing false is linked."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(6, 32))
+    x = np.concatenate([c + s * rng.normal(size=(80, 32)) for c, s in zip(centre, (0.02, 0.1, 0.15, 0.2, 0.25, 0.3), strict=True)] + [rng.normal(size=(100, 32))])
+    reps = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep bigint, copies bigint, v array<double>")
+    got = embed.near(reps, block=16, cluster=cluster).groupBy("rep").agg({"links": "sum"}).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.95).sum(1) - 1
+    links = np.zeros(len(x), int)
+    for r in got:
+        links[r[0]] = r[1]
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 

@@ -1,26 +1,26 @@
 """Order-dependent operators over segments (rec_id, seg_id, speaker, start_ms, end_ms, text, words).
 
 What a window can express is a window; all of these share one exchange on rec_id.  Folds whose state
-is reset by their own decisions run per recording in Arrow groups.
+is reset by their own decisions are an ``aggregate`` over an array of the words of a segment or the
+segments of a recording.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jatoba.functions import text as T
 
-
-
-def in_order():
-    return W.partitionBy("rec_id").orderBy("seg_id")
 MAX_CHARS, MAX_LINES, MIN_CUE_MS, MAX_CUE_MS, SPLIT_GAP_MS, MAX_CPS = 42, 2, 1000, 6000, 600, 21.0
 BUDGET = int(MAX_CHARS * MAX_LINES * 0.92)
 PAUSE_MS, PARAGRAPH_SENTENCES, BLOCK_CHARS = 1200, 5, 900
 SENTENCE_MS, SENTENCE_CHARS = 13_000, 210
 
 
+def in_order():
+    return W.partitionBy("rec_id").orderBy("seg_id")
+
+
 def drop_hallucinations(raw: DataFrame) -> DataFrame:
     """Raw segments (text, no_speech_prob, avg_logprob) without invented phrases."""
     return raw.filter(~T.is_hallucination(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob")))
@@ -88,63 +88,70 @@ def speaker_rank(segs: DataFrame, label: str = "speaker") -> DataFrame:
     return talk.withColumn("rank", rank).withColumn("name", F.concat(F.lit("Falante "), F.col("rank").cast("string"))).withColumn("percent", F.round(100.0 * F.col("talk_ms") / F.sum("talk_ms").over(w), 1))
 
 
-# ---- segment-local folds: the words of one segment decide, so partitions don't matter ------------------
-
-
-def _split_words(words: list[dict]) -> list[list[dict]]:
-    out, held, chars = [], [], 0
-    for w in words:
-        held.append(w)
-        chars += len(w["word"])
-        token, took = w["word"].strip(), w["end_ms"] - held[0]["start_ms"]
-        forced = (took >= SENTENCE_MS or chars >= SENTENCE_CHARS) and (token.endswith((",", ";", ":", "—", "–")) or took >= SENTENCE_MS * 1.8)
-        if T.ends_sentence_py(token) or forced:
-            out.append(held)
-            held, chars = [], 0
-    return [*out, held] if held else out
-
-
-def _pack_words(words: list[dict]) -> list[list[dict]]:
-    out, held, chars = [], [], 0
-    for w in words:
-        token = w["word"].strip()
-        if not token:
-            continue
-        added = len(token) + bool(held)
-        if held and (chars + added > BUDGET or w["start_ms"] - held[-1]["end_ms"] > SPLIT_GAP_MS or w["end_ms"] - held[0]["start_ms"] > MAX_CUE_MS):
-            out.append(held)
-            held, chars, added = [], 0, len(token)
-        held.append(w)
-        chars += added
-        if T.ends_sentence_py(token) and chars >= BUDGET * 0.5:
-            out.append(held)
-            held, chars = [], 0
-    return [*out, held] if held else out
-
-
-def _pieces(segs: DataFrame, cut, keep_empty: bool) -> DataFrame:
-    """Rows (rec_id, seg_id, part, speaker, start_ms, end_ms, text, confidence, words)."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for s in pdf.to_dict("records"):
-                words = [dict(w) for w in s["words"]] if s["words"] is not None else []
-                if not words:
-                    rows.append((s["rec_id"], s["seg_id"], 0, s["speaker"], s["start_ms"], s["end_ms"], s["text"], s["confidence"], []))
-                    continue
-                for i, part in enumerate(cut(words)):
-                    text = T.clean_text_py(" ".join(w["word"].strip() if keep_empty else w["word"] for w in part))
-                    if text:
-                        p = [w["probability"] for w in part if w["probability"] is not None]
-                        rows.append((s["rec_id"], s["seg_id"], i, s["speaker"], part[0]["start_ms"], part[-1]["end_ms"], text, round(sum(p) / len(p), 3) if p else s["confidence"], part))
-            yield pd.DataFrame(rows, columns=["rec_id", "seg_id", "part", "speaker", "start_ms", "end_ms", "text", "confidence", "words"])
-
-    cols = ["rec_id", "seg_id", "speaker", "start_ms", "end_ms", "text", "confidence", "words"]
-    schema = "rec_id bigint, seg_id bigint, part int, speaker string, start_ms bigint, end_ms bigint, text string, confidence double, words array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"
+# ---- folds: a state struct runs over an array and collects where pieces begin --------------------------
+
+
+def _begin(rows: Column, state: dict[str, Column], step) -> Column:
+    """Indexes at which a new piece begins.  ``step(state, row)`` gives (whether it begins here, the next state)."""
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), *(c.alias(n) for n, c in state.items()))
+
+    def go(s: Column, x: Column) -> Column:
+        new, after = step(s, x)
+        starts = F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"])
+        return F.struct(starts.alias("starts"), (s["i"] + 1).alias("i"), *(after[n].alias(n) for n in state))
+
+    return F.aggregate(rows, zero, go, lambda s: s["starts"])
+
+
+def _pieces(rows: Column, starts: Column) -> Column:
+    return F.transform(starts, lambda s, k: F.slice(rows, s + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - s))
+
+
+WORDS = "array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"
+
+
+def _sentence_step(s: Column, w: Column):
+    """A piece is closed by a sentence end, or when it is long, at a soft mark or at any rate."""
+    since = F.when(s["open"], s["since"]).otherwise(w["start_ms"])
+    chars = F.when(s["open"], s["chars"]).otherwise(0) + F.length(w["word"])
+    took = w["end_ms"] - since
+    long = (took >= SENTENCE_MS) | (chars >= SENTENCE_CHARS)
+    closed = w["ends"] | (long & (w["soft"] | (took >= SENTENCE_MS * 1.8)))
+    return ~s["open"], {"open": ~closed, "since": since, "chars": chars}
+
+
+def _cue_step(s: Column, w: Column):
+    """A piece is full when the next word would pass its budget or time, or comes after a gap; a sentence end
+    closes one that is half full."""
+    n = F.length(w["token"])
+    full = (s["chars"] + n + 1 > BUDGET) | (w["start_ms"] - s["last"] > SPLIT_GAP_MS) | (w["end_ms"] - s["since"] > MAX_CUE_MS)
+    new = ~s["open"] | full
+    chars = F.when(new, n).otherwise(s["chars"] + n + 1)
+    return new, {"open": ~(w["ends"] & (chars >= BUDGET * 0.5)), "since": F.when(new, w["start_ms"]).otherwise(s["since"]), "chars": chars, "last": w["end_ms"]}
+
+
+def _cut(segs: DataFrame, step, state: dict[str, Column], tokens: bool) -> DataFrame:
+    """Rows (rec_id, seg_id, part, speaker, start_ms, end_ms, text, confidence, words); the words of one segment
+    decide, so partitions do not matter.  A segment without words is one piece."""
     if "words" not in segs.columns:
-        segs = segs.withColumn("words", F.lit(None).cast("array<struct<word:string,start_ms:bigint,end_ms:bigint,probability:double>>"))
-    return segs.select(*cols).mapInPandas(run, schema)
+        segs = segs.withColumn("words", F.lit(None).cast(WORDS))
+    token = lambda w: T.strip(w["word"])
+    told = F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["probability"].alias("probability"), token(w).alias("token"), T.ends_sentence(w["word"]).alias("ends"), token(w).rlike("[,;:—–]$").alias("soft")))
+    rows = segs.select("rec_id", "seg_id", "speaker", "start_ms", "end_ms", "text", "confidence", (F.filter(told, lambda w: w["token"] != "") if tokens else told).alias("__w"), (F.size(F.coalesce("words", F.array().cast(WORDS))) > 0).alias("__has"))
+    rows = rows.withColumn("__starts", _begin(F.col("__w"), state, step))
+    said = lambda p: F.array_join(F.transform(p, lambda w: w["token"] if tokens else w["word"]), " ")
+
+    def piece(p: Column, k: Column) -> Column:
+        known = F.filter(F.transform(p, lambda w: w["probability"]), lambda x: x.isNotNull())
+        mean = F.round(F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known), 3)
+        words = F.transform(p, lambda w: F.struct(w["word"].alias("word"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["probability"].alias("probability")))
+        return F.struct(k.cast("int").alias("part"), F.get(p, F.lit(0))["start_ms"].alias("start_ms"), F.element_at(p, -1)["end_ms"].alias("end_ms"), T.clean_text(said(p)).alias("text"), F.when(F.size(known) > 0, mean).otherwise(F.col("confidence")).alias("confidence"), words.alias("words"))
+
+    cut = F.filter(F.transform(_pieces(F.col("__w"), F.col("__starts")), piece), lambda x: x["text"] != "")
+    whole = F.array(F.struct(F.lit(0).alias("part"), "start_ms", "end_ms", "text", "confidence", F.array().cast(WORDS).alias("words")))
+    # outer: for a plain explode the optimizer would make the pieces again to test their number
+    each = rows.select("rec_id", "seg_id", "speaker", F.explode_outer(F.when(F.col("__has"), cut).otherwise(whole)).alias("p")).filter("p is not null")
+    return each.select("rec_id", "seg_id", "p.part", "speaker", "p.start_ms", "p.end_ms", "p.text", "p.confidence", "p.words")
 
 
 def _number(rows: DataFrame, name: str) -> DataFrame:
@@ -153,17 +160,18 @@ def _number(rows: DataFrame, name: str) -> DataFrame:
 
 def split_sentences(segs: DataFrame) -> DataFrame:
     """Segments with word times cut into sentences; numbered anew."""
-    rows = _number(_pieces(segs, _split_words, False), "__id")
+    rows = _number(_cut(segs, _sentence_step, {"open": F.lit(False), "since": F.lit(None).cast("bigint"), "chars": F.lit(0)}, False), "__id")
     return rows.drop("seg_id", "part").withColumnRenamed("__id", "seg_id")
 
 
 def build_cues(segs: DataFrame) -> DataFrame:
     """Subtitle blocks: packed by words, stretched, wrapped to balanced lines, with their reading speed."""
-    packed = _number(_pieces(segs, _pack_words, True), "cue_id").drop("words", "confidence")
+    none = F.lit(None).cast("bigint")
+    packed = _number(_cut(segs, _cue_step, {"open": F.lit(False), "since": none, "chars": F.lit(0), "last": none}, True), "cue_id").drop("words", "confidence")
     cues = stretch_cues(packed, "cue_id").filter(T.strip(F.col("text")) != "")
     cues = cues.withColumn("cue_id", F.row_number().over(W.partitionBy("rec_id").orderBy("seg_id", "part")).cast("bigint"))
     text = T.strip(F.col("text"))
-    return cues.select("rec_id", "cue_id", "speaker", "start_ms", "end_ms", text.alias("text"), T.wrap_two(text, MAX_CHARS).alias("lines"), F.round(T.chars_per_second(text, F.col("start_ms"), F.col("end_ms")), 1).alias("cps"))
+    return cues.select("rec_id", "cue_id", "speaker", "start_ms", "end_ms", text.alias("text"), T.wrap_balanced(text, MAX_CHARS, MAX_LINES).alias("lines"), F.round(T.chars_per_second(text, F.col("start_ms"), F.col("end_ms")), 1).alias("cps"))
 
 
 def subtitle_report(cues: DataFrame, most: int = 50) -> DataFrame:
@@ -175,52 +183,44 @@ def subtitle_report(cues: DataFrame, most: int = 50) -> DataFrame:
     return marked.groupBy("rec_id").agg(F.count(F.lit(1)).alias("blocos"), ids(F.col("__s") > MAX_CPS).alias("acima_do_cps"), ids(F.col("__l")).alias("linhas_longas"), ids(F.col("__o")).alias("sobrepostas"), F.round(F.avg("__s"), 1).alias("cps_medio"))
 
 
-# ---- folds over a recording ---------------------------------------------------------------------------
+# ---- folds over a recording: its segments, in order, are one array ------------------------------------
+
 
+def _said(segs: DataFrame) -> DataFrame:
+    """(rec_id, rows): segments that say something, with whether they end a sentence."""
+    text = T.strip(F.coalesce("text", F.lit("")))
+    rows = segs.select("rec_id", "seg_id", "speaker", "start_ms", "end_ms", text.alias("t")).filter("t <> ''")
+    ends = T.ends_sentence(F.element_at(T.ws_words(F.col("t")), -1))
+    return rows.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("seg_id", "speaker", "start_ms", "end_ms", "t", ends.alias("ends")))).alias("rows"))
 
-def _paragraphs(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: list[str] = []
-    held: list[str] = []
-    closed, end, who = 0, None, None
-    for s in pdf.sort_values("seg_id").to_dict("records"):
-        text = (s["text"] or "").strip()
-        if not text:
-            continue
-        if held:
-            other = s["speaker"] is not None and who is not None and s["speaker"] != who
-            if other or (T.ends_sentence_py(held[-1].split()[-1]) and (s["start_ms"] - end >= PAUSE_MS or closed >= PARAGRAPH_SENTENCES)):
-                out.append(" ".join(held))
-                held, closed = [], 0
-        held.append(text)
-        closed += T.ends_sentence_py(text.split()[-1])
-        end, who = s["end_ms"], s["speaker"]
-    if held:
-        out.append(" ".join(held))
-    return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "pos": range(len(out)), "texto": [T.capitalize_sentences_py(T.clean_text_py(p)) for p in out]})
+
+def _readable(p: Column) -> Column:
+    return T.capitalize_sentences(T.clean_text(F.array_join(F.transform(p, lambda x: x["t"]), " ")))
 
 
 def paragraphs(segs: DataFrame) -> DataFrame:
     """Readable paragraphs: a new one for another speaker, or after a closed sentence and a pause or five sentences."""
-    return segs.select("rec_id", "seg_id", "speaker", "start_ms", "end_ms", "text").groupBy("rec_id").applyInPandas(_paragraphs, "rec_id bigint, pos int, texto string")
-
-
-def _dialogue(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: list[dict] = []
-    for s in pdf.sort_values("seg_id").to_dict("records"):
-        text = (s["text"] or "").strip()
-        if not text:
-            continue
-        last = out[-1] if out else None
-        if last and last["speaker"] == s["speaker"] and s["start_ms"] - last["end_ms"] < 3 * PAUSE_MS and len(last["texto"]) < BLOCK_CHARS:
-            last["texto"] = f"{last['texto']} {text}"
-            last["end_ms"] = s["end_ms"]
-        else:
-            out.append({"rec_id": s["rec_id"], "pos": len(out), "speaker": s["speaker"], "start_ms": s["start_ms"], "end_ms": s["end_ms"], "texto": text})
-    for b in out:
-        b["texto"] = T.capitalize_sentences_py(T.clean_text_py(b["texto"]))
-    return pd.DataFrame(out, columns=["rec_id", "pos", "speaker", "start_ms", "end_ms", "texto"])
+
+    def step(s: Column, x: Column):
+        other = F.coalesce(x["speaker"] != s["who"], F.lit(False))
+        rest = s["ended"] & ((x["start_ms"] - s["last"] >= PAUSE_MS) | (s["sentences"] >= PARAGRAPH_SENTENCES))
+        new = (s["i"] == 0) | other | rest
+        return new, {"who": x["speaker"], "last": x["end_ms"], "ended": x["ends"], "sentences": F.when(new, 0).otherwise(s["sentences"]) + x["ends"].cast("int")}
+
+    state = {"who": F.lit(None).cast("string"), "last": F.lit(None).cast("bigint"), "ended": F.lit(False), "sentences": F.lit(0)}
+    cut = _said(segs).withColumn("starts", _begin(F.col("rows"), state, step))
+    return cut.select("rec_id", F.posexplode(_pieces(F.col("rows"), F.col("starts"))).alias("pos", "p")).select("rec_id", "pos", _readable(F.col("p")).alias("texto"))
 
 
 def dialogue(segs: DataFrame) -> DataFrame:
     """Blocks of one voice with short gaps and at most about 900 characters."""
-    return segs.select("rec_id", "seg_id", "speaker", "start_ms", "end_ms", "text").groupBy("rec_id").applyInPandas(_dialogue, "rec_id bigint, pos int, speaker string, start_ms bigint, end_ms bigint, texto string")
+
+    def step(s: Column, x: Column):
+        joins = (s["i"] > 0) & x["speaker"].eqNullSafe(s["who"]) & (x["start_ms"] - s["last"] < 3 * PAUSE_MS) & (s["chars"] < BLOCK_CHARS)
+        return ~joins, {"who": x["speaker"], "last": x["end_ms"], "chars": F.when(joins, s["chars"] + 1).otherwise(0) + F.length(x["t"])}
+
+    state = {"who": F.lit(None).cast("string"), "last": F.lit(None).cast("bigint"), "chars": F.lit(0)}
+    cut = _said(segs).withColumn("starts", _begin(F.col("rows"), state, step))
+    block = cut.select("rec_id", F.posexplode(_pieces(F.col("rows"), F.col("starts"))).alias("pos", "p"))
+    first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
+    return block.select("rec_id", "pos", first["speaker"].alias("speaker"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), _readable(F.col("p")).alias("texto"))

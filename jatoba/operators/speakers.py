@@ -25,22 +25,46 @@ def _filters() -> np.ndarray:
     return bank / np.where(total == 0, 1, total)  # else wide filters, the high ones, would hold most energy
 
 
+class Cepstrum:
+    """MFCC of a recording that comes in blocks: what is left of a block, less than a frame, waits for the next, so
+    only features grow with the recording (frames x N_COEF)."""
+
+    def __init__(self):
+        self.size, self.hop = RATE * FRAME_MS // 1000, RATE * HOP_MS // 1000
+        k = np.arange(N_MELS)
+        self.dct = np.sqrt(2 / N_MELS) * np.cos(np.pi * np.arange(N_COEF)[:, None] * (2 * k + 1) / (2 * N_MELS))
+        self.dct[0] /= np.sqrt(2)
+        self.bank = _filters()
+        self.window = np.hamming(self.size)
+        self.rest = np.empty(0)
+        self.before: float | None = None
+
+    def push(self, samples: np.ndarray) -> np.ndarray:
+        """(frames, N_COEF) that are complete now, of mono samples in [-1, 1]."""
+        x = np.asarray(samples, np.float32)
+        if not len(x):
+            return np.empty((0, N_COEF))
+        past = np.concatenate([[0.0 if self.before is None else self.before], x[:-1]])
+        self.before, first = x[-1], self.before is None
+        y = x - EMPHASIS * past
+        if first:
+            y[0] = x[0]
+        y = np.concatenate([self.rest, y])
+        if len(y) < self.size:
+            self.rest = y
+            return np.empty((0, N_COEF))
+        frames = np.lib.stride_tricks.sliding_window_view(y, self.size)[:: self.hop]
+        self.rest = y[len(frames) * self.hop :]
+        out = []
+        for at in range(0, len(frames), 4096):
+            power = np.abs(np.fft.rfft(frames[at : at + 4096] * self.window, N_FFT)) ** 2 / N_FFT
+            out.append(np.log(np.maximum(power @ self.bank.T, FLOOR)) @ self.dct.T)
+        return np.concatenate(out)
+
+
 def mfcc(samples: np.ndarray) -> np.ndarray:
-    """(frames, N_COEF) of mono samples in [-1, 1]."""
-    x = np.asarray(samples, np.float32)
-    size, hop = RATE * FRAME_MS // 1000, RATE * HOP_MS // 1000
-    if len(x) < size:
-        return np.empty((0, N_COEF))
-    x = np.concatenate([x[:1], x[1:] - EMPHASIS * x[:-1]])
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hamming(size)
-    k = np.arange(N_MELS)
-    dct = np.sqrt(2 / N_MELS) * np.cos(np.pi * np.arange(N_COEF)[:, None] * (2 * k + 1) / (2 * N_MELS))
-    dct[0] /= np.sqrt(2)
-    out = []
-    for at in range(0, len(frames), 4096):
-        power = np.abs(np.fft.rfft(frames[at : at + 4096], N_FFT)) ** 2 / N_FFT
-        out.append(np.log(np.maximum(power @ _filters().T, FLOOR)) @ dct.T)
-    return np.concatenate(out)
+    """(frames, N_COEF) of a whole recording."""
+    return Cepstrum().push(samples)
 
 
 def signatures(features: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray | None]:
@@ -56,24 +80,44 @@ def signatures(features: np.ndarray, spans: list[tuple[int, int]]) -> list[np.nd
 
 
 def agglomerate(vectors: np.ndarray, threshold: float = THRESHOLD, most: int = MAX_SPEAKERS) -> list[int]:
-    """Average linkage by cosine distance: merge the nearest two while they are near, or clusters too many."""
+    """Average linkage by cosine distance: the nearest two join while they are near, or clusters too many.
+
+    Mean distances between clusters are sums of distances between members over products of sizes, so a join adds
+    two rows of sums.  Every cluster remembers its nearest one; only those that pointed to a joined one look again."""
     n = len(vectors)
-    d = np.clip(1 - vectors @ vectors.T, 0, 2)
-    np.fill_diagonal(d, np.inf)
-    members = {i: [i] for i in range(n)}
-    while len(members) > 1:
-        i, j = divmod(int(d.argmin()), n)
-        if not np.isfinite(d[i, j]) or (d[i, j] > threshold and len(members) <= most):
+    if not n:
+        return []
+    total = np.clip(1 - vectors @ vectors.T, 0, 2)
+    size, live, label = np.ones(n), np.ones(n, bool), np.arange(n)
+
+    def look(rows: np.ndarray) -> None:
+        mean = np.where(live, total[rows] / (size[rows, None] * size), np.inf)
+        mean[np.arange(len(rows)), rows] = np.inf
+        nearest[rows], gap[rows] = mean.argmin(1), mean.min(1)
+
+    nearest, gap = np.zeros(n, int), np.full(n, np.inf)
+    look(np.arange(n))
+    for left in range(n, 1, -1):
+        a = int(np.where(live, gap, np.inf).argmin())
+        b = int(nearest[a])
+        if not np.isfinite(gap[a]) or (gap[a] > threshold and left <= most):
             break
-        a, b = len(members[i]), len(members[j])
-        row = (a * d[i] + b * d[j]) / (a + b)
-        d[i] = d[:, i] = row
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        members[i] += members.pop(j)
-    root = {x: r for r, xs in members.items() for x in xs}
-    names: dict[int, int] = {}
-    return [names.setdefault(root[x], len(names)) for x in range(n)]
+        a, b = min(a, b), max(a, b)
+        total[a] += total[b]
+        total[:, a] = total[a]
+        size[a] += size[b]
+        live[b] = False
+        label[label == b] = a
+        stale = live & ((nearest == a) | (nearest == b))
+        stale[a] = True
+        look(np.flatnonzero(stale))
+        # to the others the joined cluster may have come nearer than their nearest
+        mean = total[a] / (size[a] * size)
+        closer = live & (mean < gap)
+        closer[a] = False
+        nearest[closer], gap[closer] = a, mean[closer]
+    _, first, code = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[code].tolist()
 
 
 def cluster(vectors: DataFrame) -> DataFrame:
@@ -116,7 +160,8 @@ def voices(audio: DataFrame, segs: DataFrame) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("seg_id")
-        f = mfcc(np.concatenate([np.asarray(x) for x in left.sort_values("block")["samples"]])) if len(left) else np.empty((0, N_COEF))
+        heard = Cepstrum()
+        f = np.concatenate([np.empty((0, N_COEF)), *(heard.push(x) for x in left.sort_values("block")["samples"])])
         if len(f) < LEAST_RECORDING or not len(right):
             return pd.DataFrame({"rec_id": [], "seg_id": [], "v": []})
         return pd.DataFrame({"rec_id": right["rec_id"], "seg_id": right["seg_id"], "v": signatures(f, list(zip(right["start_ms"], right["end_ms"], strict=True)))})

@@ -46,6 +46,9 @@ WINDOW, GRAM = 13, 4
 RUN = 48
 #: Documents per shard, about.
 SHARD_DOCS = 1500
+#: Rows with one fingerprint from which on its runs are sent window by window, and copies of one text from which on
+#: they are joined apart (or a ten-thousandth of all rows, if that is more).
+HOT_ROWS, HOT_COPIES = 50_000, 4096
 #: Bytes of passages that a task gathers before it sends them.
 PACK_BYTES = 16 << 20
 
@@ -85,7 +88,7 @@ def _runs(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _shared(keyed: DataFrame, window: int) -> DataFrame:
-    """Fingerprints of two texts or more."""
+    """(fp, hot): fingerprints of two texts or more, and whether very many rows have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -94,18 +97,22 @@ def _shared(keyed: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids)], ["fp", "t"])
 
     rows = keyed.filter("doc_id is not null").select("th", "text").mapInArrow(run, "fp bigint, t bigint")
-    return rows.groupBy("fp").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").select("fp")
+    return rows.groupBy("fp").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("fp", (F.col("n") > HOT_ROWS).alias("hot"))
 
 
 def _copies(keyed: DataFrame) -> DataFrame:
     """Row keys of texts that a smaller id also has."""
     rows = keyed.filter("doc_id is not null and text is not null").select("doc_id", "rid", "th", F.xxhash64(F.lit(7), "text").alias("th2"))
-    least = rows.groupBy("th", "th2").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    return rows.join(least, ["th", "th2"]).filter("doc_id > d").select("rid").distinct()
+    least = stash(rows.groupBy("th", "th2").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    # texts of very many rows (few, whatever the table's size) are joined apart, so no task gets all their rows
+    most = max(HOT_COPIES, keyed.count() // 10_000)
+    hot = F.broadcast(least.filter(F.col("c") > most))
+    rest = rows.join(hot.select("th", "th2"), ["th", "th2"], "left_anti").join(least.filter(F.col("c") <= most), ["th", "th2"])
+    return rest.unionByName(rows.join(hot, ["th", "th2"])).filter("doc_id > d").select("rid").distinct()
 
 
 def _candidates(keyed: DataFrame, copies: DataFrame, window: int) -> DataFrame:
-    """Per row key the first words of runs that other texts may share."""
+    """Per row key the first words of runs that other texts may share; those of hot fingerprints below zero (-1 - first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -114,12 +121,14 @@ def _candidates(keyed: DataFrame, copies: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashing.signed(low)), pa.array(ids), pa.array(at.astype(np.int32))], ["fp", "rid", "first"])
 
     rows = keyed.filter("doc_id is not null").select("rid", "text").mapInArrow(run, "fp bigint, rid bigint, first int")
-    kept = rows.join(_shared(keyed, window), "fp", "left_semi")
+    kept = rows.join(_shared(keyed, window), "fp").withColumn("first", F.when(F.col("hot"), -1 - F.col("first")).otherwise(F.col("first")))
     return kept.groupBy("rid").agg(F.collect_list("first").alias("runs")).join(copies, "rid", "left_anti")
 
 
 def _marked(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Of a slice with ``runs``: text number, first word, fingerprint and words of the runs that are asked for."""
+    """Of a slice with ``runs``: text number, first word, fingerprint and words of the runs that are asked for.  A run of a
+    hot fingerprint comes window by window, each with a fingerprint of its own: equal windows still meet in one shard,
+    but the surroundings of one frequent phrase are dealt to all."""
     if batch.column("runs").null_count == len(batch):
         return
     owner, at, size, low = _runs(batch, window)
@@ -127,10 +136,16 @@ def _marked(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int,
     texts = batch.column("text").cast(pa.binary())
     last, words = -1, []
     for o, a, n, fp in zip(owner.tolist(), at.tolist(), size.tolist(), hashing.signed(low).tolist(), strict=True):
-        if a in asked[o]:
+        hot = -1 - a in asked[o]
+        if hot or a in asked[o]:
             if o != last:
                 last, words = o, _words(texts[o].as_py())
-            yield o, a, fp, b" ".join(words[a : a + n + window - 1])
+            if not hot:
+                yield o, a, fp, b" ".join(words[a : a + n + window - 1])
+                continue
+            for k in range(a, a + n):
+                raw = b" ".join(words[k : k + window])
+                yield o, k, xxhash.xxh3_64_intdigest(raw, 1), raw
 
 
 def _words(text: bytes | None) -> list[bytes]:

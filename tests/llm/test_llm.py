@@ -59,7 +59,10 @@ def test_word_hashes_follow_words(docs):
     assert [bytes(w.data[a:b]).decode() for a, b in zip(w.starts, w.ends, strict=True)] == flat
 
 
-def test_substring_against_brute_force(docs):
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_substring_against_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_ROWS", hot)  # with 3, frequent phrases are sent window by window
+    monkeypatch.setattr(substring, "HOT_COPIES", min(hot, 4096) // 2)
     df, rows = docs
     got = {(r["doc_id"], r["text"], len(r["spans"])) for r in substring.deduplicate(df).collect()}
     least = {}

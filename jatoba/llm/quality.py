@@ -47,12 +47,12 @@ def index_vectors() -> np.ndarray:
 def _types(word: str) -> tuple[int, int]:
     """Buckets of the word in lower case and of its shape."""
     shape = []
-    for m in _SHAPE.finditer(word[:40]):
+    for m in _SHAPE.finditer(word):
         p = m.group()
         s = "9" if p.isdigit() else "X" if p.isupper() and len(p) > 1 else "Xx" if p[:1].isupper() else "x" if p.isalpha() else p
         if not shape or shape[-1] != s:
             shape.append(s)
-    return zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS, zlib.crc32(("\0" + "".join(shape[:6])).encode("utf-8", "replace")) % BUCKETS
+    return zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS, zlib.crc32(("\0" + "".join(shape)).encode("utf-8", "replace")) % BUCKETS
 
 
 def type_ids(text: str | None) -> np.ndarray:

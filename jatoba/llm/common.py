@@ -89,6 +89,23 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(_stashed.pop(path), path)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """A dictionary that lives as long as tasks of one operator follow one another in a worker."""
+    return _caches.setdefault(owner, {})
+
+
+def claim(owner: str = "") -> None:
+    """A task of ``owner`` begins: what other operators have cached in this worker goes."""
+    others = [c for name, c in _caches.items() if name != owner and c]
+    for c in others:
+        c.clear()
+    if others:
+        trim()
+
+
 def trim() -> None:
     """Give memory that a task no longer uses back to the system: workers live on for tasks of other stages."""
     pa.default_memory_pool().release_unused()
@@ -97,10 +114,12 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each slice is about ``limit`` bytes, or one row."""
     import pyarrow.compute as pc
 
+    claim(owner)
+
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import documents, slices, stash, table
+from .common import cache, documents, slices, stash, table
 
 CAPACITY = 2048
 #: Width of a length bin and the most documents of a pattern.
@@ -37,7 +37,7 @@ BIN, MOST = 32, 4
 #: Pieces of one length that are numbered together.
 BUCKET_ROWS = 2_000
 #: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 _MARK = "<|endoftext|>"
 _BARE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -60,44 +60,56 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        #: The same merges without normalising and splitting, for what needs neither.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Of normalising and splitting: as the vocabulary has it, and nearly none, for what needs neither.
+        self.usual = self.tok.normalizer, self.tok.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.mark = self.tok.token_to_id(_MARK)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, missing: list[str], tok) -> None:
-        ids = np.array(tok.encode_batch_fast([_MARK.join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _learn(self, missing: list[str]) -> None:
+        ids = np.array(self.tok.encode_batch_fast([_MARK.join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark)
         raw, start = ids.tobytes(), 0
         for w, stop in zip(missing, [*cuts.tolist(), len(ids)], strict=True):
-            self.parts[w] = raw[4 * start : 4 * stop]
+            self.new[w.encode("utf-8")] = raw[4 * start : 4 * stop]
             start = stop + 1
 
     def _add(self, words: set[bytes]) -> None:
-        """Put words that ``new`` lacks into it."""
-        split: list[tuple[bytes, str, str]] = []
-        old, new, parts, plain, bare = self.old.get, self.new, self.parts, _PLAIN.fullmatch, _BARE.fullmatch
+        """Put words that ``new`` lacks into it.  Letters in lower case and marks are words too, so there is one memory."""
+        split: list[tuple[bytes, bytes, bytes]] = []
+        old, new, plain, bare = self.old.get, self.new, _PLAIN.fullmatch, _BARE.fullmatch
+        unknown: dict[bytes, str] = {}
+
+        def part(text: str) -> bytes:
+            key = text.encode("utf-8")
+            if key not in new:
+                if (x := old(key)) is not None:
+                    new[key] = x
+                else:
+                    unknown[key] = text
+            return key
+
         for w in words:
             if (x := old(w)) is not None:
                 new[w] = x
-                continue
-            text = w.decode("utf-8", "replace")
-            if text.isascii() and text.isalpha():
-                split.append((w, text.lower(), ""))
-            elif m := plain(text):
-                split.append((w, m[1].lower(), m[2]))
+            elif w.isalpha():  # of ASCII letters
+                split.append((w, part(w.lower().decode()), b""))
             else:
-                split.append((w, text, ""))
-        unknown = [x for x in {x for _, *both in split for x in both} if x not in parts]
-        for tok, some in ((self.bare, [x for x in unknown if bare(x)]), (self.tok, [x for x in unknown if not bare(x)])):
-            for i in range(0, len(some), 4096):
-                self._learn(some[i : i + 4096], tok)
+                text = w.decode("utf-8", "replace")
+                m = plain(text)
+                split.append((w, part(m[1].lower()), part(m[2]) if m[2] else b"") if m else (w, part(text), b""))
+        plainly = [x for x in unknown.values() if bare(x)]
+        if plainly:
+            self.tok.normalizer, self.tok.pre_tokenizer = self.bare
+            for i in range(0, len(plainly), 4096):
+                self._learn(plainly[i : i + 4096])
+            self.tok.normalizer, self.tok.pre_tokenizer = self.usual
+        others = [x for x in unknown.values() if not bare(x)]
+        for i in range(0, len(others), 4096):
+            self._learn(others[i : i + 4096])
         for w, head, tail in split:
-            new[w] = parts[head] + parts[tail] if tail else parts[head]
+            new[w] = new[head] + new[tail] if tail else new[head]
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:  # it may hold a special token, which may reach over anything
@@ -105,8 +117,6 @@ class Encoder:
             return struct.pack(f"<{len(ids)}I", *ids)
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
         words = text.encode("utf-8", "replace").split()
         found = list(map(self.new.get, words))
         if None in found:
@@ -117,7 +127,8 @@ class Encoder:
         return b"".join(found)
 
 
-_encoders: dict[str, Encoder] = {}
+#: Kept by a worker for its next task, until a task of another operator comes.
+_encoders: dict[str, Encoder] = cache("packing")
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -125,7 +136,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for batch in slices(batches):
+        for batch in slices(batches, owner="packing"):
             rows: list[tuple] = []
             texts = batch.column("text")
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, table
+from .common import cache, claim, documents, table
 from .toxicity import held_out, labelled
 
 BUCKETS, WIDTH, NONZERO = 4096, 32, 4
@@ -33,7 +33,7 @@ SAMPLE = 12_000
 HIDDEN, EPOCHS, BATCH = 24, 60, 256
 _REMEMBERED = 400_000
 _SHAPE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_seen: dict[str, tuple[int, int]] = {}
+_seen: dict[str, tuple[int, int]] = cache("quality")
 
 
 def index_vectors() -> np.ndarray:
@@ -79,6 +79,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     chunk = BUCKETS // 64
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("quality")
         total = np.zeros((BUCKETS, WIDTH), np.float64)
         positions = np.stack([np.flatnonzero(r) for r in index])
         signs = np.stack([r[np.flatnonzero(r)] for r in index])

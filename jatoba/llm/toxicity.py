@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, pick, slices, table
+from .common import claim, documents, pick, slices, table
 
 PRIOR_SHARE, Z_LEAST, DRIFT, E_MOST, K = 0.3, 4.0, 0.08, 0.05, 0.05
 #: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast); it
@@ -128,6 +128,7 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     """token, toxic, other: counts over all labelled documents (text, toxic), combined batch by batch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         for pdf in frames:
             both = (Counter(), Counter())
             for text, label in zip(pdf["text"], pdf["label"], strict=True):

@@ -68,46 +68,51 @@ class Encoder:
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
-        ids = np.array(self.tok.encode_batch_fast([_MARK.join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.mark)
-        raw, start = ids.tobytes(), 0
-        for w, stop in zip(missing, [*cuts.tolist(), len(ids)], strict=True):
-            self.new[w.encode("utf-8")] = raw[4 * start : 4 * stop]
-            start = stop + 1
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            ids = np.array(self.tok.encode_batch_fast([_MARK.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(some, [*cuts.tolist(), len(ids)], strict=True):
+                self.new[w.encode("utf-8")] = raw[4 * start : 4 * stop]
+                start = stop + 1
 
     def _add(self, words: set[bytes]) -> None:
         """Put words that ``new`` lacks into it.  Letters in lower case and marks are words too, so there is one memory."""
         split: list[tuple[bytes, bytes, bytes]] = []
         old, new, plain, bare = self.old.get, self.new, _PLAIN.fullmatch, _BARE.fullmatch
-        unknown: dict[bytes, str] = {}
+        unknown: dict[bytes, str] = {}  # for the bare settings
+        others: dict[bytes, str] = {}
 
         def part(text: str) -> bytes:
             key = text.encode("utf-8")
             if key not in new:
                 if (x := old(key)) is not None:
                     new[key] = x
-                else:
+                elif bare(text):
                     unknown[key] = text
+                else:
+                    others[key] = text
             return key
 
         for w in words:
             if (x := old(w)) is not None:
                 new[w] = x
             elif w.isalpha():  # of ASCII letters
-                split.append((w, part(w.lower().decode()), b""))
+                if w.islower():
+                    unknown[w] = w.decode()
+                else:
+                    split.append((w, part(w.lower().decode()), b""))
             else:
                 text = w.decode("utf-8", "replace")
                 m = plain(text)
                 split.append((w, part(m[1].lower()), part(m[2]) if m[2] else b"") if m else (w, part(text), b""))
-        plainly = [x for x in unknown.values() if bare(x)]
-        if plainly:
+        if unknown:
             self.tok.normalizer, self.tok.pre_tokenizer = self.bare
-            for i in range(0, len(plainly), 4096):
-                self._learn(plainly[i : i + 4096])
+            self._learn(list(unknown.values()))
             self.tok.normalizer, self.tok.pre_tokenizer = self.usual
-        others = [x for x in unknown.values() if not bare(x)]
-        for i in range(0, len(others), 4096):
-            self._learn(others[i : i + 4096])
+        if others:
+            self._learn(list(others.values()))
         for w, head, tail in split:
             new[w] = new[head] + new[tail] if tail else new[head]
 

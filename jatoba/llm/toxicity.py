@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import claim, documents, pick, slices, table
+from .common import claim, documents, pick, slices, table, trim
 
 PRIOR_SHARE, Z_LEAST, DRIFT, E_MOST, K = 0.3, 4.0, 0.08, 0.05, 0.05
 #: The most labelled documents that are learnt from (a sample by hash of the id, small enough to broadcast); it
@@ -130,12 +130,15 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim()
         for pdf in frames:
-            both = (Counter(), Counter())
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                both[int(label)].update(set(tokens(text)))
-            names = list(both[0] | both[1])
-            if names:
-                yield pd.DataFrame({"token": names, "n0": [both[0][w] for w in names], "n1": [both[1][w] for w in names]})
+            for at in range(0, len(pdf), 256):  # few texts at once: their tokens are many times as large
+                part = pdf.iloc[at : at + 256]
+                both = (Counter(), Counter())
+                for text, label in zip(part["text"], part["label"], strict=True):
+                    both[int(label)].update(set(tokens(text)))
+                names = list(both[0] | both[1])
+                if names:
+                    yield pd.DataFrame({"token": names, "n0": [both[0][w] for w in names], "n1": [both[1][w] for w in names]})
+        trim()
 
     return labelled.select("text", "label").mapInPandas(run, "token string, n0 bigint, n1 bigint").filter("token <> ''").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 

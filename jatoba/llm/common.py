@@ -81,6 +81,15 @@ def stash(df: DataFrame) -> DataFrame:
     return back
 
 
+#: Rows of a few numbers and hashes each that are broadcast at most (about 10 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def small(stored: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete stashed tables that nothing reads any more: whatever was made of them is itself stored."""
     for t in tables:

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from . import hashing
-from .common import discard, documents, slices, stash, table
+from .common import discard, documents, slices, small, stash, table
 from .components import components
 
 SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
@@ -415,7 +415,7 @@ def members(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
             yield flush()
 
     sets = docs.select("text").mapInArrow(run, "s1 bigint, id binary, h array<bigint>, task int")
-    return sets.join(clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "s1", "id", "h", "task")
+    return sets.join(small(clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster"))), "s1").select("cluster", "s1", "id", "h", "task")
 
 
 # ---- joining a region that fits --------------------------------------------------------------------
@@ -548,12 +548,12 @@ def join_regions(rows: DataFrame, num: int, den: int, depth: int = DEPTH) -> Dat
         return _frame(join_region(pdf["id"].tolist(), [np.asarray(h).view(np.uint64) for h in pdf["h"]], num, den, None, pdf["core"].to_numpy(bool)))
 
     sizes = stash(_fits(rows))
-    small = rows.join(sizes.filter("fits").select("region"), "region", "left_semi")
-    found = small.groupBy("region").applyInPandas(whole, "a binary, b binary")
+    fitting = rows.join(small(sizes.filter("fits").select("region")), "region", "left_semi")
+    found = fitting.groupBy("region").applyInPandas(whole, "a binary, b binary")
     large = sizes.filter("not fits").drop("fits")
     if not large.take(1):
         return found
-    big = stash(rows.select("region", "id", "h").join(large, "region").dropDuplicates(["region", "id"]))
+    big = stash(rows.select("region", "id", "h").join(small(large), "region").dropDuplicates(["region", "id"]))
     # pivots: the PIVOTS sets of each large region that a hash puts first; every part of a region gets them first
     parts = F.ceil(F.greatest((F.col("core_sets") + F.col("loose_sets")) / REGION_SETS, (F.col("core_shingles") + F.col("loose_shingles")) / REGION_SHINGLES)).cast("int")
     chosen = big.join(_first(big.select("region", "id", F.xxhash64("region", "id").alias("o"))), ["region", "id"], "left_semi")
@@ -649,7 +649,7 @@ def clustered(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     discard(clusters)
     # of the rows of one set the least task's stays; a stored list of names is joined, so sets need no shuffle while it is small
     repeated = stash(found.groupBy("id").agg(F.min("task").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
-    rows = found.join(repeated, "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "id", "h", F.lit(False).alias("core"))
+    rows = found.join(small(repeated), "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "id", "h", F.lit(False).alias("core"))
     links = components(join_regions(rows, num, den))
     discard(found, repeated)
     return links
@@ -689,11 +689,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) ->
     twice = stash(counted.filter("rows > 1").join(stays, same(counted, stays), "left_semi").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__text")))
     discard(labels, rows)
     is_in = lambda x: docs["doc_id"].eqNullSafe(x["__doc"]) & (F.unhex(F.md5(docs["text"].cast("binary"))) == x["__text"])
-    kept = docs.join(gone, is_in(gone), "left_anti")
+    kept = docs.join(small(gone), is_in(gone), "left_anti")
     if not twice.take(1):
         return kept
-    once = docs.join(twice, is_in(twice), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, is_in(twice), "left_anti").unionByName(once)
+    once = docs.join(small(twice), is_in(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(twice), is_in(twice), "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,35 @@ def test_run_packs_what_is_left(spark, sf_dir):
     for r in rows:
         by.setdefault(r["sequence_id"], []).append(r["length"])
     assert rows and max(map(sum, by.values())) <= 2048
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty, long and repeated texts, clashing columns; the near-copy stage equals brute force."""
+    import hashlib
+
+    from test_llm import WORD, brute_labels, odd_docs
+
+    docs, rows = odd_docs(spark)
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == ["doc_id", "text", "DOC_LEN", "score"]
+        kept[name] = sorted(str((r["doc_id"], r["text"])) for r in docs.collect())
+    assert kept["toxicity"] == sorted(map(str, rows))  # none of these is toxic
+    want = []
+    label = brute_labels(rows, 5, 8, 10)
+    for c in set(label):
+        group = [r for r, x in zip(rows, label, strict=True) if x == c]
+        want += [min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))] if WORD.findall(group[0][1] or "") else group
+    assert kept["near_copies"] == kept["decontamination"] == kept["personal_data"] == sorted(map(str, want))
+    packed = cp.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {d for d, _ in want}
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir) if docs is not None else docs
+        assert docs.count() == 0
+        if "text" not in docs.columns:
+            break

@@ -2,6 +2,12 @@
 items go, personal data is masked, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept, read again from Parquet.
+
+Edge cases: null and empty texts are clean, near nothing, hold no item and no personal data, and are packed as
+their separator alone; a very long text is read whole; of rows that repeat, or that share a text and a null
+doc_id, the near-copy stage keeps one, as it does of any group, but all rows without words; a doc_id with two texts
+is two documents; other columns, whatever their names, pass through all stages but the last; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +51,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage but the joins can be said in SQL; the tests hold the result against a brute-force version.
+#: No stage but the joins can be said in SQL.  The tests hold the near-copy stage against brute force, the packing against
+#: the tokenizer, and the others against what they say they drop or mask.
 ORACLE_SQL = None
 
 

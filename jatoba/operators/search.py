@@ -87,11 +87,16 @@ def search(segs: DataFrame, query: str, recordings: DataFrame | None = None, lim
     return out.orderBy("score", "start_ms", "rec_id", "seg_id").limit(limit)
 
 
-def search_like(segs: DataFrame, query: str, limit: int = 60) -> DataFrame:
-    """Plain substring search, case and accents aside; quotes are ordinary characters."""
+def search_like(segs: DataFrame, query: str, limit: int = 60, recordings: DataFrame | None = None) -> DataFrame:
+    """Plain substring search, case and accents aside; quotes are ordinary characters.  With recordings, hits carry
+    filename and created_at, null for those that are gone, and the newest recordings come first."""
     q = (query or "").strip()
     hit = F.lit(False) if len(q) < 2 else T.fold(F.col("text")).contains(T.fold_py(q))
-    return segs.filter(hit).select("rec_id", "seg_id", "start_ms", "text").orderBy("start_ms", "rec_id", "seg_id").limit(limit)
+    hits = segs.filter(hit).select("rec_id", "seg_id", "start_ms", "text")
+    if recordings is None:
+        return hits.orderBy("start_ms", "rec_id", "seg_id").limit(limit)
+    named = hits.join(recordings.select("rec_id", "filename", "created_at"), "rec_id", "left")
+    return named.orderBy(F.desc_nulls_last("created_at"), "start_ms", "rec_id", "seg_id").limit(limit)
 
 
 def snippet(text, terms: list[Term], size: int = 14):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from jatoba.functions import text as T
-from jatoba.operators import analytics as A, export as X, search as S, sequence as Q, speakers as V, store as R
+from jatoba.functions import labels as L, text as T
+from jatoba.operators import analytics as A, export as X, search as S, sequence as Q, speakers as V, store as R, view
 from jatoba.sources import adapters, media
 from jatoba.streaming import live
 
@@ -297,3 +297,40 @@ l AS (SELECT *, lag(status) OVER w AS ps, lag(percent) OVER w AS pp FROM e WINDO
 SELECT job_id, seq, status, percent, status = 'concluido' AS final FROM l WHERE ps IS NULL OR ps = 'concluido' OR ps <> status OR pp IS DISTINCT FROM percent""")(lambda s, d: live.status_changes_batch(_events(s, d)).select("job_id", "seq", "status", "percent", "final"))
 query("paced_progress", "SELECT user_id::VARCHAR AS job_id, event_id AS seq, CAST(floor(max(15 + least(79.0, value / 1000 * 80)) OVER (PARTITION BY user_id ORDER BY event_id)) AS BIGINT) AS progress FROM events")(
     lambda s, d: live.paced(adapters.table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("value").alias("position_s"), F.lit(1000.0).alias("total_s"))).select("job_id", "seq", "progress"))
+
+# ---- views ---------------------------------------------------------------------------------------------------
+
+query("search_like_recordings", _SEG + _REC + """ SELECT s.rec_id, seg_id, start_ms, text, filename, created_at FROM segments s LEFT JOIN (SELECT * FROM recs WHERE rec_id % 2 = 0) r ON r.rec_id = s.rec_id
+WHERE contains(strip_accents(lower(text)), 'ate sexta') ORDER BY created_at DESC NULLS LAST, start_ms, s.rec_id, seg_id LIMIT 60""")(
+    lambda s, d: S.search_like(segs(s, d), "Até sexta", recordings=adapters.recordings(segs(s, d)).filter("rec_id % 2 = 0")).select("rec_id", "seg_id", "start_ms", "text", "filename", "created_at"))
+query("visible_segments", _SEG + " SELECT rec_id, seg_id FROM segments WHERE contains(lower(text), 'você') AND confidence < 0.55 AND speaker <> 'system'")(lambda s, d: view.visible(segs(s, d), " VOCÊ ", ["system"], True).select("rec_id", "seg_id"))
+query("neighbours", _SEG + " SELECT rec_id, min(start_ms) FILTER (start_ms > 20150) AS next_ms, coalesce(max(start_ms) FILTER (start_ms < 18800), 0) AS previous_ms FROM segments GROUP BY rec_id")(lambda s, d: view.neighbours(segs(s, d), 20000))
+query("live_fields", _SEG + f" SELECT rec_id, seg_id AS id, start_ms, end_ms, {_TS} AS start_str, {_TE} AS end_str, text, confidence FROM segments")(lambda s, d: view.live_fields(segs(s, d)))
+_BYTES = " ".join(f"WHEN b < {1024 ** (k + 1)} THEN printf('%.1f', round(b / {1024 ** k}.0::DOUBLE, 1)) || ' {u}'" for k, u in enumerate(L.BYTE_UNITS) if 1 <= k < 4)
+query("figure_labels", f"""SELECT o_orderkey, CASE WHEN b = 0 THEN '0 B' WHEN b < 1024 THEN b || ' B' {_BYTES} ELSE printf('%.1f', round(b / {1024 ** 4}.0::DOUBLE, 1)) || ' TB' END AS bytes,
+CASE WHEN t >= 3600 THEN (t // 3600) || ':' ELSE '' END || lpad((t % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS clock,
+CASE WHEN t = 0 THEN '—' WHEN t >= 3600 THEN (t // 3600) || 'h ' || ((t % 3600 + 30) // 60) || 'min' ELSE greatest(1, (t + 30) // 60) || 'min' END AS lasts,
+CASE o_orderstatus WHEN 'F' THEN 'concluído' WHEN 'P' THEN 'na fila' ELSE 'O' END AS status, replace(format('{{:,}}', b), ',', '.') AS figure
+FROM (SELECT o_orderkey, o_orderstatus, (o_orderkey - 1) * o_custkey * 977 AS b, o_custkey * 37 % 9000 AS t FROM orders)""")(
+    lambda s, d: adapters.table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") - 1) * F.col("o_custkey") * 977).alias("b"), (F.col("o_custkey") * 37 % 9000).alias("t"), F.when(F.col("o_orderstatus") == "F", "concluido").when(F.col("o_orderstatus") == "P", "na_fila").otherwise("O").alias("st")).select(
+        "o_orderkey", L.bytes_label(F.col("b")).alias("bytes"), L.clock(F.col("t")).alias("clock"), L.rough_duration(F.col("t")).alias("lasts"), L.status_label(F.col("st")).alias("status"), L.whole_number(F.col("b")).alias("figure")))
+query("vocabulary_terms", "SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name || ' ; ' || p_type || ',, ' || p_brand || ';', ';', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS terms FROM part")(
+    lambda s, d: adapters.table(s, d, "part").select("p_partkey", L.vocabulary_terms(F.concat("p_name", F.lit(" ; "), "p_type", F.lit(",, "), "p_brand", F.lit(";"))).alias("terms")))
+query("completion_detail", _SEG + _REC + " SELECT rec_id, word_count || ' palavras em ' || segment_count || ' trechos' || CASE WHEN speakers > 2 THEN ' · ' || speakers || ' falante(s)' ELSE '' END || CASE WHEN rec_id % 3 > 0 THEN ' · ' || rec_id % 3 || ' capítulos' ELSE '' END || '.' AS detail FROM recs")(
+    lambda s, d: adapters.recordings(segs(s, d)).select("rec_id", L.completion_detail(F.col("word_count"), F.col("segment_count"), F.when(F.col("speakers") > 2, F.col("speakers")), F.col("rec_id") % 3).alias("detail")))
+query("thinned_points", "WITH p AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS point, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT rec_id, n, greatest(1, least(n, 7)) AS b, unnest(range(greatest(1, least(n, 7)))) AS bar FROM (SELECT DISTINCT rec_id, n FROM p)) SELECT rec_id, bar * n // b AS point, bar FROM b")(
+    lambda s, d: view.thinned(adapters.table(s, d, "events").select(F.col("user_id").alias("rec_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint").alias("point")), 30))
+_STAGES = ("Na fila", "Transcrevendo 3 de 9", "?", "Separando os falantes", "Finalizando agora")
+query("stage_steps", f"WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 END AS k FROM events) SELECT job_id, seq, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS step FROM e")(
+    lambda s, d: view.steps(adapters.table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.get(F.array(*[F.lit(x) for x in _STAGES]), (F.col("event_id") % 5).cast("int")).alias("stage"))).select("job_id", "seq", "step"))
+query("merge_polled", "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'concluido' ELSE 'na_fila' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END AS percent, CASE WHEN o_orderkey % 3 <> 0 THEN 'Na fila' END AS stage FROM orders WHERE o_orderstatus = 'P'")(
+    lambda s, d: view.merge_polled(*[adapters.table(s, d, "orders").filter(c).select(F.col("o_orderkey").alias("job_id"), F.lit(st).alias("status"), F.lit(pc).alias("percent"), F.lit(sg).cast("string").alias("stage")) for c, st, pc, sg in (("o_orderstatus = 'P'", "na_fila", 0, "Na fila"), ("o_orderkey % 3 = 0", "concluido", 100, None))]))
+query("raw_totals", _SEG + """ SELECT rec_id, count(*) FILTER (NOT g) AS segments, count(*) FILTER (g) AS discarded, coalesce(sum(end_ms - start_ms) FILTER (NOT g), 0) AS speech_ms,
+coalesce(round(avg(confidence) FILTER (NOT g AND confidence > 0), 3), 0) AS avg_confidence FROM (SELECT *, seg_id % 4 = 0 AS g FROM segments) GROUP BY rec_id""")(
+    lambda s, d: view.raw_totals(segs(s, d).withColumn("text", F.when(F.col("seg_id") % 4 == 0, "Obrigado por assistir!").otherwise(F.col("text"))).withColumn("no_speech_prob", F.lit(0.1)).withColumn("avg_logprob", F.lit(-0.2))))
+query("removed_jobs", "SELECT DISTINCT o_custkey AS job_id, 'Tarefa removida.' AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")(
+    lambda s, d: view.removed(adapters.table(s, d, "orders").select(F.col("o_custkey").alias("job_id")), adapters.table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("job_id"))))
+query("paced_ahead", """WITH e AS (SELECT user_id AS job_id, event_id AS seq, row_number() OVER w * 3.0::DOUBLE AS t, CASE WHEN event_id % 4 = 0 THEN value END AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT *, coalesce(max(p) OVER w, 0) AS done FROM e WINDOW w AS (PARTITION BY job_id ORDER BY seq)), v AS (SELECT *, coalesce(last_value(CASE WHEN p IS NOT NULL AND t > 5 AND done > 0 THEN done / t END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 1.0) AS x FROM c)
+SELECT job_id, seq, round(max(15 + least(79, greatest(done, least(1000.0, t * x, done + 240)) / 1000.0 * 80)) OVER (PARTITION BY job_id ORDER BY seq), 6) AS progress FROM v""")(
+    lambda s, d: live.paced_ahead(adapters.table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) * 3.0).alias("elapsed_s"), F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("position_s"), F.lit(1000.0).alias("total_s"))).select("job_id", "seq", F.round("progress", 6).alias("progress")))

@@ -63,6 +63,14 @@ def describe(probes: DataFrame, column: str = "probe") -> DataFrame:
     return out.withColumn("container", F.col("__p.format.format_name")).withColumn("titulo", F.try_element_at(tags, F.lit("title"))).drop("__p", "__a", "__v")
 
 
+def dotenv(text: str, env: dict[str, str]) -> dict[str, str]:
+    """``env`` over the KEY=value lines of a file's text: comments, lines without ``=`` and keys that env has do not count,
+    quotes around values go, of a key's lines the first holds."""
+    pairs = (line.strip().split("=", 1) for line in text.splitlines() if "=" in line and not line.strip().startswith("#"))
+    named = [(k.strip(), v.strip().strip('"').strip("'")) for k, v in pairs]
+    return {**{k: v for k, v in reversed(named) if k}, **env}
+
+
 def setting(name: str, default, env: dict[str, str] | None = None):
     """An environment setting in the default's type; a decimal comma and words for yes are understood."""
     raw = (env if env is not None else os.environ).get(name, "").strip()

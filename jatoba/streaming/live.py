@@ -66,6 +66,19 @@ def paced(events: DataFrame) -> DataFrame:
     return events.withColumn("progress", F.floor(F.max(point).over(w)).cast("bigint"))
 
 
+def paced_ahead(events: DataFrame, initial: float = 1.0, batch_s: float = 240.0) -> DataFrame:
+    """Progress between confirmations: events (job_id, seq, elapsed_s, position_s or null, total_s).  The position runs on at
+    the speed of the last confirmation (after 5 s; ``initial`` before that), at most ``batch_s`` beyond what is confirmed."""
+    w = W.partitionBy("job_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    total = F.greatest(F.lit(1.0), F.col("total_s"))
+    d = events.withColumn("__done", F.coalesce(F.max("position_s").over(w), F.lit(0.0)))
+    speed = F.when(F.col("position_s").isNotNull() & (F.col("elapsed_s") > 5) & (F.col("__done") > 0), F.col("__done") / F.col("elapsed_s"))
+    d = d.withColumn("__speed", F.coalesce(F.last(speed, ignorenulls=True).over(w), F.lit(float(initial))))
+    guess = F.least(total, F.col("elapsed_s") * F.col("__speed"), F.col("__done") + batch_s)
+    point = 15.0 + F.least(F.lit(79.0), F.greatest(F.col("__done"), guess) / total * 80.0)
+    return d.withColumn("progress", F.max(point).over(w)).drop("__done", "__speed")
+
+
 def eta(elapsed_s, percent):
     """Seconds left, once more than five per cent are done."""
     return F.when(percent > 5, elapsed_s * (100 - percent) / percent)

@@ -54,5 +54,10 @@ class Engine:
     def export(self, segs: DataFrame, only: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
         return export.export({"segments": segs, "cues": sequence.build_cues(segs), "dialogue": sequence.dialogue(segs)}, only)
 
+    def write_documents(self, segs: DataFrame, root: str, only: list[str] | None = None) -> tuple[list[str], dict[str, str]]:
+        """All documents of the segments' recordings, written by format; formats written and errors by format."""
+        relations = {"segments": segs, "cues": sequence.build_cues(segs), "dialogue": sequence.dialogue(segs), "recordings": self.recordings(), **analytics.analyze(segs)}
+        return export.write(relations, root, only)
+
     def summary(self) -> DataFrame:
         return analytics.history_summary(self.recordings())

@@ -150,3 +150,20 @@ def test_history_deletes(spark):
 def test_agglomerate_small(n):
     v = np.eye(3)[:n]
     assert speakers.agglomerate(v) == list(range(n))
+
+
+def test_a_format_that_fails_at_run_time_stops_no_other(spark, tmp_path):
+    segs = meeting(spark, ["Bom dia.", "Até logo."])
+    broken = segs.withColumn("text", F.when(F.col("seg_id") > 0, F.raise_error(F.lit("no text"))).otherwise(F.col("text")))
+    done, failed = export.write({"segments": segs, "dialogue": broken.select("rec_id", F.col("seg_id").alias("pos"), F.col("text").alias("texto"))}, str(tmp_path), ["txt", "tsv", "srt", "csv"])
+    assert sorted(done) == ["csv", "tsv"] and "no text" in failed["txt"] and "cues" in failed["srt"]
+    assert "Bom dia." in spark.read.parquet(str(tmp_path / "tsv")).first().content
+
+
+def test_written_documents_of_a_store(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    segs = meeting(spark, ["Bom dia a todos vocês.", "Vamos enviar o contrato até sexta."])
+    engine.save(segs.drop("words"), adapters.recordings(segs))
+    done, failed = engine.write_documents(segs, str(tmp_path / "docs"), ["resumo", "md"])
+    assert sorted(done) == ["md", "resumo"] and not failed
+    assert spark.read.parquet(str(tmp_path / "docs" / "resumo")).count() == 1

@@ -67,13 +67,13 @@ def model_flags(models: DataFrame, present: DataFrame, default: str) -> DataFram
 
 def raw_totals(raw: DataFrame) -> DataFrame:
     """Per recording over decoder output: segments kept and discarded by the hallucination filter, speech time and mean
-    positive confidence of those kept, in one aggregate."""
+    positive confidence of those kept (summed in decimals, so that the order of rows can't change it), in one aggregate."""
     gone = T.is_hallucination(F.col("text"), F.col("no_speech_prob"), F.col("avg_logprob"))
     kept = raw.withColumn("__gone", F.coalesce(gone, F.lit(False)))
     good = ~F.col("__gone")
     return kept.groupBy("rec_id").agg(
         F.count_if(good).alias("segments"), F.count_if(~good).alias("discarded"), F.coalesce(F.sum(F.when(good, F.col("end_ms") - F.col("start_ms"))), F.lit(0)).alias("speech_ms"),
-        F.coalesce(F.round(F.avg(F.when(good & (F.col("confidence") > 0), F.col("confidence"))), 3), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.round(F.avg(F.when(good & (F.col("confidence") > 0), F.col("confidence").cast("decimal(9,6)"))), 3).cast("double"), F.lit(0.0)).alias("avg_confidence"),
     )
 
 

@@ -326,7 +326,7 @@ query("stage_steps", f"WITH e AS (SELECT user_id AS job_id, event_id AS seq, CAS
 query("merge_polled", "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'concluido' ELSE 'na_fila' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END AS percent, CASE WHEN o_orderkey % 3 <> 0 THEN 'Na fila' END AS stage FROM orders WHERE o_orderstatus = 'P'")(
     lambda s, d: view.merge_polled(*[adapters.table(s, d, "orders").filter(c).select(F.col("o_orderkey").alias("job_id"), F.lit(st).alias("status"), F.lit(pc).alias("percent"), F.lit(sg).cast("string").alias("stage")) for c, st, pc, sg in (("o_orderstatus = 'P'", "na_fila", 0, "Na fila"), ("o_orderkey % 3 = 0", "concluido", 100, None))]))
 query("raw_totals", _SEG + """ SELECT rec_id, count(*) FILTER (NOT g) AS segments, count(*) FILTER (g) AS discarded, coalesce(sum(end_ms - start_ms) FILTER (NOT g), 0) AS speech_ms,
-coalesce(round(avg(confidence) FILTER (NOT g AND confidence > 0), 3), 0) AS avg_confidence FROM (SELECT *, seg_id % 4 = 0 AS g FROM segments) GROUP BY rec_id""")(
+coalesce(round(CAST(avg(confidence::DECIMAL(9,6)) FILTER (NOT g AND confidence > 0) AS DECIMAL(18,10)), 3)::DOUBLE, 0) AS avg_confidence FROM (SELECT *, seg_id % 4 = 0 AS g FROM segments) GROUP BY rec_id""")(
     lambda s, d: view.raw_totals(segs(s, d).withColumn("text", F.when(F.col("seg_id") % 4 == 0, "Obrigado por assistir!").otherwise(F.col("text"))).withColumn("no_speech_prob", F.lit(0.1)).withColumn("avg_logprob", F.lit(-0.2))))
 query("removed_jobs", "SELECT DISTINCT o_custkey AS job_id, 'Tarefa removida.' AS message FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")(
     lambda s, d: view.removed(adapters.table(s, d, "orders").select(F.col("o_custkey").alias("job_id")), adapters.table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("job_id"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embed, jaccard, packing, pii, quality, sharding, substring, toxicity, urlfilter
+from . import decontam, embed, jaccard, packing, pii, quality, resample, sharding, substring, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity_segments": toxicity.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_random_indexing_quality": quality.query,
     "op9_jaccard_metric_join": jaccard.query,
     "op10_p_stable_near_vectors": embed.query,
+    "op11_importance_resampling": resample.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_temporal_url_filter": urlfilter.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embed, jaccard, packing, pii, quality, resample, sharding, substring, toxicity, urlfilter
+from . import decontam, embed, jaccard, language, packing, pii, quality, resample, sharding, substring, toxicity, trie, urlfilter
 
 QUERIES = {
     "op1_toxicity_segments": toxicity.query,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_jaccard_metric_join": jaccard.query,
     "op10_p_stable_near_vectors": embed.query,
     "op11_importance_resampling": resample.query,
+    "op12_string_kernel_language": language.query,
+    "op13_preorder_trie": trie.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_temporal_url_filter": urlfilter.ORACLE,
     "op11_importance_resampling": resample.ORACLE,
+    "op13_preorder_trie": trie.ORACLE,
 }

@@ -32,7 +32,8 @@ from .common import documents, slices, table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("handle", "number", "secret")
 KINDS = (*BASE, *ADDED)
-MAX_TOKENS, WINDOW = 9, 48
+#: Tokens of an entity at most; candidates that begin in a window are scored at once; tokens before a span that features look at.
+MAX_TOKENS, WINDOW, CONTEXT = 9, 48, 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -100,9 +101,14 @@ _ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "br", "de
 _CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "card", "visa", "account", "iban", "ssn", "mail", "email", "contact", "key", "token", "secret", "password", "passwd", "pwd", "api", "number", "social", "whatsapp"))
 #: Where decoding may find something: digits, or a written-out dot.
 _ZONE = re.compile(r"[0-9]+")
+_GAP = re.compile(r"\s")
 _DOTTED = re.compile(r" (?:dot|Dot|punto|point|punkt)(?= )")
 _SECRETISH = re.compile(r"^[A-Za-z0-9_\-/+=.]+$")
 
+_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+_ISBN = re.compile(r"97[89][ -]?[0-9]{1,5}[ -]?[0-9]+[ -]?[0-9]+[ -]?[0-9]")
+_YEAR = re.compile(r"\((?:1[5-9]|20)[0-9]{2}$")
+
 _MARKS = frozenset(".-/()+ ")
 _HEX = frozenset("0123456789abcdefABCDEF")
 FEATURES = (
@@ -110,6 +116,7 @@ FEATURES = (
     "groups_even", "starts_plus_or_paren", "luhn", "at_word_inside", "dot_word_inside", "letters_and_digits", "long_run", "solid_changes",
     "edge_mark", "has_space_letters", "all_letters", "hex", "digits_follow", "mark_and_digits_follow", "glued_before", "glued_after",
     "groups_3_3_4", "groups_3_2_4", "groups_4_4_4_4", "four_groups_to_3", "digits_before", "capitals_and_digits", "joined_by_a_mark_before", "one_kind_of_gap", "case_changes", "at_word_second", "space_before_at_word", "known_ending",
+    "uuid", "in_link", "isbn", "ends_in_a_year_in_parentheses",
 )
 N_FEATURES = len(FEATURES)
 
@@ -118,7 +125,18 @@ def _digits_in(w: str) -> int:
     return 0 if w.isalpha() else len(w) if w.isdigit() else sum(map(str.isdigit, w))
 
 
-def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int, j: int) -> np.ndarray:
+def links(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
+    """For each token whether the run without spaces that it is in has begun as a link."""
+    out, on = [], False
+    for k, (s, e) in enumerate(tokens):
+        gap = text[tokens[k - 1][1] : s] if k else " "
+        on = on and not gap
+        out.append(on)
+        on = on or text[s:e] == "/" and text[s - 2 : s] == ":/" or e - s == 3 and text[s:e].lower() == "www"
+    return out
+
+
+def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int, j: int, linked: bool = False) -> np.ndarray:
     """Of the whole span of tokens i..j-1; ``words`` are the tokens in lower case."""
     span = text[tokens[i][0] : tokens[j - 1][1]]
     parts = words[i:j]
@@ -127,7 +145,7 @@ def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int,
     letters = sum(len(w) for w in parts if w[0].isalnum()) - digits
     n = j - i
     solid = sum(map(len, parts)) == len(span)
-    before = words[max(0, i - 4) : i]
+    before = words[max(0, i - CONTEXT) : i]
     sizes = tuple(map(len, groups))
     at = next((x for x, w in enumerate(parts) if w in _AT_WORDS), 0)
     gaps = {text[tokens[x - 1][1] - 1 : tokens[x][0]] if not parts[x - i - 1].isdigit() else text[tokens[x - 1][1] : tokens[x][0]] for x in range(i + 1, j)} if n > 1 else set()
@@ -159,15 +177,20 @@ def features(text: str, words: list[str], tokens: list[tuple[int, int]], i: int,
         n > 1 and parts[1] in _AT_WORDS,
         at > 1 and any(tokens[i + x][0] > tokens[i + x - 1][1] for x in range(1, at)),
         parts[-1] in _ENDINGS,
+        _UUID.fullmatch(span) is not None,
+        linked,
+        digits == 13 and not letters and _ISBN.fullmatch(span) is not None,
+        _YEAR.search(span) is not None,
     ), float)
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+def candidates(text: str, tokens: list[tuple[int, int]], linked: list[bool] | None = None) -> list[tuple[int, int, np.ndarray]]:
     """Segments that may be an entity: seven digits, or a written-out at and dot, or a long solid run.
     Gaps are single characters and no line end."""
     out = []
     words = [text[a:b].lower() for a, b in tokens]
     weights = list(map(_digits_in, words))
+    linked = links(text, tokens) if linked is None else linked
     for i, w in enumerate(words):
         if not (w[0].isalnum() or w in "+("):
             continue
@@ -180,7 +203,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
             last = words[j - 1]
             if digits >= 7 or handle and dot or tokens[j - 1][1] - tokens[i][0] >= 16 and digits:
                 if last[0].isalnum():
-                    out.append((i, j, features(text, words, tokens, i, j)))
+                    out.append((i, j, features(text, words, tokens, i, j, linked[i])))
             handle, dot = handle or j > i + 1 and last in _AT_WORDS, dot or handle and last in _DOT_WORDS
     return out
 
@@ -211,9 +234,10 @@ def lattice(n: int, cands: list[tuple[int, int, np.ndarray]], weights: np.ndarra
 def scored(text: str, tokens: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
     """(i, j, kind, score) of the candidates that are worth more than none.  Those that begin in one window are scored
     at once, amid the tokens that their features look at."""
+    linked = links(text, tokens)
     for at in range(0, len(tokens), WINDOW):
-        lo = max(0, at - 2)
-        cands = [c for c in candidates(text, tokens[lo : at + WINDOW + MAX_TOKENS + 1]) if at <= lo + c[0] < at + WINDOW]
+        lo, hi = max(0, at - CONTEXT), at + WINDOW + MAX_TOKENS + 1
+        cands = [c for c in candidates(text, tokens[lo:hi], linked[lo:hi]) if at <= lo + c[0] < at + WINDOW]
         if cands:
             scores = np.array([f for _, _, f in cands]) @ weights.T
             for (i, j, _), kind, score in zip(cands, scores.argmax(1).tolist(), scores.max(1).tolist(), strict=True):
@@ -280,7 +304,22 @@ def examples(n: int = 360, seed: int = 7) -> list[tuple[str, list[tuple[int, int
         return f"{any_of(lower, 2)}_{r.choice(['live', 'test', 'prod'])}_{any_of(upper + lower + '0123456789', r.randint(16, 30))}{digits(2)}", "secret"
 
     def harmless() -> str:
-        return r.choice([lambda: digits(r.randint(1, 4)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at the dot {word()}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{digits(2)}/{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{word()}{digits(2)}", lambda: digits(5), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(r.randint(7, 12)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(4)}"])()
+        return r.choice([lambda: digits(r.randint(1, 4)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at the dot {word()}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{digits(2)}/{digits(2)}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{word()}{digits(2)}", lambda: digits(5), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: digits(r.randint(7, 12)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(4)}-{digits(4)}", uuid, link, isbn, pages])()
+
+    def uuid() -> str:
+        return "-".join(any_of("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+
+    def link() -> str:
+        tail = r.choice([f"{digits(4)}/{digits(2)}/{word()}-{word()}-{digits(r.randint(5, 11))}", f"{word()}?{word()}={digits(10)}", any_of(upper + lower + "0123456789", r.randint(16, 30)), f"{word()}-{digits(3)}-{digits(3)}-{digits(4)}"])
+        return f"{r.choice(['https://', 'http://', 'www.'])}{word()}.{r.choice(sorted(_ENDINGS))}/{word()}/{tail}"
+
+    def isbn() -> str:
+        body = r.choice([("978", digits(1), digits(2), digits(6), digits(1)), ("978", digits(2), digits(5), digits(2), digits(1)), ("979", digits(2), digits(4), digits(3), digits(1))])
+        return r.choice(["ISBN ", "ISBN: ", ""]) + r.choice(["-", "-", " ", ""]).join(body)
+
+    def pages() -> str:
+        k = r.randint(2, 4)
+        return f"{r.choice(['pp. ', 'p. ', ''])}{digits(k)}{r.choice('-–')}{digits(k)} ({r.choice(['19', '20'])}{digits(2)})"
 
     def row() -> str:
         """Numbers side by side."""
@@ -340,15 +379,27 @@ def train(steps: int = 40, rate: float = 1.0, ridge: float = 1e-3) -> bytes:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Character ranges worth decoding, merged; each reaches some tokens to both sides."""
+    """Character ranges worth decoding, merged; each reaches some tokens to both sides, and then to white space, so that
+    none ends inside a run of letters, digits and marks."""
     found = [m.span() for m in _ZONE.finditer(text)]
     if any(w in text for w in (" dot ", " Dot ", " punto ", " point ", " punkt ")):
         found = sorted(found + [m.span() for m in _DOTTED.finditer(text)])
-    out: list[list[int]] = []
+    near: list[list[int]] = []
     for a, b in found:
         a, b = max(0, a - 40), min(len(text), b + 40)
+        if near and a <= near[-1][1]:
+            near[-1][1] = b
+        else:
+            near.append([a, b])
+    out: list[list[int]] = []
+    for a, b in near:
+        floor = out[-1][1] if out else 0
+        while a > floor and not text[a - 1].isspace():
+            a -= 1
+        end = _GAP.search(text, b) if b < len(text) and not text[b - 1].isspace() else None
+        b = end.start() if end else b if text[b - 1].isspace() else len(text)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -357,8 +408,6 @@ def zones(text: str) -> list[tuple[int, int]]:
 def added_spans(text: str, weights: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
     for a, b in zones(text):
-        while a > 0 and not text[a - 1].isspace() and a > b - 4000:
-            a -= 1
         part = text[a:b]
         tokens = [m.span() for m in _TOKEN.finditer(part)]
         # base spans are observed: their tokens part the zone and are never inside a candidate

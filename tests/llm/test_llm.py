@@ -301,6 +301,53 @@ CLEAN = (
     "we meet at the dot matrix printer", "",
 )
 
+#: Written after the features, and not looked at while they were made.
+UNSEEN_FOUND = {
+    "reach me on 020 555 0199 after lunch": None, "phone 212-555-0147 or write": "212-555-0147", "his social is 078-05-1120.": "078-05-1120", "my password is hunter2Zx91LmQpT0aB44": "hunter2Zx91LmQpT0aB44",
+    "api key pk_test_51HxyzABCdef789GHIjkl012": "pk_test_51HxyzABCdef789GHIjkl012", "contact joana at correio dot net today": "joana at correio dot net", "account 5500.0000.0000.0005 closed": "5500.0000.0000.0005",
+    "call (303) 555-0188 or (303) 555-0189": "(303) 555-0188", "secret: xK9mPq2LrT5vWz8YbN3cQ7": "xK9mPq2LrT5vWz8YbN3cQ7", "card 6011 0009 9013 9425 expired": "6011 0009 9013 9425",
+}
+UNSEEN_CLEAN = (
+    "ISBN 978-3-16-148410-0 is out of print", "see ISBN 978-0-306-40615-7 for more", "id 550e8400-e29b-41d4-a716-446655440000 was logged", "request f47ac10b-58cc-4372-a567-0e02b2c3d479 failed",
+    "cf. 200-210 (1999) and 31-45 (2003)", "J. Chem. 112, 1045-1067 (2011)", "https://example.com/articles/2023/12/some-title-1234567890", "at http://news.site.org/p/445-221-9087 today",
+    "www.shop.de/item/9f8e7d6c5b4a39281706?ref=1234567", "between 1914-1918 and 1939-1945 wars", "chapters 1-12, verses 3:16-21", "the score was 101-99 after 2 overtimes", "pi is 3.14159265358979", "room 12, floor 3, building 7",
+)
+
+
+def test_fields_on_unseen_sentences():
+    """The figures in the README."""
+    w = np.frombuffer(pii.train()).reshape(len(pii.ADDED), pii.N_FEATURES)
+    got = {t: [t[a:b] for _, a, b in pii.added_spans(t, w, pii.base_spans(t))] for t in (*UNSEEN_FOUND, *UNSEEN_CLEAN)}
+    wanted = {t: x for t, x in UNSEEN_FOUND.items() if x}
+    hits = sum(x in got[t] for t, x in wanted.items())
+    wrong = {t: x for t, x in got.items() if t in UNSEEN_CLEAN and x}
+    print(hits, len(wanted), wrong, {t: got[t] for t, x in wanted.items() if x not in got[t]})
+    assert hits >= 8 and len(wrong) <= 1
+
+
+def test_no_piece_of_a_key_stays():
+    """Zones end at white space, so keys of any length go whole."""
+    w = np.frombuffer(pii.train()).reshape(len(pii.ADDED), pii.N_FEATURES)
+    for k in range(0, 400, 7):
+        text = f"token sk_live_a1b2c3d4{'xY' * (k // 2)} end"
+        assert pii.mask(text, pii.added_spans(text, w, [])) == "token <secret> end", k
+        assert all(a == 0 or text[a - 1].isspace() for a, _ in pii.zones(text)) and all(b == len(text) or text[b].isspace() or text[b - 1].isspace() for _, b in pii.zones(text))
+
+
+def test_windows_change_no_feature():
+    """A candidate has the same features wherever the window begins: those over the whole zone."""
+    words = "card no is now 4929123412341234 and call me at 555 123 4567 , see http://a.b/c1234567890d now key x_y_abc123DEF456ghi7".split()
+    rows = np.random.default_rng(0).normal(size=(len(pii.ADDED), pii.N_FEATURES))
+    for n in range(30, 110):
+        text = " ".join(["w"] * n + words)
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        whole = {(i, j): (f @ rows.T).max() for i, j, f in pii.candidates(text, tokens)}
+        got = {(i, j): s for i, j, _, s in pii.scored(text, tokens, rows)}
+        assert got.keys() == {k for k, s in whole.items() if s > 0} and all(np.isclose(s, whole[k]) for k, s in got.items()), n
+    w = np.frombuffer(pii.train()).reshape(len(pii.ADDED), pii.N_FEATURES)
+    found = {tuple(text[a:b] for _, a, b in pii.added_spans(text, w, [])) for n in range(30, 110) for text in ["w " * n + "card no is now 4929123412341234 ok"]}
+    assert len(found) == 1
+
 
 def test_fields_on_sentences_written_by_hand():
     """Formats in the words of people, not of the generator; tables and dates are left alone."""

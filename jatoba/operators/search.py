@@ -1,4 +1,5 @@
-"""Full-text search over segments: postings, prefix terms, phrases, relevance.
+"""Full-text search over segments: postings, prefix terms, phrases, relevance; over rows as they are, or over a
+stored index that is replaced by recordings.
 
 Tokens are runs of letters and digits, folded.  By default each word of a query is a prefix and all must
 occur; a query in double quotes is an exact phrase.  A word with an inner hyphen or underscore is a
@@ -9,10 +10,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jatoba.functions import text as T
+from jatoba.operators.snapshot import Snapshots, between
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -58,6 +61,12 @@ def _matches(index: DataFrame, term: Term, number: int) -> DataFrame:
     return out.select("rec_id", "seg_id", "len", F.lit(number).alias("term"), "pos")
 
 
+def relevance(tf, df, length, n, mean):
+    """What one term adds to the score of a segment (BM25)."""
+    idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def search(segs: DataFrame, query: str, recordings: DataFrame | None = None, limit: int = 60, index: DataFrame | None = None) -> DataFrame:
     """(rec_id, seg_id, start_ms, falante, trecho, arquivo, created_at, score), best first.  The score is
     negative, the least is the best; equal scores go by start."""
@@ -76,8 +85,7 @@ def search(segs: DataFrame, query: str, recordings: DataFrame | None = None, lim
         sizes = said.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.regexp_extract_all(T.fold(F.col("text")), F.lit(TOKEN), F.lit(0)))).alias("avg"))
         # one row of totals and one per term: their size does not depend on the data
         w = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(sizes))
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        part = relevance(F.col("tf"), F.col("df"), F.col("len"), F.col("n"), F.col("avg"))
         hits = w.groupBy("rec_id", "seg_id").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(terms)).select("rec_id", "seg_id", (-F.round("s", 9)).alias("score"))
     out = hits.join(said.select("rec_id", "seg_id", "start_ms", "speaker", "text"), ["rec_id", "seg_id"])
     shown = snippet(F.col("text"), terms)
@@ -87,6 +95,117 @@ def search(segs: DataFrame, query: str, recordings: DataFrame | None = None, lim
     return out.orderBy("score", "start_ms", "rec_id", "seg_id").limit(limit)
 
 
+# ---- the stored index ------------------------------------------------------------------------------------
+
+#: How the relations of an index are laid out.  Postings of a token that very many segments have fill several files.
+ORDERS = {"segments": ("rec_id", "seg_id"), "postings": ("token", "rec_id", "seg_id"), "sizes": ("rec_id",)}
+#: The largest number of hits that a search returns; so many rows reach the driver.
+MOST = 200
+
+
+def posting_lists(segs: DataFrame) -> DataFrame:
+    """(token, rec_id, seg_id, start_ms, len, at array<int>): one row for each token of a segment."""
+    said = segs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+    found = F.regexp_extract_all(T.fold(F.col("text")), F.lit(TOKEN), F.lit(0))
+    words = said.select("rec_id", "seg_id", "start_ms", found.alias("t"))
+    each = words.select("rec_id", "seg_id", "start_ms", F.size("t").alias("len"), F.posexplode("t").alias("pos", "token"))
+    return each.groupBy("token", "rec_id", "seg_id", "start_ms", "len").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+
+
+def index_sizes(segs: DataFrame) -> DataFrame:
+    """(rec_id, n, len): segments and tokens of each recording."""
+    n = F.size(F.regexp_extract_all(T.fold(F.col("text")), F.lit(TOKEN), F.lit(0)))
+    return segs.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(n).cast("bigint").alias("len"))
+
+
+def index_store(spark: SparkSession, root: str, more: dict | None = None) -> Snapshots:
+    return Snapshots(spark, root, {**ORDERS, **(more or {})})
+
+
+def index_commit(store: Snapshots, segs: DataFrame | None, touched: DataFrame, more: dict | None = None) -> dict:
+    """Replace the touched recordings in an index by ``segs``, or delete them; ``more`` relations change with them.  The
+    version notes segments and tokens of the whole index, from what the touched recordings had and have."""
+
+    def total(rows: DataFrame) -> tuple[int, int]:
+        r = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        return int(r[0]), int(r[1])
+
+    def notes(old: dict, name: str) -> dict:
+        had = total(store.read("sizes", old).join(touched.select("rec_id").distinct(), "rec_id", "left_semi")) if old["parts"].get("sizes") else (0, 0)
+        have = total(store.written(name, "sizes")) if segs is not None else (0, 0)
+        before = old["notes"].get("index", (0, 0))
+        return {**old["notes"], "index": [b - h + n for b, h, n in zip(before, had, have, strict=True)]}
+
+    changes: dict = {}
+    if segs is not None:
+        changes["segments"] = segs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+        changes["postings"] = lambda made: posting_lists(made("segments"))
+        changes["sizes"] = lambda made: index_sizes(made("segments"))
+    changes |= more or {}
+    return store.commit(changes, touched, notes)
+
+
+def _ranges(terms: list[Term]) -> list[tuple[str, str]]:
+    """The tokens that may match, as ranges."""
+    return sorted({(t, t + "\U0010ffff" if k == len(term.tokens) - 1 and not term.exact else t) for term in terms for k, t in enumerate(term.tokens)})
+
+
+def _found(postings: DataFrame, term: Term, number: int) -> DataFrame:
+    """(rec_id, seg_id, start_ms, len, term, tf) of one term over posting lists."""
+    last = len(term.tokens) - 1
+    out = None
+    for k, token in enumerate(term.tokens):
+        prefix = k == last and not term.exact
+        rows = postings.filter(F.col("token").startswith(token) if prefix else F.col("token") == token)
+        at = F.transform("at", lambda x: x - k)  # noqa: B023  called at once
+        if out is None:
+            out = rows.select("rec_id", "seg_id", "start_ms", "len", at.alias("at"))
+        elif prefix:  # several tokens may begin so
+            out = out.join(rows.groupBy("rec_id", "seg_id").agg(F.flatten(F.collect_list(at)).alias("b")), ["rec_id", "seg_id"])
+        else:
+            out = out.join(rows.select("rec_id", "seg_id", at.alias("b")), ["rec_id", "seg_id"])
+        if k:
+            out = out.withColumn("at", F.array_intersect("at", "b")).drop("b").filter(F.size("at") > 0)
+    return out.groupBy("rec_id", "seg_id", "start_ms", "len").agg(F.sum(F.size("at")).alias("tf")).withColumn("term", F.lit(number))
+
+
+def pruned(store: Snapshots, terms: list[Term], version: dict | None = None) -> DataFrame:
+    """The postings that may matter: only files, and in them row groups, whose tokens reach into the terms' ranges."""
+    ranges = _ranges(terms)
+    return store.read("postings", version, ranges).filter(between(F.col("token"), ranges))
+
+
+def search_index(store: Snapshots, query: str, limit: int = 60, recordings: str | None = None) -> DataFrame:
+    """As ``search``, over a stored index: (rec_id, seg_id, start_ms, falante, trecho, [arquivo, created_at,] score).
+
+    Totals come with the version, document frequencies are counted first (one row a term); then at most ``limit`` ranked
+    hits reach the driver, and segments are read for those recordings only."""
+    spark, version, terms = store.spark, store.version(), parse(query)
+    limit = max(1, min(MOST, limit))
+    top = []
+    if terms and version["parts"].get("postings"):
+        postings = pruned(store, terms, version)
+        found = reduce(DataFrame.unionByName, [_found(postings, t, i) for i, t in enumerate(terms)])
+        df = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+        if len(df) == len(terms):
+            n, size = version["notes"]["index"]
+            counts = F.element_at(F.create_map(*[F.lit(x) for kv in df.items() for x in kv]), F.col("term"))
+            part = relevance(F.col("tf"), counts, F.col("len"), F.lit(n), F.lit(size / n))
+            scored = found.groupBy("rec_id", "seg_id", "start_ms").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(terms))
+            top = scored.select("rec_id", "seg_id", "start_ms", (-F.round("s", 9)).alias("score")).orderBy("score", "start_ms", "rec_id", "seg_id").limit(limit).collect()
+    hits = spark.createDataFrame(top, "rec_id bigint, seg_id bigint, start_ms bigint, score double")
+    recs = sorted({r["rec_id"] for r in top})
+    within = [(r, r) for r in recs]
+    said = store.read("segments", version, within).filter(F.col("rec_id").isin(recs)).select("rec_id", "seg_id", "speaker", "text")
+    out = said.join(F.broadcast(hits), ["rec_id", "seg_id"])
+    names = ["rec_id", "seg_id", "start_ms", F.when(F.col("speaker") != "", F.col("speaker")).alias("falante"), snippet(F.col("text"), terms).alias("trecho")]
+    if recordings is not None:
+        named = store.read(recordings, version, within).filter(F.col("rec_id").isin(recs)).select("rec_id", "filename", "created_at")
+        out = out.join(F.broadcast(named), "rec_id", "left")
+        names += [F.coalesce("filename", F.lit("(removido)")).alias("arquivo"), "created_at"]
+    return out.select(*names, "score").orderBy("score", "start_ms", "rec_id", "seg_id")
+
+
 def search_like(segs: DataFrame, query: str, limit: int = 60, recordings: DataFrame | None = None) -> DataFrame:
     """Plain substring search, case and accents aside; quotes are ordinary characters.  With recordings, hits carry
     filename and created_at, null for those that are gone, and the newest recordings come first."""

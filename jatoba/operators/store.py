@@ -1,4 +1,4 @@
-"""Persistent relations without a table format: latest rows of a log, idempotent reindexing, deletes, edits."""
+"""Persistent relations without a table format: latest rows of a log, deletes, edits."""
 
 from __future__ import annotations
 
@@ -21,10 +21,10 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "job_id") -> DataF
     return current.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def reindex(segs: DataFrame, path: str) -> None:
-    """Replace exactly the recordings of ``segs`` in the store at ``path``; doing it twice changes nothing."""
-    rows = segs.filter(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("seg_id", F.coalesce("seg_id", F.row_number().over(W.partitionBy("rec_id").orderBy("start_ms")).cast("bigint")))
-    rows.withColumn("folded", T.fold(F.col("text"))).repartition("rec_id").sortWithinPartitions("rec_id", "seg_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_id").parquet(path)
+def indexable(segs: DataFrame) -> DataFrame:
+    """Segments that say something; those without a number get their place by start."""
+    rows = segs.filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+    return rows.withColumn("seg_id", F.coalesce("seg_id", F.row_number().over(W.partitionBy("rec_id").orderBy("start_ms")).cast("bigint")))
 
 
 def delete(relations: dict[str, DataFrame], gone: DataFrame, key: str = "rec_id") -> dict[str, DataFrame]:
@@ -63,9 +63,9 @@ def apply_edits(segs: DataFrame, edits: DataFrame) -> DataFrame:
     last = edits.groupBy("rec_id", "seg_id").agg(F.max_by("text", "ordinal").alias("__t"))
     joined = segs.join(last, ["rec_id", "seg_id"], "left").withColumn("__t", T.clean_text(F.col("__t")))
     on = F.coalesce((F.col("__t") != "") & (F.col("__t") != F.col("text")), F.lit(False))
-    out = joined.withColumn("editado", on).withColumn("text", F.when(on, F.col("__t")).otherwise(F.col("text")))
+    out = joined.withColumn("editado", on).withColumn("text", F.when(F.col("editado"), F.col("__t")).otherwise(F.col("text")))
     if "words" in segs.columns:
-        out = out.withColumn("words", F.when(~on, F.col("words")))
+        out = out.withColumn("words", F.when(~F.col("editado"), F.col("words")))
     return out.drop("__t")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from jatoba.functions import labels as L, text as T
 from jatoba.operators import analytics as A, export as X, search as S, sequence as Q, speakers as V, store as R, view
+from jatoba.operators.snapshot import Snapshots, scratch
 from jatoba.sources import adapters, media
 from jatoba.streaming import live
 
@@ -222,8 +223,24 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("rec_id", "seg_id", "start_ms", F.round("score", 6).alias("score"))
 
 
-query("search_prefix", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post WHERE starts_with(token, 'contrat') UNION ALL SELECT *, 1 FROM post WHERE starts_with(token, 'envi')", k=2))(lambda s, d: _hits(S.search(segs(s, d), "contrat Envi")))
-query("search_phrase", _SEG + _POST + _BM.format(hit="SELECT a.*, 0 AS term FROM post a JOIN post b USING (rec_id, seg_id) WHERE a.token = 'ate' AND b.token = 'sexta' AND b.pos = a.pos + 1", k=1))(lambda s, d: _hits(S.search(segs(s, d), '"até sexta"')))
+_INDEXES: dict[tuple[str, str], Snapshots] = {}
+
+
+def _index(s, d) -> Snapshots:
+    """The stored index of a folder's transcripts: made once a session, then searched."""
+    key = s.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        store = S.index_store(s, scratch(s), {"recordings": ("rec_id",)})
+        rows = segs(s, d)
+        S.index_commit(store, rows, rows.select("rec_id"), {"recordings": lambda made: adapters.recordings(made("segments"))})
+        _INDEXES[key] = store
+    return _INDEXES[key]
+
+
+query("index_totals", _SEG + _POST + " SELECT (SELECT count(*) FROM tk) AS segments, (SELECT count(*) FROM post) AS tokens, (SELECT count(*) FROM (SELECT DISTINCT token, rec_id, seg_id FROM post)) AS postings")(
+    lambda s, d: _index(s, d).read("postings").agg(F.count(F.lit(1)).alias("postings")).select(F.lit(_index(s, d).version()["notes"]["index"][0]).cast("bigint").alias("segments"), F.lit(_index(s, d).version()["notes"]["index"][1]).cast("bigint").alias("tokens"), "postings"))
+query("search_prefix", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post WHERE starts_with(token, 'contrat') UNION ALL SELECT *, 1 FROM post WHERE starts_with(token, 'envi')", k=2))(lambda s, d: _hits(S.search_index(_index(s, d), "contrat Envi")))
+query("search_phrase", _SEG + _POST + _BM.format(hit="SELECT a.*, 0 AS term FROM post a JOIN post b USING (rec_id, seg_id) WHERE a.token = 'ate' AND b.token = 'sexta' AND b.pos = a.pos + 1", k=1))(lambda s, d: _hits(S.search_index(_index(s, d), '"até sexta"')))
 query("search_one", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post WHERE starts_with(token, 'the')", k=1))(lambda s, d: _hits(S.search(segs(s, d), "the")))
 query("search_like", _SEG + " SELECT rec_id, seg_id, start_ms, text FROM segments WHERE contains(strip_accents(lower(text)), 'ate sexta') ORDER BY start_ms, rec_id, seg_id LIMIT 60")(lambda s, d: S.search_like(segs(s, d), "Até sexta"))
 query("search_orphans", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post WHERE starts_with(token, 'relatorio')", k=1).replace(" SELECT rec_id, seg_id, start_ms, round(score, 6) AS score FROM", " SELECT rec_id, seg_id, CASE WHEN rec_id % 2 = 0 THEN 'gravacao_' || rec_id || '.wav' ELSE '(removido)' END AS arquivo FROM"))(

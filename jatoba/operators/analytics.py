@@ -31,47 +31,66 @@ def term_counts(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -
     return units.select(group, unit, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(group, unit, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
+def vectors(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> DataFrame:
+    """(group, unit, n, term, c, df, idf, weight): each term of each unit, and one row with a null term for a unit without any.
+    Counts of units and document frequencies are windows inside a group, so texts are read, cut and shuffled once."""
+    n = F.count(F.lit(1)).over(W.partitionBy(group))
+    each = units.select(group, unit, n.alias("n"), T.tokens(F.col("text")).alias("__t")).select(group, unit, "n", F.explode_outer("__t").alias("term"))
+    tf = each.groupBy(group, unit, "n", "term").agg(F.count(F.lit(1)).alias("c"))
+    df = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy(group, "term"))).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
+    w = df.withColumn("__w", F.when(F.col("term").isNotNull(), (1 + F.log("c")) * F.col("idf")))
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy(group, unit)))
+    return w.withColumn("weight", F.col("__w") / F.when(norm == 0, 1.0).otherwise(norm)).drop("__w")
+
+
 def document_frequency(units: DataFrame, group: str = "rec_id") -> DataFrame:
     """(group, term, df, n, idf)."""
-    df = units.select(group, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = units.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return df.join(n, group).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
+    n = F.count(F.lit(1)).over(W.partitionBy(group))
+    each = units.select(group, n.alias("n"), F.array_distinct(T.tokens(F.col("text"))).alias("__t")).select(group, "n", F.explode("__t").alias("term"))
+    return each.groupBy(group, "term", "n").agg(F.count(F.lit(1)).alias("df")).select(group, "term", "df", "n", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
 
 
 def tfidf(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> DataFrame:
     """(group, unit, term, weight), normalised."""
-    w = term_counts(units, group, unit).join(document_frequency(units, group), [group, "term"]).withColumn("w", (1 + F.log("c")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(group, unit)))
-    return w.select(group, unit, "term", (F.col("w") / F.when(norm == 0, 1.0).otherwise(norm)).alias("weight"))
+    return vectors(units, group, unit).filter("term is not null").select(group, unit, "term", "weight")
 
 
 def cosine_adjacent(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> DataFrame:
     """(group, unit, similarity) of each unit with the next one; units are numbered without gaps."""
-    v = tfidf(units, group, unit)
-    after = v.select(group, (F.col(unit) - 1).alias(unit), "term", F.col("weight").alias("w2"))
-    dots = v.join(after, [group, unit, "term"]).groupBy(group, unit).agg(F.sum(F.col("weight") * F.col("w2")).alias("s"))
-    pairs = units.select(group, unit).withColumn("__next", F.lead(unit).over(W.partitionBy(group).orderBy(unit))).filter("__next is not null").drop("__next")
-    return pairs.join(dots, [group, unit], "left").select(group, unit, F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    w = W.partitionBy(group, "term").orderBy(unit)
+    follows = F.lead(unit).over(w) == F.col(unit) + 1
+    v = vectors(units, group, unit).withColumn("__d", F.when(F.col("term").isNotNull() & follows, F.col("weight") * F.lead("weight").over(w)).otherwise(0.0))
+    dots = v.groupBy(group, unit).agg(F.sum("__d").alias("similarity"))
+    return dots.withColumn("__last", F.max(unit).over(W.partitionBy(group))).filter(F.col(unit) < F.col("__last")).select(group, unit, "similarity")
 
 
 def keywords(units: DataFrame, top: int = KEYWORDS, group: str = "rec_id", unit: str = "seg_id") -> DataFrame:
     """(group, pos, termo, ocorrencias, peso): terms by (1 + ln c) idf, and pairs that occur almost always
     together in place of their parts."""
-    said = units.select(group, unit, F.posexplode(T.content_pairs(F.col("text"))).alias("at", "p")).select(group, unit, "at", "p.term", "p.raw")
-    idf = document_frequency(units, group).select(group, "term", "idf")
-    ones = said.groupBy(group, "term").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(unit, "at", "raw")).alias("f"))
-    w = W.partitionBy(group, unit).orderBy("at")
-    twos = said.withColumn("right", F.lead("term").over(w)).withColumn("raw2", F.lead("raw").over(w)).filter("right is not null")
-    pairs = twos.groupBy(group, F.col("term").alias("left"), "right").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(unit, "at", F.concat("raw", F.lit(" "), "raw2").alias("raw"))).alias("f")).filter("c >= 3")
-    part = lambda side: ones.select(group, F.col("term").alias(side), F.col("c").alias(f"c_{side}")).join(idf.withColumnRenamed("term", side).withColumnRenamed("idf", f"i_{side}"), [group, side], "left")
-    kept = pairs.join(part("left"), [group, "left"]).join(part("right"), [group, "right"]).filter(F.col("c") >= 0.6 * F.least("c_left", "c_right"))
-    weight = lambda c, i: (1 + F.log(c)) * i
-    scored_pairs = kept.select(group, weight("c", F.coalesce("i_left", F.lit(0.5)) + F.coalesce("i_right", F.lit(0.5))).alias("w") * 0.75, "c", "f", T.title_case(F.col("f.raw")).alias("termo"), F.lit(1).alias("kind")).toDF(group, "w", "c", "f", "termo", "kind")
-    gone = kept.select(group, F.explode(F.array("left", "right")).alias("term")).distinct()
-    scored = ones.join(gone, [group, "term"], "left_anti").join(idf, [group, "term"], "left").select(group, weight("c", F.coalesce("idf", F.lit(0.5))).alias("w"), "c", "f", F.col("f.raw").alias("termo"), F.lit(0).alias("kind"))
+    n = F.count(F.lit(1)).over(W.partitionBy(group))
+    said = units.select(group, unit, n.alias("n"), T.content_pairs(F.col("text")).alias("__p"))
+    said = said.select(group, unit, "n", F.posexplode("__p").alias("at", "p"), F.col("__p"))
+    after = F.get("__p", F.col("at") + 1)
+    # a word stands for itself, and with the one after it for a pair
+    one = F.struct(F.col("p.term").alias("left"), F.lit("").alias("right"), F.col("p.raw").alias("raw"))
+    two = F.struct(F.col("p.term").alias("left"), after["term"].alias("right"), F.concat("p.raw", F.lit(" "), after["raw"]).alias("raw"))
+    each = said.select(group, unit, "n", "at", F.explode(F.when(after.isNotNull(), F.array(one, two)).otherwise(F.array(one))).alias("k"))
+    counts = each.groupBy(group, "n", F.col("k.left").alias("left"), F.col("k.right").alias("right")).agg(F.count(F.lit(1)).alias("c"), F.count_distinct(unit).alias("df"), F.min(F.struct(unit, "at", "k.raw")).alias("f"))
+    counts = counts.filter((F.col("right") == "") | (F.col("c") >= 3)).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
+    single = F.col("right") == ""
+    # pairs stand with their left word, then with their right one; all inside a group
+    by_left, by_right = W.partitionBy(group, "left"), W.partitionBy(group, F.when(single, F.col("left")).otherwise(F.col("right")))
+    for side, w in (("l", by_left), ("r", by_right)):
+        counts = counts.withColumn(f"__c{side}", F.max(F.when(single, F.col("c"))).over(w)).withColumn(f"__i{side}", F.max(F.when(single, F.col("idf"))).over(w))
+    kept = ~single & (F.col("c") >= 0.6 * F.least("__cl", "__cr"))
+    marked = counts.withColumn("__kept", kept)
+    gone = F.coalesce(F.max("__kept").over(by_left), F.lit(False)) | F.coalesce(F.max("__kept").over(by_right), F.lit(False))
+    scored = marked.withColumn("__gone", gone).filter(F.when(single, ~F.col("__gone")).otherwise(F.col("__kept")))
+    weight = lambda i: (1 + F.log("c")) * i
+    scored = scored.select(group, F.when(single, weight(F.col("idf"))).otherwise(weight(F.col("__il") + F.col("__ir")) * 0.75).alias("w"), "c", "f", F.when(single, F.col("f.raw")).otherwise(T.title_case(F.col("f.raw"))).alias("termo"), F.when(single, 0).otherwise(1).alias("kind"))
     # weights to ten places, so that equal ones are equal however they were summed
     order = W.partitionBy(group).orderBy(F.round("w", 10).desc(), "kind", f"f.{unit}", "f.at")
-    ranked = scored.unionByName(scored_pairs).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top)
+    ranked = scored.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top)
     peak = F.max("w").over(W.partitionBy(group))
     return ranked.select(group, "pos", "termo", F.col("c").alias("ocorrencias"), F.round(F.col("w") / peak, 3).alias("peso"))
 
@@ -148,60 +167,90 @@ def sentence_graph(units: DataFrame) -> DataFrame:
     return v.join(right, ["rec_id", "term"]).filter("seg_id < j").groupBy("rec_id", F.col("seg_id").alias("i"), "j").agg(F.sum(F.col("weight") * F.col("w2")).alias("w"))
 
 
-def _rank(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, damping: float = 0.85, rounds: int = 32) -> np.ndarray:
-    """Rows without weight pass nothing on, and what they hold is not dealt out again."""
-    if n <= 1:
-        return np.ones(n)
-    a = np.zeros((n, n))
-    a[i, j] = w
-    a[j, i] = w
-    total = a.sum(1)
-    flow = np.divide(a, total[:, None], out=np.zeros_like(a), where=total[:, None] > 0)
-    r = np.full(n, 1.0 / n)
-    for _ in range(rounds):
-        r = (1 - damping) / n + damping * (r @ flow)
-    return r
+class _Vectors:
+    """The vectors of one recording as numbers: per entry the unit, the term and the weight (20 bytes)."""
+
+    def __init__(self, unit: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int):
+        order = np.argsort(unit, kind="stable")
+        self.unit, self.weight, self.n = unit[order], weight[order], n
+        self.terms, self.term = np.unique(term[order], return_inverse=True)
+        self.starts = np.searchsorted(self.unit, np.arange(n + 1))
+
+    def ranks(self, damping: float = 0.85, rounds: int = 32) -> np.ndarray:
+        """Ranks in the graph of units that share terms which at most 35 % of all (two at least) have.  Its edges are never
+        made: a round sums what units hold by term and deals it out again, less what a unit would give itself.  Units
+        without a neighbour pass nothing on, and what they hold is not dealt out again."""
+        n = self.n
+        if n <= 1:
+            return np.ones(n)
+        df = np.bincount(self.term, minlength=len(self.terms))
+        on = ((df >= 2) & (df <= max(2, int(n * 0.35))))[self.term]  # a term of one unit is no edge
+        u, t, w = self.unit[on], self.term[on], self.weight[on]
+        own = np.bincount(u, w * w, n)
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            return np.bincount(u, w * np.bincount(t, w * x[u], len(self.terms))[t], n) - own * x
+
+        total = np.where(np.bincount(u, minlength=n) > 0, spread(np.ones(n)), 0.0)
+        share = np.divide(1.0, total, out=np.zeros(n), where=total > 0)
+        r = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            r = (1 - damping) / n + damping * spread(r * share)
+        return r
+
+    def choose(self, score: np.ndarray, most: int, alike: float = 0.55) -> list[int]:
+        """The best scored units, each unlike all chosen before it; at equal scores the later one.  Ends with the last chosen."""
+        chosen: list[int] = []
+        sums = np.zeros((most, len(self.terms)))
+        for k in np.lexsort((np.arange(self.n), score))[::-1]:
+            part = slice(self.starts[k], self.starts[k + 1])
+            t, w = self.term[part], self.weight[part]
+            if not chosen or (sums[: len(chosen), t] @ w).max(initial=0.0) <= alike:
+                sums[len(chosen), t] = w
+                chosen.append(int(k))
+                if len(chosen) == most:
+                    break
+        return sorted(chosen)
+
+
+def _entries(units: DataFrame) -> DataFrame:
+    """(rec_id, seg_id, term as a hash, weight); a unit without terms has one row, with nulls."""
+    return vectors(units).select("rec_id", "seg_id", F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("term"), "weight")
+
+
+def _read(pdf: pd.DataFrame) -> tuple[np.ndarray, _Vectors]:
+    ids, unit = np.unique(pdf["seg_id"].to_numpy(), return_inverse=True)
+    on = pdf["term"].notna().to_numpy()
+    return ids, _Vectors(unit[on], pdf["term"].to_numpy()[on].astype(np.int64), pdf["weight"].to_numpy()[on], len(ids))
 
 
 def textrank(units: DataFrame) -> DataFrame:
-    """(rec_id, seg_id, rank): edges come from the relational join; only the rounds run per recording."""
-    nodes = units.groupBy("rec_id").agg(F.sort_array(F.collect_list("seg_id")).alias("ids"))
-    edges = sentence_graph(units).groupBy("rec_id").agg(F.collect_list(F.struct("i", "j", "w")).alias("e"))
+    """(rec_id, seg_id, rank): a recording's vectors are one group of numbers, a few megabytes for an hour of talk."""
 
-    def run(frames):
-        for pdf in frames:
-            for rec, ids, e in zip(pdf["rec_id"], pdf["ids"], pdf["e"], strict=True):
-                at = {int(s): k for k, s in enumerate(ids)}
-                e = list(e) if e is not None else []
-                r = _rank(len(at), np.array([at[x["i"]] for x in e], int), np.array([at[x["j"]] for x in e], int), np.array([x["w"] for x in e]))
-                yield pd.DataFrame({"rec_id": rec, "seg_id": list(at), "rank": r})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, v = _read(pdf)
+        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "seg_id": ids, "rank": v.ranks()})
 
-    return nodes.join(edges, "rec_id", "left").mapInPandas(run, "rec_id bigint, seg_id bigint, rank double")
+    return _entries(units).groupBy("rec_id").applyInPandas(run, "rec_id bigint, seg_id bigint, rank double")
 
 
 def summarize(units: DataFrame, most: int = SUMMARY) -> DataFrame:
-    """(rec_id, seg_id, text): the best ranked sentences that differ from one another, in order."""
-    usable = units.filter(T.word_count(F.col("text")) >= 5)
-    n = T.word_count(F.col("text"))
-    ranked = textrank(usable).join(usable.select("rec_id", "seg_id", "text", n.alias("n")), ["rec_id", "seg_id"])
-    scored = ranked.withColumn("score", F.round(F.col("rank") * F.least(F.lit(1.0), F.col("n") / 14.0) * F.when(F.col("n") > 45, 0.7).otherwise(1.0), 12))
-    vectors = tfidf(usable).groupBy("rec_id", "seg_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    rows = scored.join(vectors, ["rec_id", "seg_id"], "left").select("rec_id", "seg_id", "text", "score", "v")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            pdf = pdf.sort_values(["score", "seg_id"], ascending=False)
-            chosen: list[int] = []
-            maps = [dict(v) if v is not None else {} for v in pdf["v"]]
-            for k, v in enumerate(maps):
-                if len(chosen) == most:
-                    break
-                if all(sum(x * maps[c].get(t, 0.0) for t, x in v.items()) <= 0.55 for c in chosen):
-                    chosen.append(k)
-            pdf = pdf.iloc[chosen]
-        return pdf.sort_values("seg_id")[["rec_id", "seg_id", "text"]]
-
-    return rows.groupBy("rec_id").applyInPandas(choose, "rec_id bigint, seg_id bigint, text string")
+    """(rec_id, seg_id, text): the best ranked sentences that differ from one another, in order.  Only numbers go to the
+    choice; the texts of those chosen are joined to it."""
+    usable = units.filter(T.word_count(F.col("text")) >= 5).select("rec_id", "seg_id", "text")
+    entries = _entries(usable)
+    lengths = usable.select("rec_id", "seg_id", T.word_count(F.col("text")).alias("words"))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, v = _read(left)
+        if len(ids) > most:
+            words = right.sort_values("seg_id")["words"].to_numpy()
+            score = np.round(v.ranks() * np.minimum(1.0, words / 14.0) * np.where(words > 45, 0.7, 1.0), 12)
+            ids = ids[v.choose(score, most)]
+        return pd.DataFrame({"rec_id": key[0], "seg_id": ids})
+
+    chosen = entries.groupBy("rec_id").cogroup(lengths.groupBy("rec_id")).applyInPandas(run, "rec_id bigint, seg_id bigint")
+    return usable.join(chosen, ["rec_id", "seg_id"])
 
 
 def topic_blocks(units: DataFrame) -> DataFrame:

@@ -101,6 +101,8 @@ def search(segs: DataFrame, query: str, recordings: DataFrame | None = None, lim
 ORDERS = {"segments": ("rec_id", "seg_id"), "postings": ("token", "rec_id", "seg_id"), "sizes": ("rec_id",)}
 #: The largest number of hits that a search returns; so many rows reach the driver.
 MOST = 200
+#: Postings in the files of a search up to which one task ranks them, without a shuffle.
+ONE_TASK = 4_000_000
 
 
 def posting_lists(segs: DataFrame) -> DataFrame:
@@ -185,14 +187,21 @@ def search_index(store: Snapshots, query: str, limit: int = 60, recordings: str
     top = []
     if terms and version["parts"].get("postings"):
         postings = pruned(store, terms, version)
+        few = store.rows_within("postings", version, _ranges(terms)) <= ONE_TASK
+        if few:
+            postings = postings.coalesce(1)
         found = reduce(DataFrame.unionByName, [_found(postings, t, i) for i, t in enumerate(terms)])
-        df = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
-        if len(df) == len(terms):
-            n, size = version["notes"]["index"]
-            counts = F.element_at(F.create_map(*[F.lit(x) for kv in df.items() for x in kv]), F.col("term"))
-            part = relevance(F.col("tf"), counts, F.col("len"), F.lit(n), F.lit(size / n))
-            scored = found.groupBy("rec_id", "seg_id", "start_ms").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(terms))
-            top = scored.select("rec_id", "seg_id", "start_ms", (-F.round("s", 9)).alias("score")).orderBy("score", "start_ms", "rec_id", "seg_id").limit(limit).collect()
+        found = (found.coalesce(1) if few else found).persist()
+        try:
+            df = {r["term"]: r["count"] for r in found.groupBy("term").count().collect()}
+            if len(df) == len(terms):
+                n, size = version["notes"]["index"]
+                counts = F.element_at(F.create_map(*[F.lit(x) for kv in df.items() for x in kv]), F.col("term"))
+                part = relevance(F.col("tf"), counts, F.col("len"), F.lit(n), F.lit(size / n))
+                scored = found.groupBy("rec_id", "seg_id", "start_ms").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(terms))
+                top = scored.select("rec_id", "seg_id", "start_ms", (-F.round("s", 9)).alias("score")).orderBy("score", "start_ms", "rec_id", "seg_id").limit(limit).collect()
+        finally:
+            found.unpersist()
     hits = spark.createDataFrame(top, "rec_id bigint, seg_id bigint, start_ms bigint, score double")
     recs = sorted({r["rec_id"] for r in top})
     within = [(r, r) for r in recs]

@@ -75,9 +75,31 @@ def inherit_label(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.withColumn(label, F.coalesce(F.last(label, ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
 
 
+def positions(rows: DataFrame, first: str, then: str, ranges: int = 64, into: str = "position") -> DataFrame:
+    """Places from 1 in the order (first, then) over all rows, without gathering them: bounds from quantile sketches cut the
+    rows into ranges, counts by range (a few thousand at most, to the driver) say where each range begins, and each numbers its
+    own rows.  A value of ``first`` that fills whole ranges has ranges of its own, cut by ``then``.  Nulls come first."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx(first, cuts, 100 * ranges).alias("a"), F.percentile_approx(then, cuts, 100 * ranges).alias("b")).first()
+    low, tie = bounds["a"] or [], bounds["b"] or []
+    heavy = sorted({x for x in low if low.count(x) > 1})
+    at_least = lambda col, values: sum((F.coalesce((F.col(col) >= F.lit(v)).cast("int"), F.lit(0)) for v in values), F.lit(0))
+    own = F.coalesce(F.col(first).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    # a heavy value is a bound, so in its range it comes before all others
+    cut = rows.withColumn("__r", F.struct(at_least(first, sorted(set(low))).alias("a"), F.when(own, 0).otherwise(1).alias("o"), F.when(own, at_least(then, sorted(set(tie)))).otherwise(0).alias("b")))
+    counts = sorted((tuple(r["__r"]), r["count"]) for r in cut.groupBy("__r").count().collect())
+    starts, before = [], 0
+    for key, n in counts:
+        starts.append((key, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "__r struct<a:int,o:int,b:int>, __before bigint")
+    within = F.row_number().over(W.partitionBy("__r").orderBy(first, then))
+    return cut.withColumn("__i", within).join(F.broadcast(offsets), "__r").withColumn(into, F.col("__before") + F.col("__i")).drop("__r", "__i", "__before")
+
+
 def queue_position(jobs: DataFrame) -> DataFrame:
-    """Places of waiting jobs, first come first served.  A status prunes first, so the window holds the queue only."""
-    return jobs.filter("status = 'na_fila'").withColumn("position", F.row_number().over(W.orderBy("created_at", "job_id")))
+    """Places of waiting jobs, first come first served."""
+    return positions(jobs.filter("status = 'na_fila'"), "created_at", "job_id")
 
 
 def speaker_rank(segs: DataFrame, label: str = "speaker") -> DataFrame:

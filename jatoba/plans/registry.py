@@ -87,8 +87,10 @@ query("safe_name", r"""SELECT p_partkey, left(regexp_replace(regexp_replace(trim
     lambda s, d: adapters.table(s, d, "part").select("p_partkey", T.safe_name(F.concat("p_name", F.lit(" (é) #"), "p_type")).alias("name")))
 _HURT = "replace(replace(replace(text, ', ', ' ,'), '. ', '.'), ' the ', '  the  ')"
 query("clean_text")(lambda s, d: adapters.table(s, d, "documents").select("doc_id", T.clean_text(F.expr(_HURT)).alias("cleaned")))
-query("clean_spacing", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s+([,.;:!?])', '\1', 'g'), '[ \t]{2,}', ' ', 'g')) AS cleaned FROM documents WHERE NOT contains(text, chr(160))""")(
-    lambda s, d: adapters.table(s, d, "documents").filter(~F.col("text").contains(" ")).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", r"\s+([,.;:!?])", "$1"), r"[ \t]{2,}", " ")).alias("cleaned")))
+#: Words of the whole texts, with a semicolon amid blanks after each: of the cleaning rules, those of spacing apply.
+_SPACED = r"regexp_replace(regexp_replace(lower(text), '[^a-z \n]', '', 'g'), '[ \n]+', '  ;  ', 'g')"
+query("clean_spacing", rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(trim(t), '\s+;', ';', 'g'), '[ \t]{{2,}}', ' ', 'g')) AS cleaned FROM (SELECT doc_id, {_SPACED} AS t FROM documents)""")(
+    lambda s, d: adapters.table(s, d, "documents").select("doc_id", T.clean_text(F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z \n]", ""), "[ \n]+", "  ;  ")).alias("cleaned")))
 query("sentence_ends", _SEG + r""", k AS (SELECT rec_id, seg_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM segments) SELECT w, count(*) AS n FROM k
 WHERE CASE WHEN ends_with(w, '.') THEN NOT regexp_full_match(w, '\d+\.') AND NOT coalesce(strip_accents(lower(nullif(regexp_extract(w, '(?:^|[\s(\["''])([\p{L}\p{N}_]{1,5})\.$', 1), ''))) IN (""" + ",".join(f"'{a}'" for a in T.ABBREVIATIONS) + r""") OR length(nullif(regexp_extract(w, '(?:^|[\s(\["''])([\p{L}\p{N}_]{1,5})\.$', 1), '')) = 1, false) ELSE regexp_matches(w, '[!?…]$') END GROUP BY w""")(
     lambda s, d: segs(s, d).select(F.explode(T.ws_words(F.col("text"))).alias("w")).filter(T.ends_sentence(F.col("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
@@ -98,9 +100,7 @@ query("vocabulary_applied")(lambda s, d: segs(s, d).select("rec_id", "seg_id", T
 query("filler_counts", _SEG + f" SELECT rec_id, seg_id, {_MARKS} AS n FROM (SELECT *, {_FOLD.format('text')} AS t FROM segments)")(lambda s, d: segs(s, d).select("rec_id", "seg_id", T.filler_count(F.col("text")).alias("n")))
 query("hallucination_filter", _SEG + r""" SELECT rec_id, seg_id FROM (SELECT *, CASE WHEN seg_id % 4 = 0 THEN 'Obrigado por assistir!' WHEN seg_id % 4 = 1 THEN 'sim sim sim sim sim, não' ELSE text END AS t FROM segments) WHERE seg_id % 4 NOT IN (0, 1)""")(
     lambda s, d: Q.drop_hallucinations(segs(s, d).withColumn("text", F.when(F.col("seg_id") % 4 == 0, "Obrigado por assistir!").when(F.col("seg_id") % 4 == 1, "sim sim sim sim sim, não").otherwise(F.col("text"))).withColumn("no_speech_prob", F.lit(0.1)).withColumn("avg_logprob", F.lit(-0.2))).select("rec_id", "seg_id"))
-query("raw_confidence", "SELECT l_orderkey, l_linenumber, round(least(1.0, exp(-l_discount * 10)), 3) AS confidence FROM lineitem WHERE l_orderkey < 5000")(
-    lambda s, d: adapters.table(s, d, "lineitem").filter("l_orderkey < 5000").select("l_orderkey", "l_linenumber", T.confidence(-F.col("l_discount") * 10).alias("confidence")))
-query("raw_confidence_all", "SELECT l_orderkey, l_linenumber, round(least(1.0, exp(-l_discount * 10)), 3) AS confidence FROM lineitem")(
+query("raw_confidence", "SELECT l_orderkey, l_linenumber, round(least(1.0, exp(-l_discount * 10)), 3) AS confidence FROM lineitem")(
     lambda s, d: adapters.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.confidence(-F.col("l_discount") * 10).alias("confidence")))
 query("escaped_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")(lambda s, d: adapters.table(s, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped")))
 
@@ -149,12 +149,11 @@ query("cues")(lambda s, d: Q.build_cues(segs(s, d, True)))
 query("subtitle_report")(lambda s, d: Q.subtitle_report(Q.build_cues(segs(s, d, True))))
 query("paragraphs")(lambda s, d: Q.paragraphs(segs(s, d)))
 query("dialogue")(lambda s, d: Q.dialogue(segs(s, d)))
-query("wrap_balanced", _SEG + r""", c AS (SELECT rec_id, seg_id, left(text, 70) AS raw FROM segments), t AS (SELECT rec_id, seg_id, trim(raw) AS t, list_filter(string_split_regex(trim(raw), '\s+'), lambda x: x <> '') AS w FROM c),
+query("wrap_balanced", _SEG + r""", c AS (SELECT rec_id, seg_id, text AS raw FROM segments), t AS (SELECT rec_id, seg_id, trim(raw) AS t, list_filter(string_split_regex(trim(raw), '\s+'), lambda x: x <> '') AS w FROM c),
 k AS (SELECT *, unnest(range(1, greatest(2, len(w)))) AS i FROM t WHERE length(t) > 42 AND len(w) >= 2), h AS (SELECT *, length(array_to_string(w[1:i], ' ')) AS head FROM k),
 b AS (SELECT rec_id, seg_id, arg_min(i, (abs(head - length(t) / 2) + CASE WHEN head > 42 OR length(t) - head - 1 > 42 THEN 168.0 WHEN regexp_matches(w[i], '[,;:—–.!?…]$') THEN -10.5 ELSE 0 END, i)) AS i FROM h GROUP BY ALL)
 SELECT rec_id, seg_id, CASE WHEN i IS NULL THEN t ELSE array_to_string(w[1:i], ' ') || chr(10) || array_to_string(w[i + 1:], ' ') END AS lines FROM t LEFT JOIN b USING (rec_id, seg_id)""")(
-    lambda s, d: segs(s, d).select("rec_id", "seg_id", F.array_join(T.wrap_two(F.substring("text", 1, 70), 42), "\n").alias("lines")))
-query("wrap_balanced_all", ORACLES["wrap_balanced"].replace("left(text, 70) AS raw", "text AS raw"))(lambda s, d: segs(s, d).select("rec_id", "seg_id", F.array_join(T.wrap_two(F.col("text"), 42), "\n").alias("lines")))
+    lambda s, d: segs(s, d).select("rec_id", "seg_id", F.array_join(T.wrap_two(F.col("text"), 42), "\n").alias("lines")))
 
 # ---- text mining ----------------------------------------------------------------------------------------
 
@@ -245,7 +244,7 @@ query("search_one", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post
 query("search_like", _SEG + " SELECT rec_id, seg_id, start_ms, text FROM segments WHERE contains(strip_accents(lower(text)), 'ate sexta') ORDER BY start_ms, rec_id, seg_id LIMIT 60")(lambda s, d: S.search_like(segs(s, d), "Até sexta"))
 query("search_orphans", _SEG + _POST + _BM.format(hit="SELECT *, 0 AS term FROM post WHERE starts_with(token, 'relatorio')", k=1).replace(" SELECT rec_id, seg_id, start_ms, round(score, 6) AS score FROM", " SELECT rec_id, seg_id, CASE WHEN rec_id % 2 = 0 THEN 'gravacao_' || rec_id || '.wav' ELSE '(removido)' END AS arquivo FROM"))(
     lambda s, d: S.search(segs(s, d), "relatorio", adapters.recordings(segs(s, d)).filter("rec_id % 2 = 0")).select("rec_id", "seg_id", "arquivo"))
-query("search_snippets")(lambda s, d: S.search(segs(s, d), "relatorio prazo".split()[0]).select("rec_id", "seg_id", "trecho"))
+query("search_snippets")(lambda s, d: S.search(segs(s, d), "relatorio pendente").select("rec_id", "seg_id", "trecho"))
 
 # ---- store -------------------------------------------------------------------------------------------------
 
@@ -256,7 +255,9 @@ def _edits(s, d):
 
 
 query("edits_merge")(lambda s, d: R.apply_edits(segs(s, d), _edits(s, d)).select("rec_id", "seg_id", "text", "editado"))
-query("edits_marked", _SEG + " SELECT rec_id, seg_id, (seg_id % 5 = 0 AND rec_id % 3 = 2) AS editado FROM segments WHERE rec_id % 3 <> 1")(lambda s, d: R.apply_edits(segs(s, d), _edits(s, d)).filter("rec_id % 3 <> 1").select("rec_id", "seg_id", "editado"))
+# texts and edits are cleaned first, so an edit that says the same again is the same text in all recordings
+query("edits_marked", _SEG + r""" SELECT rec_id, seg_id, (seg_id % 5 = 0 AND rec_id % 3 = 2) AS editado FROM segments""")(
+    lambda s, d: R.apply_edits(segs(s, d).withColumn("text", T.clean_text(F.col("text"))), _edits(s, d).withColumn("text", T.clean_text(F.col("text")))).select("rec_id", "seg_id", "editado"))
 query("upsert_latest", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")(
     lambda s, d: R.latest(adapters.table(s, d, "events"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type"))
 query("restore_antijoin", "SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus IN ('P', 'O') THEN 'erro' ELSE 'concluido' END AS status FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")(

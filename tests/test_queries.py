@@ -34,11 +34,11 @@ def same_as_sql(spark, sf_dir, name, *tables):
 
 
 def test_confidence_of_all_rows(spark):
-    con, got = same_as_sql(spark, "/root/testdata/sf0.01", "raw_confidence_all", "lineitem")
+    con, got = same_as_sql(spark, "/root/testdata/sf0.01", "raw_confidence", "lineitem")
     assert len(got) == con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     assert max(r[0] for r in got) > 5000
 
 
 def test_whole_texts_are_wrapped(spark):
-    _, got = same_as_sql(spark, "/root/testdata/sf0.01", "wrap_balanced_all", "conversations")
+    _, got = same_as_sql(spark, "/root/testdata/sf0.01", "wrap_balanced", "conversations")
     assert max(len(r[2]) for r in got) > 71

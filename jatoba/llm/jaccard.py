@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import hashing
 from .common import discard, documents, slices, small, stash, table
 from .components import components
+from .scan import folded
 
 SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
 #: Sets that one task joins at once, and their shingles; the most bits of the filter of clustered sets.
@@ -370,15 +371,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
                 bitmap[_slot(batch.column("id").to_numpy(), bits)] = True
         packed = np.packbits(bitmap).reshape(pages, size)
         hit = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([packed[p].tobytes() for p in hit], pa.binary())], ["page", "v"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["v"]]))
-        return pd.DataFrame({"page": pdf["page"][:1], "v": [v.tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([packed[p].tobytes() for p in hit], pa.binary())], ["part", "v"])
 
     out = np.zeros((pages, size), np.uint8)
-    for r in ids.select("id").mapInArrow(run, "page int, v binary").groupBy("page").applyInPandas(merge, "page int, v binary").collect():
-        out[r["page"]] = np.frombuffer(r["v"], np.uint8)
+    for r in folded(ids.select("id").mapInArrow(run, "part int, v binary"), np.bitwise_or, "u1").collect():
+        out[r["part"]] = np.frombuffer(r["v"], np.uint8)
     return out.ravel()
 
 

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cache, claim, documents, table
+from .scan import folded
 from .toxicity import held_out, labelled
 
 BUCKETS, WIDTH, NONZERO = 4096, 32, 4
@@ -96,12 +97,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     for x, y in ((a, b), (b, a)):
                         for k in range(NONZERO):
                             total += np.bincount(x * WIDTH + positions[y, k], signs[y, k], BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
-        yield pd.DataFrame({"part": range(64), "v": [total[i * chunk : (i + 1) * chunk].ravel() for i in range(64)]})
+        yield pd.DataFrame({"part": range(64), "v": [total[i * chunk : (i + 1) * chunk].tobytes() for i in range(64)]})
 
-    sums = docs.select("text").mapInPandas(run, "part int, v array<double>").groupBy("part").applyInPandas(lambda pdf: pd.DataFrame({"part": pdf["part"][:1], "v": [np.sum(np.stack(pdf["v"]), axis=0)]}), "part int, v array<double>")
     out = np.zeros((BUCKETS, WIDTH))
-    for r in sums.collect():
-        out[r["part"] * chunk : (r["part"] + 1) * chunk] = np.array(r["v"]).reshape(chunk, WIDTH)
+    for r in folded(docs.select("text").mapInPandas(run, "part int, v binary"), np.add, "f8").collect():
+        out[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(r["v"]).reshape(chunk, WIDTH)
     out = np.sign(out) * np.log1p(np.abs(out))  # frequent neighbours count less than in proportion
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm == 0, 1, norm)).astype(np.float32)

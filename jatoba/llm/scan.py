@@ -57,3 +57,26 @@ def scan(df: DataFrame, order: Sequence[str | Column], sums: Sequence[str] = (),
     out = dealt.join(F.broadcast(ranges), "__range").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") + F.col("__n")).alias("position"), *upto)
     out._stash = dealt._stash
     return out
+
+
+def folded(rows: DataFrame, combine: np.ufunc, kind: str) -> DataFrame:
+    """(part int, v binary) with one row a part: arrays of ``kind`` of one length, put together by ``combine``.
+
+    Tasks send a row a part each, so these are put together in two steps, 64 groups a part first, and each step streams its rows
+    into one array a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), kind)
+                if part in held:
+                    combine(held[part], x, out=held[part])
+                else:
+                    held[part] = x.copy()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "v"])
+
+    schema = "part int, v binary"
+    first = rows.select("part", "v", (F.spark_partition_id() % 64).alias("slot")).repartition("part", "slot").select("part", "v").mapInArrow(run, schema)
+    return first.repartition("part").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pytest
 from test_llm import odd_docs
 
 from jatoba.llm import resample
-from jatoba.llm.scan import scan
+from jatoba.llm.scan import folded, scan
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -94,3 +94,14 @@ def test_scan_adds_up_in_order(spark):
     assert [r["v_upto"] for r in got] == np.cumsum([v for _, v in rows]).tolist()
     assert [r["i_upto"] for r in got] == np.bitwise_xor.accumulate(np.arange(500)).tolist()
     assert scan(df.limit(0), ["i"], sums=["v"]).count() == 0
+
+
+def test_arrays_of_tasks_are_folded(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(p), rng.integers(0, 255, 40).astype("u1").tobytes()) for p in rng.integers(0, 5, 300)]
+    df = spark.createDataFrame(rows, "part int, v binary").repartition(9)
+    for combine in (np.bitwise_or, np.add):
+        got = folded(df, combine, "u1").collect()
+        want = {p: combine.reduce([np.frombuffer(v, "u1") for q, v in rows if q == p], dtype="u1") for p in {p for p, _ in rows}}
+        assert {r["part"]: r["v"] for r in got} == {p: bytearray(v.tobytes()) for p, v in want.items()}
+    assert folded(df.limit(0), np.add, "u1").count() == 0

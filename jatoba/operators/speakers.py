@@ -44,7 +44,7 @@ class Cepstrum:
         x = np.asarray(samples, np.float32)
         if not len(x):
             return np.empty((0, N_COEF))
-        past = np.concatenate([[0.0 if self.before is None else self.before], x[:-1]])
+        past = np.concatenate([[0.0 if self.before is None else float(self.before)], x[:-1]])
         self.before, first = x[-1], self.before is None
         y = x - EMPHASIS * past
         if first:

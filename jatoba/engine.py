@@ -63,10 +63,14 @@ class Engine:
         made = {"segments": segs}
         if "cues" in needed:
             made["cues"] = sequence.build_cues(segs)
-        if "dialogue" in needed:
-            made["dialogue"] = sequence.dialogue(segs)
+        if "reading" in needed:
+            made["reading"] = sequence.reading(segs)
+        if formats is None or {"resumo", "md"} & set(formats):
+            made["recordings"] = recs
         if formats is None or "resumo" in formats:
-            made |= {"recordings": recs, **analytics.analyze(segs)}
+            made |= analytics.analyze(segs)
+        elif "md" in formats:
+            made |= {"capitulos": analytics.chapters(segs), "estatisticas": analytics.statistics(segs)}
         return made
 
     def _commit(self, segs: DataFrame, recs: DataFrame, formats: Sequence[str], now: float | None = None) -> None:

@@ -246,3 +246,11 @@ def dialogue(segs: DataFrame) -> DataFrame:
     block = cut.select("rec_id", F.posexplode(_pieces(F.col("rows"), F.col("starts"))).alias("pos", "p"))
     first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
     return block.select("rec_id", "pos", first["speaker"].alias("speaker"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), _readable(F.col("p")).alias("texto"))
+
+
+def reading(segs: DataFrame) -> DataFrame:
+    """(rec_id, pos, speaker, texto): the dialogue of recordings that have speakers, the paragraphs of the others."""
+    voices = F.max(F.coalesce(F.col("speaker") != "", F.lit(False))).over(W.partitionBy("rec_id"))
+    marked = segs.withColumn("__v", voices)
+    told = dialogue(marked.filter("__v").drop("__v")).select("rec_id", "pos", "speaker", "texto")
+    return told.unionByName(paragraphs(marked.filter("not __v").drop("__v")).select("rec_id", "pos", F.lit(None).cast("string").alias("speaker"), "texto"))

@@ -41,6 +41,22 @@ def history(recs: DataFrame, limit: int = 500) -> DataFrame:
     return recs.orderBy(F.desc("created_at"), "rec_id").limit(limit)
 
 
+def _parsed(jobs: DataFrame, column: str) -> DataFrame:
+    parsed = F.try_parse_json(column)
+    whole = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return jobs.withColumn("__p", whole)
+
+
+def payloads(jobs: DataFrame, column: str = "payload") -> DataFrame:
+    """Jobs with their saved state as a VARIANT; those whose text can't be read, or is no object, are left out."""
+    return _parsed(jobs, column).filter("__p is not null").drop(column).withColumnRenamed("__p", column)
+
+
+def payload_counts(jobs: DataFrame, column: str = "payload") -> DataFrame:
+    """(kept, dropped)."""
+    return _parsed(jobs, column).agg(F.count_if(F.col("__p").isNotNull()).alias("kept"), F.count_if(F.col("__p").isNull()).alias("dropped"))
+
+
 def rescue(found: DataFrame, known: DataFrame, key: str = "job_id") -> DataFrame:
     """Jobs on disk that the history lacks; what was under way is an error now."""
     repaired = F.when(F.col("status").isin("processando", "na_fila"), "erro").otherwise(F.col("status"))

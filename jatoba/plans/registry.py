@@ -69,6 +69,11 @@ query("history_summary", _SEG + _REC + " SELECT count(*) AS total, round(sum(dur
     lambda s, d: A.history_summary(adapters.recordings(segs(s, d))))
 query("orders_summary", "SELECT count(*) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, round(coalesce(avg(o_totalprice), 0), 4) AS mean FROM orders WHERE o_orderstatus = 'F'")(
     lambda s, d: adapters.table(s, d, "orders").filter("o_orderstatus = 'F'").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"), F.round(F.coalesce(F.avg("o_totalprice"), F.lit(0.0)), 4).alias("mean")))
+_PAYLOAD = "CASE WHEN rec_id % 5 = 2 THEN '{{\"status\": \"' || status || '\"' WHEN rec_id % 5 = 4 THEN '[]' ELSE '{{\"filename\": \"' || filename || '\", \"status\": \"' || status || '\", \"segments\": ' || segment_count || ', \"extra\": [1, 2]}}' END".replace("{{", "{").replace("}}", "}")
+query("history_payload", _SEG + _REC + f", p AS (SELECT rec_id, created_at, {_PAYLOAD} AS payload FROM recs), k AS (SELECT *, CASE WHEN NOT json_valid(payload) THEN NULL WHEN json_type(payload) = 'OBJECT' THEN payload END AS j FROM p) SELECT rec_id, created_at, j ->> '$.filename' AS filename, j ->> '$.status' AS status, CAST(j ->> '$.segments' AS BIGINT) AS segments FROM k WHERE j IS NOT NULL")(
+    lambda s, d: R.payloads(adapters.recordings(segs(s, d)).select("rec_id", "created_at", F.expr(_PAYLOAD).alias("payload"))).select("rec_id", "created_at", F.expr("try_variant_get(payload, '$.filename', 'string')").alias("filename"), F.expr("try_variant_get(payload, '$.status', 'string')").alias("status"), F.expr("try_variant_get(payload, '$.segments', 'bigint')").alias("segments")))
+query("history_unreadable", _SEG + _REC + f", p AS (SELECT {_PAYLOAD} AS payload FROM recs) SELECT count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS dropped FROM (SELECT CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS ok FROM p)")(
+    lambda s, d: R.payload_counts(adapters.recordings(segs(s, d)).select("rec_id", F.expr(_PAYLOAD).alias("payload"))))
 query("low_confidence", _SEG + " SELECT rec_id, seg_id, confidence FROM segments WHERE confidence < 0.55")(lambda s, d: segs(s, d).filter(F.col("confidence") < A.LOW_CONFIDENCE).select("rec_id", "seg_id", "confidence"))
 query("history_page", _SEG + _REC + " SELECT rec_id, filename, created_at FROM recs ORDER BY created_at DESC, rec_id LIMIT 50")(lambda s, d: R.history(adapters.recordings(segs(s, d)), 50).select("rec_id", "filename", "created_at"))
 
@@ -291,13 +296,16 @@ _LINE = "'[' || {ts} || ' - ' || {te} || '] ' || speaker || ': ' || text"
 _TE = _TS.replace("start_ms", "end_ms")
 query("export_txt_timestamps", _SEG + f" SELECT rec_id, string_agg({_LINE.format(ts=_TS, te=_TE)}, chr(10) ORDER BY seg_id) || chr(10) AS content FROM segments GROUP BY rec_id")(lambda s, d: X.txt_timestamps(segs(s, d)))
 query("export_tsv", _SEG + " SELECT rec_id, 'start' || chr(9) || 'end' || chr(9) || 'speaker' || chr(9) || 'confidence' || chr(9) || 'text' || chr(10) || string_agg(printf('%.3f', start_ms / 1000.0) || chr(9) || printf('%.3f', end_ms / 1000.0) || chr(9) || speaker || chr(9) || printf('%.3f', confidence) || chr(9) || translate(text, chr(9) || chr(10), '  '), chr(10) ORDER BY seg_id) || chr(10) AS content FROM segments GROUP BY rec_id")(lambda s, d: X.tsv(segs(s, d)))
-query("export_md", _SEG + f" SELECT rec_id, '## Transcrição' || chr(10) || chr(10) || string_agg('**`' || {_TS} || '`** **' || speaker || '** ' || text || chr(10), chr(10) ORDER BY seg_id) AS content FROM segments GROUP BY rec_id")(lambda s, d: X.md(segs(s, d)))
+_LONG = "CASE WHEN duration_ms // 3600000 > 0 THEN (duration_ms // 3600000) || 'h ' || lpad((duration_ms // 60000 % 60)::VARCHAR, 2, '0') || 'min' ELSE (duration_ms // 60000) || 'min ' || lpad((duration_ms // 1000 % 60)::VARCHAR, 2, '0') || 's' END"
+query("export_md", _SEG + _REC + f""", t AS (SELECT rec_id, '## Transcrição' || chr(10) || chr(10) || string_agg('**`' || {_TS} || '`** **' || speaker || '** ' || text || chr(10), chr(10) ORDER BY seg_id) AS body FROM segments GROUP BY rec_id)
+SELECT rec_id, '# ' || filename || chr(10) || chr(10) || '- **Duração:** ' || {_LONG} || chr(10) || '- **Palavras:** ' || word_count || chr(10) || '- **Confiança média:** ' || CAST(round_even(CAST(CAST(coalesce(avg_confidence, 0) AS DECIMAL(9,6)) * 100 AS DOUBLE), 0) AS INT) || '%' || chr(10) || '- **Falantes identificados:** ' || speakers || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body AS content FROM recs JOIN t USING (rec_id)""")(
+    lambda s, d: X.md(segs(s, d), adapters.recordings(segs(s, d))))
 _SEGCUES = "seg_id::VARCHAR || chr(10) || {ts} || ' --> ' || {te} || chr(10) || text || chr(10)"
 query("export_srt_segments", _SEG + " SELECT rec_id, string_agg(" + _SEGCUES.format(ts=_TS + " || ',' || lpad((start_ms % 1000)::VARCHAR, 3, '0')", te=_TE + " || ',' || lpad((end_ms % 1000)::VARCHAR, 3, '0')") + ", chr(10) ORDER BY seg_id) AS content FROM segments GROUP BY rec_id")(
     lambda s, d: X.srt(segs(s, d).select("rec_id", F.col("seg_id").alias("cue_id"), "start_ms", "end_ms", F.array("text").alias("lines"))))
 for _name, (_rel, _f) in X.BUILDERS.items():
     if _name not in ("txt_timestamps", "tsv", "md"):
-        query(f"export_{_name}")(lambda s, d, f=_f, rel=_rel: f({"dialogue": Q.dialogue, "segments": lambda x: x, "cues": Q.build_cues}[rel](segs(s, d, rel == "cues"))))
+        query(f"export_{_name}")(lambda s, d, f=_f, rel=_rel: f({"reading": Q.reading, "segments": lambda x: x, "cues": Q.build_cues}[rel](segs(s, d, rel == "cues"))))
 query("export_resumo")(lambda s, d: X.summary_md(adapters.recordings(segs(s, d)), A.analyze(segs(s, d))))
 query("formats")(lambda s, d: media.formats(s))
 

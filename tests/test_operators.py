@@ -110,7 +110,7 @@ def test_two_voices(spark):
 
 def test_documents_are_well_formed(spark):
     m = meeting(spark, ['Olá "mundo"; tudo?', "Sim <b>"], ["A", "B"])
-    made, failed = export.export({"segments": m, "cues": sequence.build_cues(m), "dialogue": sequence.dialogue(m)})
+    made, failed = export.export({"segments": m, "cues": sequence.build_cues(m), "reading": sequence.reading(m)})
     assert not failed and set(made) == set(export.BUILDERS)
     text = {k: v.first()["content"] for k, v in made.items()}
     assert text["csv"].startswith("﻿#;") and '"Olá ""mundo""; tudo?"' in text["csv"] and "\r\n" in text["csv"] and "91%" in text["csv"]
@@ -155,7 +155,7 @@ def test_agglomerate_small(n):
 def test_a_format_that_fails_at_run_time_stops_no_other(spark, tmp_path):
     segs = meeting(spark, ["Bom dia.", "Até logo."])
     broken = segs.withColumn("text", F.when(F.col("seg_id") > 0, F.raise_error(F.lit("no text"))).otherwise(F.col("text")))
-    done, failed = export.write({"segments": segs, "dialogue": broken.select("rec_id", F.col("seg_id").alias("pos"), F.col("text").alias("texto"))}, str(tmp_path), ["txt", "tsv", "srt", "csv"])
+    done, failed = export.write({"segments": segs, "reading": broken.select("rec_id", F.col("seg_id").alias("pos"), F.col("text").alias("texto"))}, str(tmp_path), ["txt", "tsv", "srt", "csv"])
     assert sorted(done) == ["csv", "tsv"] and "no text" in failed["txt"] and "cues" in failed["srt"]
     assert "Bom dia." in spark.read.parquet(str(tmp_path / "tsv")).first().content
 
@@ -167,3 +167,64 @@ def test_written_documents_of_a_store(spark, tmp_path):
     done, failed = engine.write_documents(segs, str(tmp_path / "docs"), ["resumo", "md"])
     assert sorted(done) == ["md", "resumo"] and not failed
     assert spark.read.parquet(str(tmp_path / "docs" / "resumo")).count() == 1
+
+
+def test_voices_have_styles_of_their_own(spark):
+    m = meeting(spark, ["Oi.", "Tudo {bem}?", "Sim."], ["Falante 1", "Falante 2", "Ana"])
+    text = export.ass(sequence.build_cues(m)).first()["content"]
+    assert [x.split(",")[0] for x in text.split("\n") if x.startswith("Style:")] == ["Style: Padrao", "Style: F1", "Style: F2"]
+    assert [x.split(",")[3] for x in text.split("\n") if x.startswith("Dialogue:")] == ["F1", "F2", "Padrao"]
+    assert export.ASS_COLOURS[0] in text and export.ASS_COLOURS[1] in text and "Tudo (bem)?" in text and text.index("[Events]") > text.index("Style: F2")
+    assert export.ass(sequence.build_cues(meeting(spark, ["Oi."]))).first()["content"].count("\nStyle:") == 1
+
+
+def test_recordings_without_speakers_are_read_in_paragraphs(spark):
+    m = meeting(spark, ["Frase curta."] * 12)
+    both = m.unionByName(meeting(spark, ["Oi.", "Olá."], ["A", "B"]).withColumn("rec_id", F.lit(2).cast("bigint")))
+    text = {r["rec_id"]: r["content"] for r in export.txt(sequence.reading(both)).collect()}
+    assert text[1].count("\n\n") == 2 and ":" not in text[1] and text[2] == "A: Oi.\n\nB: Olá.\n"
+
+
+def test_markdown_and_summary_pages(spark):
+    topics = ["contrato cláusula jurídico assinatura", "servidor banco dados latência", "campanha anúncio público marca"]
+    m = meeting(spark, [f"{t} deste bloco aqui" for t in topics for _ in range(10)] + ["Você ficou de enviar o contrato até sexta?"], ["A", "B"] * 15 + ["A"], gap=10_000)
+    recs = adapters.recordings(m).withColumn("model", F.lit("m")).withColumn("profile", F.lit("p")).withColumn("language", F.lit("pt"))
+    made, failed = export.export({"segments": m, "recordings": recs, **analytics.analyze(m)}, ["md", "resumo"])
+    assert not failed
+    md, page = (made[k].first()["content"] for k in ("md", "resumo"))
+    assert md.startswith("# gravacao_1.wav\n\n- **Duração:** ") and "- **Modelo:** m · perfil p\n- **Idioma:** pt\n- **Confiança média:** 91%\n- **Falantes identificados:** 2\n- **Ritmo:** " in md
+    assert md.index("---") < md.index("## Capítulos") < md.index("## Transcrição") and md.rstrip().endswith("Você ficou de enviar o contrato até sexta?")
+    heads = [x for x in page.split("\n") if x.startswith("#")]
+    assert heads[0] == "# gravacao_1.wav — resumo" and heads[1:3] == ["## Em poucas linhas", "## Temas dominantes"] and heads[-2:] == ["## Participação", "## Números da gravação"]
+    assert "| A | " in page and " ppm | " in page and "- [ ] `00:" in page and "A — Você ficou" in page and "% da duração)" in page
+
+
+def test_pages_break_where_the_widths_say():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz áéçãõ.,;ABCMWil日"))
+    for _ in range(150):
+        text = "".join(rng.choice(letters, rng.integers(0, 400)))
+        if rng.random() < 0.2:
+            text += " " + "".join(rng.choice(list("wWmi/"), 150))
+        size, bold, width = float(rng.choice([8.5, 10.5, 20])), bool(rng.random() < 0.5), float(rng.choice([120, 483.28]))
+        got = export.broken(text, width, size, bold)
+        assert all(export.text_width(x, size, bold) <= width + 1e-6 or len(x) == 1 for x in got)
+        want, rest = [], text.split()
+        while rest:  # the longest line that fits, by trying all
+            k = max((k for k in range(1, len(rest) + 1) if export.text_width(" ".join(rest[:k]), size, bold) <= width + 1e-9), default=0)
+            if k:
+                want.append(" ".join(rest[:k]))
+                rest = rest[k:]
+            else:
+                cut = max((c for c in range(1, len(rest[0])) if export.text_width(rest[0][:c], size, bold) <= width + 1e-9), default=1)
+                want.append(rest[0][:cut])
+                rest[0] = rest[0][cut:]
+        assert got == (want or [""])
+    pages = export.laid_out("Título", [("Ana", "palavra " * 400), ("", "fim " * 900)])
+    assert len(pages) > 1 and all(export.MARGIN - 1e-6 <= y <= export.PAGE[1] - export.MARGIN and x + export.text_width(t, s, b) <= export.PAGE[0] - export.MARGIN + 1e-6 for p in pages for x, y, t, s, b in p)
+    raw = export.pdf_bytes("Título (1)", [("Ana", "Olá \\ (mundo) " * 300)])
+    start = int(raw.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    rows = raw[start:].split(b"\n")
+    assert rows[0] == b"xref"
+    for i, row in enumerate(rows[3 : 2 + int(rows[1].split()[1])], 1):
+        assert raw[int(row[:10]) :].startswith(b"%d 0 obj" % i)

@@ -93,3 +93,22 @@ def held(parts, rest, cut):
 
 
 CHECKS = {"op1_toxicity_segments": held(4, 2, 0.3), "op8_random_indexing_quality": held(3, 1, 0.5), "op2_rendezvous_sharding": sharding, "op4_fm_index_dedup": substrings, "op9_jaccard_metric_join": near_sets}
+
+
+CLASHES = ("score", "shard", "slot", "size", "label", "held_out", "predicted", "bucket", "position", "rank", "segments", "TEXT_", "n")
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity_segments", "op2_rendezvous_sharding", "op8_random_indexing_quality", "op11_importance_resampling", "op12_string_kernel_language"])
+def test_clashing_columns_and_empty_tables(spark, tmp_path, name):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for kind, rows in (("more", docs.select("*", *(F.lit("x").alias(c) for c in CLASHES))), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            t = spark.read.parquet(f"{sf}/{other}.parquet")
+            (t if kind == "more" else t.limit(0)).write.parquet(f"{tmp_path}/{kind}/{other}.parquet")
+    show = lambda df: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.drop("slot").collect())
+    assert show(QUERIES[name](spark, f"{tmp_path}/more")) == show(QUERIES[name](spark, sf))
+    assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0

@@ -16,12 +16,17 @@ every document is copied to every region.  So the first level takes pivots that
    threshold: the window of this level).  Each task chains its own sets first and sends one row a
    region and chain, so a region of any size costs its readers one row a task.
 3. Chains join to clusters (no cluster is ever gathered to label it).  Every linked pair is inside one.
-4. Clusters, which are near one another in text, are joined by Voronoi regions over document
+4. One common line chains short sets that are far apart, and such clusters grow faster than the table.  So a cluster
+   that is too large for a task is dealt by parts first: its shingles fall into p = k + 1 + SLACK parts by a hash, where
+   linked sets of these sizes differ in at most k shingles, so they have 1 + SLACK parts in common, of some nine
+   shingles each.  Sets that share a part are compared; the parts of very many sets (copies of one text with
+   changes) chain these to regions.  Parts without shingles count only in sets with more than SLACK of them.
+5. These regions, which are near one another in text, are joined by Voronoi regions over document
    pivots, as above, again and again while a region is too large for a task.  Sets linked with a pivot
    are connected through it, so only pairs with a set that is not (a loose one) are left to do: a region
    without loose sets is done, and one that does not shrink becomes a grid of pairs of blocks, one
    of them loose.
-5. In a region that fits, links are exact: pivots link what is within t of them, their distances
+6. In a region that fits, links are exact: pivots link what is within t of them, their distances
    rule out pairs that differ by more than t (triangle inequality), and a prefix index, rarest shingle
    first, proposes the other pairs.  Pairs already connected are not computed again: the result is
    components.
@@ -56,6 +61,8 @@ SHINGLE, NUM, DEN = 3, 9, 10  # threshold NUM / DEN
 #: Sets that one task joins at once, and their shingles; the most bits of the filter of clustered sets.
 REGION_SETS, REGION_SHINGLES, FILTER_BITS = 2000, 2_000_000, 1 << 26
 PIVOTS, DEPTH = 64, 3
+#: Parts of a set that may be empty without being shared.
+SLACK = 2
 #: Shingles that are known to be frequent (they are sent to all tasks), and the rows a task sorts at once.
 FREQUENT, BUFFER = 1 << 17, 1 << 18
 #: Rows of one class that are joined with its name apart from all others (or a ten-thousandth of all rows, if that is more).
@@ -639,6 +646,65 @@ def _grid(rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     return keyed.groupBy("region", "kind", "i", "j").applyInPandas(both, "a binary, b binary")
 
 
+def schemes(longest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least sizes of size classes, and the parts of pairs whose smaller set is in a class; linked sets are in one class
+    or in neighbouring ones."""
+    least = [1]
+    while least[-1] <= longest:
+        least.append(least[-1] * den // num + 1)
+    least.append(least[-1] * den // num + 1)
+    b = np.array(least, np.int64)
+    small_, large_ = b[1:-1] - 1, np.minimum((b[1:-1] - 1) * den // num, b[2:] - 1)
+    return b[:-2], (den - num) * (small_ + large_) // (den + num) + 1 + SLACK
+
+
+def part_keys(h: np.ndarray, of: int, parts: np.ndarray) -> np.ndarray:
+    """Hashes that name the parts of a set of size class ``of``, as the smaller and as the larger set of a pair."""
+    x, out = hashing.mix(h ^ np.uint64(0x8EBC6AF09C88C6E3)), []
+    for k in range(max(of - 1, 0), of + 1):
+        p = int(parts[k])
+        at = (x % np.uint64(p)).astype(np.int64)
+        sums = np.zeros(p, np.uint64)
+        np.add.at(sums, at, hashing.mix(x))
+        named = hashing.mix(sums ^ hashing.mix(np.arange(p, dtype=np.uint64) + np.uint64(k << 32)))
+        full = np.bincount(at, minlength=p) > 0
+        out.append(named if p - full.sum() > SLACK else named[full])
+    return np.concatenate(out)
+
+
+def by_parts(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, id, h, core) of large clusters' sets (region, id, h): regions that hold every linked pair, see 4 above."""
+    longest = rows.agg(F.max(F.size("h"))).first()[0]
+    least, parts = schemes(longest, num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [_array(x) for x in batch.column("h")]
+            keys = [part_keys(x, int(np.searchsorted(least, len(x), "right")) - 1, parts) for x in sets]
+            n = [len(k) for k in keys]
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(hashing.signed(np.concatenate(keys))), pa.array(np.repeat([len(x) for x in sets], n), pa.int64())], ["id", "part", "n"])
+
+    keys = stash(rows.select("id", "h").mapInArrow(run, "id binary, part bigint, n bigint"))
+    counts = stash(keys.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).filter("c > 1"))
+    most = REGION_SETS // 8
+    many = counts.filter(F.col("c") > most)
+    joined = components(keys.join(small(many), "part").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    together = rows.join(small(joined), "id").select(F.xxhash64("component").alias("region"), "id", "h", F.lit(False).alias("core"))
+    few = keys.join(counts.filter(F.col("c") <= most).select("part"), "part").join(small(joined), "id", "left")
+    # a part whose sets are in one region anyway says nothing new
+    told = few.groupBy("part").agg(F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y")).filter("x <> y").select("part")
+    few = stash(few.join(told, "part", "left_semi").select("id", "part", "n"))
+    n, shingles = few.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bundles = 1 + max(4 * n // REGION_SETS, 4 * shingles // REGION_SHINGLES)  # parts of all kinds share a task
+    bundled = few.select(F.xxhash64(F.lit("parts"), F.pmod("part", F.lit(bundles))).alias("region"), "id").distinct()
+    out = stash(together.unionByName(bundled.join(rows.select("id", "h"), "id").select("region", "id", "h", F.lit(False).alias("core"))))
+    discard(keys, counts, joined, few)
+    return out
+
+
 def clustered(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(id, component): sets that link with others, by a name of their component."""
     clusters = components(stars(docs, shingle, num, den))
@@ -647,6 +713,11 @@ def clustered(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     # of the rows of one set the least task's stays; a stored list of names is joined, so sets need no shuffle while it is small
     repeated = stash(found.groupBy("id").agg(F.min("task").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
     rows = found.join(small(repeated), "id", "left").filter("first is null or task = first").select(F.xxhash64("cluster").alias("region"), "id", "h", F.lit(False).alias("core"))
+    sizes = stash(_fits(rows))
+    large = sizes.filter("not fits").select("region")
+    if large.take(1):
+        big = stash(rows.join(small(large), "region", "left_semi").select("region", "id", "h"))
+        rows = rows.join(small(large), "region", "left_anti").unionByName(by_parts(big, num, den))
     links = components(join_regions(rows, num, den))
     discard(found, repeated)
     return links

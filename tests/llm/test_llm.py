@@ -169,6 +169,37 @@ def test_jaccard_large_groups(spark, monkeypatch, region):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == brute_components(rows, 3, 8, 10)
 
 
+def test_jaccard_common_lines_make_no_grid(spark, monkeypatch):
+    """Short texts of common lines chain to one cluster far larger than a region, in which next to nothing is linked: the sets
+    that are compared stay in proportion to the table, and no grid of all pairs is made."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(400)]
+    lines = [" ".join(r.choices(vocab, k=r.randint(5, 13))) for _ in range(60)]
+    texts = ["\n".join(r.sample(lines, 3)) for _ in range(500)]
+    texts += [x + " " + r.choice(vocab) for x in texts[:40]]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "REGION_SETS", 100)
+    seen, fits = [], jaccard._fits
+    monkeypatch.setattr(jaccard, "_fits", lambda x: seen.append(x.count()) or fits(x))
+    monkeypatch.setattr(jaccard, "_grid", lambda *_: pytest.fail("all pairs of a cluster"))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 9, 10).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=str) == brute_components(rows, 3, 9, 10)
+    assert len(seen) > 1 and max(seen) <= 3 * len(rows), seen
+
+
+@pytest.mark.parametrize("num, den", [(9, 10), (8, 10), (1, 2)])
+def test_jaccard_parts_meet(num, den):
+    """Any two sets that are linked share a part, small ones and those with empty parts too."""
+    r = random.Random(3)
+    least, parts = jaccard.schemes(300, num, den)
+    keys = lambda x: set(jaccard.part_keys(np.array(sorted(x), np.uint64), int(np.searchsorted(least, len(x), "right")) - 1, parts).tolist())
+    for _ in range(3000):
+        x = {r.getrandbits(64) for _ in range(r.choice((1, 2, 3, 9, 10, 19, 20, 60, 250)))}
+        y = set(r.sample(sorted(x), r.randint((num * len(x) + den - 1) // den, len(x)))) | {r.getrandbits(64) for _ in range(r.randint(0, len(x) // 9))}
+        if den * len(x & y) >= num * len(x | y):
+            assert keys(x) & keys(y), (len(x), len(y))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 3), (200, 201), (-5, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

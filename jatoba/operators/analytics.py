@@ -26,6 +26,12 @@ COMMITMENTS = (
 )
 
 
+def _dealt(units: DataFrame, group: str) -> DataFrame:
+    """``units`` by group over all shuffle partitions.  Small shuffles of texts are put together by their bytes, but each word
+    becomes rows in the task that reads them, so the number is given."""
+    return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
+
+
 def term_counts(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> DataFrame:
     """(group, unit, term, c)."""
     return units.select(group, unit, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(group, unit, "term").agg(F.count(F.lit(1)).alias("c"))
@@ -35,7 +41,7 @@ def vectors(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> Da
     """(group, unit, n, term, c, df, idf, weight): each term of each unit, and one row with a null term for a unit without any.
     Counts of units and document frequencies are windows inside a group, so texts are read, cut and shuffled once."""
     n = F.count(F.lit(1)).over(W.partitionBy(group))
-    each = units.select(group, unit, n.alias("n"), T.tokens(F.col("text")).alias("__t")).select(group, unit, "n", F.explode_outer("__t").alias("term"))
+    each = _dealt(units.select(group, unit, "text"), group).select(group, unit, n.alias("n"), T.tokens(F.col("text")).alias("__t")).select(group, unit, "n", F.explode_outer("__t").alias("term"))
     tf = each.groupBy(group, unit, "n", "term").agg(F.count(F.lit(1)).alias("c"))
     df = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy(group, "term"))).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
     w = df.withColumn("__w", F.when(F.col("term").isNotNull(), (1 + F.log("c")) * F.col("idf")))
@@ -46,7 +52,7 @@ def vectors(units: DataFrame, group: str = "rec_id", unit: str = "seg_id") -> Da
 def document_frequency(units: DataFrame, group: str = "rec_id") -> DataFrame:
     """(group, term, df, n, idf)."""
     n = F.count(F.lit(1)).over(W.partitionBy(group))
-    each = units.select(group, n.alias("n"), F.array_distinct(T.tokens(F.col("text"))).alias("__t")).select(group, "n", F.explode("__t").alias("term"))
+    each = _dealt(units.select(group, "text"), group).select(group, n.alias("n"), F.array_distinct(T.tokens(F.col("text"))).alias("__t")).select(group, "n", F.explode("__t").alias("term"))
     return each.groupBy(group, "term", "n").agg(F.count(F.lit(1)).alias("df")).select(group, "term", "df", "n", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
 
 
@@ -68,7 +74,7 @@ def keywords(units: DataFrame, top: int = KEYWORDS, group: str = "rec_id", unit:
     """(group, pos, termo, ocorrencias, peso): terms by (1 + ln c) idf, and pairs that occur almost always
     together in place of their parts."""
     n = F.count(F.lit(1)).over(W.partitionBy(group))
-    said = units.select(group, unit, n.alias("n"), T.content_pairs(F.col("text")).alias("__p"))
+    said = _dealt(units.select(group, unit, "text"), group).select(group, unit, n.alias("n"), T.content_pairs(F.col("text")).alias("__p"))
     said = said.select(group, unit, "n", F.posexplode("__p").alias("at", "p"), F.col("__p"))
     after = F.get("__p", F.col("at") + 1)
     # a word stands for itself, and with the one after it for a pair

@@ -5,6 +5,7 @@ import math
 import resource
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from jatoba.operators import analytics, sequence
@@ -103,3 +104,13 @@ def test_positions_without_gathering(spark):
     plan = sequence.queue_position(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert sequence.queue_position(df.filter("status = 'x'")).count() == 0
+
+
+@pytest.mark.parametrize("what", [analytics.keywords, analytics.vectors, analytics.document_frequency])
+def test_words_are_made_in_all_partitions(spark, what):
+    """Texts are few bytes to a shuffle, and their words many rows: the partitions they are made in are not put together by bytes."""
+    units = spark.createDataFrame([(r, i, f"nota fiscal {r} contrato") for r in range(40) for i in range(3)], "rec_id bigint, seg_id bigint, text string")
+    before = what(units)
+    at = before.select("rec_id", F.spark_partition_id().alias("p"))
+    used = {p for _, p in at.collect()}
+    assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1

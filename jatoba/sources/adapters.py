@@ -48,7 +48,8 @@ def segments(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame
     k = (F.col("conv_id") * 3 + F.col("turn")) % 8
     more = F.get(F.array(*[F.lit(x) for x in ADDED]), k.cast("int"))
     said = c.select(F.col("conv_id").alias("rec_id"), (F.col("turn") + 1).alias("seg_id"), F.col("role").alias("speaker"), F.when(k < len(ADDED), F.concat("text", F.lit(" "), more)).otherwise(F.col("text")).alias("text"))
-    counted = said.withColumn("n", T.word_count(F.col("text")))
+    # dealt over all shuffle partitions: what is made of texts later is made in these tasks
+    counted = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rec_id").withColumn("n", T.word_count(F.col("text")))
     before = W.partitionBy("rec_id").orderBy("seg_id").rowsBetween(W.unboundedPreceding, -1)
     took = F.col("n") * STEP_MS + ((F.col("rec_id") * 7 + (F.col("seg_id") - 1) * 13) % 5) * STEP_MS
     start = F.coalesce(F.sum(took).over(before), F.lit(0)).cast("bigint")

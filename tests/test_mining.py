@@ -114,3 +114,13 @@ def test_words_are_made_in_all_partitions(spark, what):
     at = before.select("rec_id", F.spark_partition_id().alias("p"))
     used = {p for _, p in at.collect()}
     assert len(used) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_segments_stay_in_all_partitions(spark, sf_dir):
+    """What chapters, summaries and documents make of a recording is made where its segments are."""
+    from jatoba.plans import registry
+
+    segs = adapters.segments(spark, sf_dir)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (segs, registry._sentences(spark, sf_dir), analytics.topic_blocks(registry._sentences(spark, sf_dir))):
+        assert rows.select(F.spark_partition_id().alias("p"), F.col("text")).select("p").distinct().count() == parts

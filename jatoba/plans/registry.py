@@ -307,7 +307,10 @@ for _name, (_rel, _f) in X.BUILDERS.items():
     if _name not in ("txt_timestamps", "tsv", "md"):
         query(f"export_{_name}")(lambda s, d, f=_f, rel=_rel: f({"reading": Q.reading, "segments": lambda x: x, "cues": Q.build_cues}[rel](segs(s, d, rel == "cues"))))
 query("export_resumo")(lambda s, d: X.summary_md(adapters.recordings(segs(s, d)), A.analyze(segs(s, d))))
-query("formats")(lambda s, d: media.formats(s))
+_FORMATS = ", ".join(str(f) for f in media.FORMATS)
+query("formats", _SEG + _REC + f""" SELECT rec_id, formato, rotulo, regexp_replace(filename, '\\.[^.]*$', '') || sufixo || extensao AS arquivo, word_count AS palavras, duration_ms
+FROM recs CROSS JOIN (VALUES {_FORMATS}) f(formato, rotulo, sufixo, extensao)""")(
+    lambda s, d: media.formats(adapters.recordings(segs(s, d))))
 
 # ---- live ----------------------------------------------------------------------------------------------------
 

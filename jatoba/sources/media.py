@@ -93,5 +93,9 @@ FORMATS = (
 )
 
 
-def formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FORMATS), "formato string, rotulo string, sufixo string, extensao string")
+def formats(recs: DataFrame) -> DataFrame:
+    """(rec_id, formato, rotulo, arquivo, palavras, duration_ms): the file of each format that a recording gets, named after
+    its own without the extension, and what it holds."""
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("formato", "rotulo", "sufixo", "extensao"), f, strict=True)]) for f in FORMATS])).alias("f")
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    return recs.select("rec_id", stem.alias("stem"), each, "word_count", "duration_ms").select("rec_id", "f.formato", "f.rotulo", F.concat("stem", "f.sufixo", "f.extensao").alias("arquivo"), F.col("word_count").alias("palavras"), "duration_ms")

@@ -42,3 +42,9 @@ def test_confidence_of_all_rows(spark):
 def test_whole_texts_are_wrapped(spark):
     _, got = same_as_sql(spark, "/root/testdata/sf0.01", "wrap_balanced", "conversations")
     assert max(len(r[2]) for r in got) > 71
+
+
+def test_formats_of_all_recordings(spark):
+    con, got = same_as_sql(spark, "/root/testdata/sf0.01", "formats", "conversations")
+    assert len(got) == 13 * con.execute("SELECT count(DISTINCT conv_id) FROM conversations").fetchone()[0]
+    assert (3, "pdf", "PDF", "gravacao_3_transcricao.pdf") in {r[:4] for r in got}

@@ -29,55 +29,79 @@ from .common import documents, pick, stash, table
 WIDTH, LITERAL, SHARE, ENOUGH, CONSISTENT = 8, 5, 0.5, 16, 0.8
 #: The most benchmark windows that are broadcast (about 200 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: Not in any text that is spaced; in ASCII, so that strings stay as short, and as fast, as they were.
+NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Fixed word lists.
 NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million|billion"
 UNITS = "km|kms|kilometers|kilometres|m|meters|metres|cm|mm|miles|mile|feet|ft|inches|inch|kg|kgs|kilograms|grams|g|mg|pounds|lbs|tons|liters|litres|l|ml|gallons|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|percent|mph|kmh|degrees|watts|volts"
 
 
+# Each pattern below is a pass over every text, so what can be replaced together is; a space that stays is no match.
+_KEPT = r"\p{L}\p{N}.!?%$€£'"
+_MARKS = "[.!?%$€£']"
+#: By first letter: most words fail at once.
+_WORDS = "|".join(f"{a}(?:{'|'.join(w[1:] for w in NUMBER_WORDS.split('|') if w[0] == a)})" for a in sorted({w[0] for w in NUMBER_WORDS.split("|")}))
+
+
 def spaced(text: Column) -> Column:
     """One space before each word; units parted from numbers; marks other than sentence ends and %$€£' gone."""
-    t = F.regexp_replace(text, r"(\p{N})(?=\p{L})", "$1 ")
-    return F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}.!?%$€£']+", " "))
+    return F.concat(F.lit(" "), F.regexp_replace(text, rf"(\p{{N}})(?=\p{{L}})| [^{_KEPT}]+|[^{_KEPT} ][^{_KEPT}]*", "$1 "))
 
 
 def _bare(t: Column) -> Column:
-    """Tokens without marks at their ends.  Patterns begin with what is rare, so most characters fail at once."""
-    t = F.regexp_replace(t, r"[.!?%$€£']+(?= |$)", "")
-    return F.array_remove(F.split(F.regexp_replace(t, r" [.!?%$€£']+", " "), " "), "")
+    """Without marks at the ends of tokens.  Patterns begin with what is rare, so most characters fail at once."""
+    return F.regexp_replace(t, rf"{_MARKS}(?:(?<= .){_MARKS}*|{_MARKS}*(?= |$))", "")
 
 
-def raw_tokens(s: Column) -> Column:
+def _cut(t: Column) -> Column:
+    return F.array_remove(F.split(t, " "), "")
+
+
+def _raw(s: Column) -> Column:
     return _bare(F.lower(s))
 
 
-def template_tokens(s: Column) -> Column:
+def _template(s: Column) -> Column:
     """A capital inside a sentence begins a name."""
     t = F.lower(F.regexp_replace(s, r"\p{Lu}(?<=[^.!? ] .)[\p{L}']*", NAME))
     t = F.regexp_replace(t, r"[$€£]?\p{N}[^ ]*", NUMBER)
-    t = F.regexp_replace(t, rf" (?:{NUMBER_WORDS})(?=[ .!?]|$)", " " + NUMBER)
+    t = F.regexp_replace(t, rf" (?:{_WORDS})(?=[ .!?]|$)", " " + NUMBER)
     return _bare(F.regexp_replace(t, rf"{NUMBER} (?:{UNITS})(?=[ .!?]|$)", f"{NUMBER} {UNIT}"))
 
 
+def raw_tokens(s: Column) -> Column:
+    return _cut(_raw(s))
+
+
+def template_tokens(s: Column) -> Column:
+    return _cut(_template(s))
+
+
 #: Readings of a text.
 KINDS = ("template", "slots", "exact")
 
 
-def _windows(df: DataFrame, c: str, w: str) -> DataFrame:
-    """Add ``w``: hashes of all windows of ``WIDTH`` tokens of ``c``, by doubling, in order, other ones for each name ``c``."""
+def _windows(df: DataFrame, h: str, kind: str, w: str) -> DataFrame:
+    """Add ``w``: hashes of all windows of ``WIDTH`` tokens, whose hashes are ``h``, by doubling, in order, other ones for each kind."""
     assert WIDTH == 8
-    h = df.withColumn("__1", F.transform(c, lambda x: F.xxhash64(x, F.lit(c))))
+    df = df.withColumn("__1", F.col(h))
     for k in (1, 2, 4):
         n = F.greatest(F.size(f"__{k}") - k, F.lit(0))
-        h = h.withColumn(f"__{2 * k}", F.zip_with(F.slice(f"__{k}", F.lit(1), n), F.slice(f"__{k}", F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))).drop(f"__{k}")
-    return h.withColumnRenamed("__8", w)
-
-
-def _probes(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep, pos, h) of all readings.  Exploded as outer: for a plain explode the optimizer would push a test of
-    its size down and make the tokens again."""
+        own = [F.lit(KINDS.index(kind))] if k == 4 else []
+        joined = lambda a, b: F.xxhash64(a, b, *own)  # noqa: E731, B023  called at once
+        df = df.withColumn(f"__{2 * k}", F.zip_with(F.slice(f"__{k}", F.lit(1), n), F.slice(f"__{k}", F.lit(k + 1), n), joined)).drop(f"__{k}")
+    return df.withColumnRenamed("__8", w)
+
+
+def _probes(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, pos, h) of all readings.  Tokens are hashed once for ``template`` and ``slots``, and only hashes go on: empty tokens are
+    dropped as such.  Exploded as outer: for a plain explode the optimizer would push a test of its size down and make the tokens again."""
+    hashed = lambda t: F.array_remove(F.transform(F.split(t, " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit("")))
+    df = df.withColumn("__s", spaced(F.coalesce(F.col(text), F.lit("")))).withColumn("__template", hashed(_template(F.col("__s")))).withColumn("__exact", hashed(_raw(F.col("__s"))))
+    slots = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)]
+    df = df.withColumn("__slots", F.filter("__template", lambda x, i: (i == 0) | (F.get("__template", i - 1) != x) | ~x.isin(*slots)))
     for kind in KINDS:
-        df = _windows(df, kind, f"__w_{kind}")
+        df = _windows(df, f"__{kind}", kind, f"__w_{kind}")
     each = df.select(*keep, F.explode_outer(F.array(*(f"__w_{kind}" for kind in KINDS))).alias("w"))
     return each.select(*keep, F.posexplode_outer("w").alias("pos", "h"))
 
@@ -121,7 +145,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     """(h, item, kind, at, n_windows): informative windows of the benchmark."""
     told = None
     for kind in KINDS:
-        each = _windows(items.filter(F.col("kind") == kind).withColumnRenamed("c", kind), kind, "w").select("item", "kind", F.col(kind).alias("c"), F.posexplode_outer("w").alias("at", "h"))
+        each = _windows(items.filter(F.col("kind") == kind).withColumn("__h", F.transform("c", lambda x: F.xxhash64(x))), "__h", kind, "w").select("item", "kind", "c", F.posexplode_outer("w").alias("at", "h"))
         literal = F.size(F.filter(F.slice("c", F.col("at") + 1, WIDTH), lambda x: ~_is_slot(x)))
         some = each.filter(F.col("h").isNotNull()).filter(literal >= LITERAL).select("item", "kind", "at", "h")
         told = some if told is None else told.unionAll(some)
@@ -135,7 +159,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = item_windows(items)
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
-    probe = _probes(_read(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), "text"), "doc_id", "row")
+    probe = _probes(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), "text", "doc_id", "row")
     hit = probe.join(windows, "h").groupBy("doc_id", "row", "item", "kind", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal"))
     line = hit.agg(F.collect_set("at").alias("at"))
     pair = ("doc_id", "row", "item", "kind", "n_windows")

@@ -40,6 +40,9 @@ BUCKET_ROWS = 2_000
 REMEMBERED = 250_000
 _MARK = "<|endoftext|>"
 _BARE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
+#: Bytes, read as Latin-1, in the characters by which a byte-level vocabulary spells them: those that print stand for themselves.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -53,20 +56,26 @@ class Encoder:
     """Ids as little-endian bytes.  White space never joins two words of this vocabulary, so the ids
     of a text are the ids of its words.  Words met before come from memory.  Of a new word that is
     Latin letters and then marks, the letters (in lower case, as the vocabulary has it) and the marks
-    are looked up apart, as its splitter parts them too; what is still new goes to the tokenizer
-    together, parted by a special token that is cut out of a text before anything else."""
+    are looked up apart, as its splitter parts them too.  What is still new goes to the vocabulary's model,
+    or, if it has other characters, to the tokenizer together, parted by a special token that is cut out of a
+    text before anything else."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        #: Of normalising and splitting: as the vocabulary has it, and nearly none, for what needs neither.
-        self.usual = self.tok.normalizer, self.tok.pre_tokenizer
-        self.bare = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tok.model
         self.mark = self.tok.token_to_id(_MARK)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _learn_bare(self, missing: dict[bytes, str]) -> None:
+        """Words of one kind of characters, which need no normalising or splitting: the model alone gives their ids."""
+        tokenize = self.model.tokenize
+        for key, word in missing.items():
+            ids = [x.id for x in tokenize(word if word.isascii() else key.decode("latin-1").translate(_BYTES))]
+            self.new[key] = struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, missing: list[str]) -> None:
         for at in range(0, len(missing), 4096):
             some = missing[at : at + 4096]
@@ -81,7 +90,7 @@ class Encoder:
         """Put words that ``new`` lacks into it.  Letters in lower case and marks are words too, so there is one memory."""
         split: list[tuple[bytes, bytes, bytes]] = []
         old, new, plain, bare = self.old.get, self.new, _PLAIN.fullmatch, _BARE.fullmatch
-        unknown: dict[bytes, str] = {}  # for the bare settings
+        unknown: dict[bytes, str] = {}
         others: dict[bytes, str] = {}
 
         def part(text: str) -> bytes:
@@ -108,28 +117,31 @@ class Encoder:
                 m = plain(text)
                 split.append((w, part(m[1].lower()), part(m[2]) if m[2] else b"") if m else (w, part(text), b""))
         if unknown:
-            self.tok.normalizer, self.tok.pre_tokenizer = self.bare
-            self._learn(list(unknown.values()))
-            self.tok.normalizer, self.tok.pre_tokenizer = self.usual
+            self._learn_bare(unknown)
         if others:
             self._learn(list(others.values()))
         for w, head, tail in split:
             new[w] = new[head] + new[tail] if tail else new[head]
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:  # it may hold a special token, which may reach over anything
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+    def many(self, texts: list[str]) -> list[bytes]:
+        """New words of all texts are learned together: a call of the tokenizer costs as much as dozens of words."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        words = text.encode("utf-8", "replace").split()
-        found = list(map(self.new.get, words))
-        if None in found:
-            at = [i for i, x in enumerate(found) if x is None]
-            self._add({words[i] for i in at})
-            for i in at:
-                found[i] = self.new[words[i]]
-        return b"".join(found)
+        # a text with a special token, which may reach over anything, goes through the tokenizer whole
+        split = [None if "<|" in t else t.encode("utf-8", "replace").split() for t in texts]
+        if missing := set().union(*filter(None, split)).difference(self.new):
+            self._add(missing)
+        known, out = self.new.__getitem__, []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(b"".join(map(known, words)))
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 #: Kept by a worker for its next task, until a task of another operator comes.
@@ -143,9 +155,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in slices(batches, owner="packing"):
             rows: list[tuple] = []
-            texts = batch.column("text")
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                raw = encode(text.as_py() or "") + b"\0\0\0\0"
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.many(texts), strict=True):
+                raw = ids + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -553,3 +553,13 @@ def test_a_text_is_passed_over_few_times_for_its_templates(spark):
     n, name, unit = decontam.NUMBER, decontam.NAME, decontam.UNIT
     assert got.r == ["eu", "vi", "5", "km", "em", "lisboa", "7", "e", "one.2", "fim", "ana", "maria", "x"]
     assert got.t == ["eu", "vi", n, unit, "em", name, n, "e", f"{n}.{n}", "fim", name, name, "x"]
+
+
+def test_new_words_of_many_texts_are_learned_together():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    calls, add = [], encoder._add
+    encoder._add = lambda words: (calls.append(len(words)), add(words))
+    texts = ["zuvariqo blenteb, Zuvariqo!", "", "ßçéñ über... don't 3km <|endoftext|> x", "日本 ÀÉ-x zuvariqo", "~^`{ ÿþ"]
+    got = encoder.many(texts)
+    assert len(calls) == 1
+    assert [list(memoryview(g).cast("I")) for g in got] == [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]

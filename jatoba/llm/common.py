@@ -15,6 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of one Arrow batch on its way to a worker.  Spark's own bound lets 10,000 texts, a whole partition, be one batch, which
+#: executor and worker each hold at once, beside the copies made while it grows.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on texts of this session go to workers about BATCH_BYTES at a time; a smaller bound in bytes stays."""
+    have = spark.conf.get(_BATCH_CONF).removesuffix("b")  # Spark's own reads 67108864b
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

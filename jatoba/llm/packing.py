@@ -322,7 +322,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     # a frequent length is numbered in sub-buckets of about BUCKET_ROWS
-    parts = spark.createDataFrame([(n, c // BUCKET_ROWS + 1) for n, c in counts.items()], "length bigint, __parts int")
+    # Arrow tables are local relations; lists of rows would go through workers of another kind, which then idle beside the others
+    many = [c // BUCKET_ROWS + 1 for c in counts.values()]
+    parts = spark.createDataFrame(pa.table({"length": pa.array(list(counts), pa.int64()), "__parts": pa.array(many, pa.int32())}))
     dealt = cut.join(F.broadcast(parts), "length").withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.col("__parts")).cast("int")).drop("__parts")
     sizes = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("length").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -333,7 +335,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for n, r, times, seq, off in plan_rows:
         first.setdefault(n, []).append((r, times, seq, off))
     # bounded by the capacity and the number of groups of the plan, not by the corpus
-    plan_df = spark.createDataFrame([(n, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for n, v in first.items()], "length bigint, __r array<bigint>, __s array<bigint>, __o array<bigint>")
+    column = lambda k: pa.array([[x[k] for x in v] for v in first.values()], pa.list_(pa.int64()))
+    plan_df = spark.createDataFrame(pa.table({"length": pa.array(list(first), pa.int64()), "__r": column(0), "__s": column(2), "__o": column(3)}))
     ranked = dealt.withColumn("__i", F.row_number().over(W.partitionBy("length", "__b").orderBy("doc_id", "piece", "start")) - 1)
     ranked = ranked.join(offset_df, ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__i"))
     placed = ranked.join(F.broadcast(plan_df), "length")

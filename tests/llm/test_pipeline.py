@@ -57,3 +57,37 @@ def test_stages_on_an_empty_table(spark, sf_dir):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_texts_reach_workers_in_bounded_batches(spark, sf_dir):
+    """After any stage that makes workers read texts, a partition of 32 MB is not one batch; a longer text is one."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from jatoba.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(4000).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat('abcdefg ', 1000 + if(id = 3999, 1000000, 0))").alias("text"))
+    for name in ("toxicity", "near_copies", "personal_data", "packing"):
+        spark.conf.unset(common._BATCH_CONF)
+        dict(cp.STAGES)[name](spark, table(spark, sf_dir, "documents").limit(50), sf_dir)
+        rows = docs.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+        assert sum(r["n"] for r in rows) == 4000 and len(rows) >= 8
+        assert max(r["bytes"] for r in rows[:-1]) < 2 * common.BATCH_BYTES
+    spark.conf.set(common._BATCH_CONF, "1000000")
+    common.bound_batches(spark)
+    assert spark.conf.get(common._BATCH_CONF) == "1000000"
+    spark.conf.unset(common._BATCH_CONF)
+
+
+def test_packing_plan_is_no_job_of_rdd_workers(spark):
+    """Rows from the driver are local relations: no Python RDD starts workers that idle beside those of Arrow."""
+    from jatoba.llm import packing
+
+    cut = spark.range(100).selectExpr("id as doc_id", "cast(0 as int) as piece", "0L as start", "10 + id % 7 as length", "id as ids_crc32")
+    packed = packing.pack(cut)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    assert packed.count() == 100 and packing.pack(cut.limit(0)).count() == 0

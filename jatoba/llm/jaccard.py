@@ -65,6 +65,8 @@ PIVOTS, DEPTH = 64, 3
 SLACK = 2
 #: Shingles that are known to be frequent (they are sent to all tasks), and the rows a task sorts at once.
 FREQUENT, BUFFER = 1 << 17, 1 << 18
+#: Bytes of text hashed at once: a byte costs some 40 in arrays while it is.
+HASHED_BYTES = 1 << 18
 #: Rows of one class that are joined with its name apart from all others (or a ten-thousandth of all rows, if that is more).
 HOT_ROWS = 4096
 
@@ -101,7 +103,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=HASHED_BYTES):
             sets = list(set_hashes(batch, k))
             n = np.array([len(h) for h in sets], np.int64)
             sig = np.array([signature(h) if len(h) else (0, 0) for h in sets], np.int64).reshape(-1, 2)
@@ -115,7 +117,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
     """(signature, hashes) of the sets of a task, each once."""
     seen: set[tuple[int, int]] = set()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=HASHED_BYTES):
         for h in set_hashes(batch, k):
             if len(h) and (s := signature(h)) not in seen:
                 seen.add(s)

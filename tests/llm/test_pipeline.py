@@ -91,3 +91,24 @@ def test_packing_plan_is_no_job_of_rdd_workers(spark):
     packed = packing.pack(cut)
     assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
     assert packed.count() == 100 and packing.pack(cut.limit(0)).count() == 0
+
+
+def test_sets_are_hashed_in_little_memory():
+    """Hashing 4 MB of texts takes less than 16 MB at a time, and the sets are those of each text alone."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from jatoba.llm import hashing, jaccard
+
+    texts = [" ".join(f"w{(i * 7 + j) % 9973}" for j in range(350)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    hashing._powers = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    tracemalloc.start()
+    try:
+        sizes = [len(h) for _, h in jaccard._distinct_sets(iter([batch]), 5)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [len(next(jaccard.set_hashes(batch.slice(i, 1), 5))) for i in range(2000)]
+    assert peak < 16 << 20, peak
